@@ -39,7 +39,7 @@ def value_counts(df: DataFrame, by: str, column: str, values: list[str], prefix:
 def overall_score(ranked: DataFrame, n: int = 3) -> DataFrame:
     """Mean score of each claim's best ``n`` rows."""
     best = top_k(ranked, ["claim_id"], [F.col("score").desc(), F.col("article_id").asc()], n, "_n")
-    return best.groupBy("claim_id").agg(F.round(F.avg("score"), 2).alias("overall_score"))
+    return best.groupBy("claim_id").agg(F.round(F.avg("score") + 1e-7, 2).alias("overall_score"))
 
 
 def casualty_tally(evidence: DataFrame, by: list[str], text: str) -> DataFrame:
