@@ -1,6 +1,7 @@
 """Imports every query module so that they register themselves."""
 
 from corrobora.plans import (  # noqa: F401
+    q_columns,
     q_filters,
     q_sources,
 )

@@ -53,19 +53,27 @@ def sql_host(url: str) -> str:
     return f"regexp_replace(lower(regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '')"
 
 
-def sql_shingles(x: str) -> str:
-    """SQL for :func:`corrobora.functions.text.shingles`."""
-    w = f"list_filter(string_split_regex(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}} ]', ' ', 'g'), '\\s+'), lambda q: q <> '')"
+def sql_title_words(x: str) -> str:
+    """SQL for the word list behind shingles; select it as a column first."""
+    return f"list_filter(string_split_regex(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}} ]', ' ', 'g'), '\\s+'), lambda q: q <> '')"
+
+
+def sql_title_chars(x: str) -> str:
+    """SQL for the character string behind trigrams; select it as a column first."""
+    return f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def sql_shingles(w: str) -> str:
+    """SQL for :func:`corrobora.functions.text.shingles` over a word-list column."""
     return (
-        f"CASE WHEN len({w}) >= 3 THEN list_distinct(list_transform(range(1, len({w}) - 1), "
-        f"lambda i: array_to_string(list_slice({w}, i, i + 2), ' '))) "
+        f"CASE WHEN len({w}) >= 3 THEN list_distinct(list_transform(list_zip({w}, list_slice({w}, 2, len({w})), list_slice({w}, 3, len({w})), TRUE), "
+        f"lambda z: z[1] || ' ' || z[2] || ' ' || z[3])) "
         f"WHEN len({w}) > 0 THEN [array_to_string({w}, ' ')] ELSE CAST([] AS VARCHAR[]) END"
     )
 
 
-def sql_trigrams(x: str) -> str:
-    """SQL for :func:`corrobora.functions.text.trigrams`."""
-    s = f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+def sql_trigrams(s: str) -> str:
+    """SQL for :func:`corrobora.functions.text.trigrams` over a character-string column."""
     return (
         f"CASE WHEN length({s}) >= 3 THEN list_distinct(list_transform(range(1, length({s}) - 1), "
         f"lambda i: substr({s}, i, 3))) ELSE CAST([] AS VARCHAR[]) END"
