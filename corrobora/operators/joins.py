@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.functions.text import let
+from corrobora.functions.text import char_grams, let
 from corrobora.functions.urls import host_suffixes
 from corrobora.session import broadcast_checked
 
@@ -166,17 +166,11 @@ def match_substring(needles: DataFrame, articles: DataFrame, gram: int = 4) -> D
     testing containment finds exactly those pairs. Texts are joined back only
     for candidates.
     """
-    def grams(c: Column) -> Column:
-        cut = lambda t: F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(t) - (gram - 1)), lambda i: F.substring(t, i, F.lit(gram)))
-        )
-        return F.when(F.length(c) >= gram, let(c, cut)).otherwise(F.array().cast("array<string>"))
-
     low = articles.select("article_id", F.lower("text").alias("text"))
     distinct = needles.select("value").distinct()
-    needle_grams = distinct.select("value", F.explode(grams(F.col("value"))).alias("gram"))
+    needle_grams = distinct.select("value", F.explode(char_grams(F.col("value"), gram)).alias("gram"))
     vocabulary = needle_grams.select("gram").distinct()
-    article_grams = low.select("article_id", F.explode(grams(F.col("text"))).alias("gram")).join(
+    article_grams = low.select("article_id", F.explode(char_grams(F.col("text"), gram)).alias("gram")).join(
         vocabulary, "gram", "left_semi"
     )
     use = article_grams.groupBy("gram").agg(F.count("*").alias("_df"))

@@ -3,6 +3,7 @@
 from corrobora.plans import (  # noqa: F401
     q_columns,
     q_filters,
+    q_joins,
     q_sources,
 )
 from corrobora.plans.registry import ORACLES, QUERIES  # noqa: F401
