@@ -1,9 +1,11 @@
 """Imports every query module so that they register themselves."""
 
 from corrobora.plans import (  # noqa: F401
+    q_aggregates,
     q_columns,
     q_filters,
     q_joins,
+    q_ranking,
     q_sources,
 )
 from corrobora.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -160,12 +160,12 @@ def _(spark, d):
 
 @query(
     "jn7_substring",
-    f"""WITH n AS (SELECT DISTINCT item_id AS claim_id, lower(trim(substr(text, 1, 24))) AS value FROM benchmark),
+    f"""WITH n AS (SELECT DISTINCT item_id AS claim_id, lower(split_part(text, '.', 1)) AS value FROM benchmark),
     a AS (SELECT doc_id AS article_id, lower(text) AS text FROM documents) SELECT claim_id, value, article_id FROM n JOIN a ON contains(a.text, n.value)""",
 )
 def _(spark, d):
     needles = load(spark, d, "benchmark").select(
-        F.col("item_id").alias("claim_id"), F.lower(F.trim(F.substring("text", 1, 24))).alias("value")
+        F.col("item_id").alias("claim_id"), F.lower(F.split_part("text", F.lit("."), F.lit(1))).alias("value")
     )
     articles = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text")
     return J.match_substring(needles, articles, 6)
