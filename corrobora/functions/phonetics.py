@@ -18,7 +18,8 @@ INDIC_DIGITS = "".join(
 
 def normalise_digits(c: Column) -> Column:
     """Native digits rewritten as ASCII digits."""
-    return F.translate(c, INDIC_DIGITS, "0123456789" * 9)
+    ascii_digits = F.translate(c, INDIC_DIGITS, "0123456789" * 9)
+    return F.when(c.rlike(f"[{INDIC_DIGITS}]"), ascii_digits).otherwise(c)
 
 
 def phonetic_key(c: Column) -> Column:

@@ -6,6 +6,7 @@ from corrobora.plans import (  # noqa: F401
     q_filters,
     q_joins,
     q_ranking,
+    q_scoring,
     q_sources,
 )
 from corrobora.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -9,7 +9,7 @@ import time
 sys.path.insert(0, "/root/repo")
 sys.path.insert(0, "/root/repo/tests")
 
-from harness import compare, duck  # noqa: E402
+from harness import compare_rows, duck  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from corrobora.session import build_session  # noqa: E402
@@ -29,8 +29,9 @@ def main():
         try:
             df = fn(spark, folder)
             if name in oracles:
-                problem = compare(df, con, oracles[name])
-                note = ""
+                rows = [tuple(r) for r in df.collect()]
+                note = f" spark {time.time() - t:.1f}s"
+                problem = compare_rows(df.columns, rows, con, oracles[name])
             else:
                 n = df.count()
                 problem, note = (None if n else "EMPTY"), f" rows-only n={n}"

@@ -52,7 +52,11 @@ def rows_of(cols, rows):
 
 def compare(spark_df, con, sql):
     """None when equal, else a short description of the difference."""
-    s_cols, s_rows = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    return compare_rows(spark_df.columns, [tuple(r) for r in spark_df.collect()], con, sql)
+
+
+def compare_rows(columns, rows, con, sql):
+    s_cols, s_rows = rows_of(columns, rows)
     cur = con.execute(sql)
     d_cols, d_rows = rows_of([c[0] for c in cur.description], cur.fetchall())
     if s_cols != d_cols:
