@@ -23,34 +23,55 @@ from pyspark.sql import functions as F
 
 from corrobora import constants as K
 from corrobora.functions.urls import is_aggregator
-from corrobora.operators.similarity import same_incident, similar, title_features, title_keys
+from corrobora.operators.similarity import same_incident, similar, title_keys
 from corrobora.session import cut_lineage
 
-_BUCKET_DAYS = K.SAME_INCIDENT_DAYS + 1
-_ANY, _UNDATED = -(2**31), -(2**31) + 1
+# Key parts standing for "any day", "no day", "any figure" and "no figure".
+_ANY, _NONE = -(2**31), -(2**31) + 1
 
 
-def _posts() -> Column:
-    """Day buckets a node can be found under."""
-    b = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / _BUCKET_DAYS).cast("int")
-    return F.when(F.col("day").isNull(), F.array(F.lit(_UNDATED), F.lit(_ANY))).otherwise(F.array(b, F.lit(_ANY)))
+def _posted(grams: DataFrame) -> DataFrame:
+    """Adds ``k``: the keys a node can be found under, by gram, day and stated figure."""
+    day = F.unix_date("day")
+    days = F.when(day.isNull(), F.array(F.lit(_NONE), F.lit(_ANY))).otherwise(F.array(day, F.lit(_ANY)))
+    figures = F.transform("figures", lambda f: f.cast("bigint"))
+    stated = F.when(F.size("figures") == 0, F.array(F.lit(_NONE).cast("bigint"), F.lit(_ANY).cast("bigint"))).otherwise(
+        F.concat(figures, F.array(F.lit(_ANY).cast("bigint")))
+    )
+    return _keyed(grams.where("post"), days, stated)
+
+
+def _looked(grams: DataFrame) -> DataFrame:
+    """Adds ``k``: the keys under which every node that could be the same incident is posted."""
+    near = K.SAME_INCIDENT_DAYS
+    day = F.unix_date("day")
+    days = F.when(day.isNull(), F.array(F.lit(_ANY))).otherwise(
+        F.concat(F.sequence(day - near, day + near), F.array(F.lit(_NONE)))
+    )
+    figures = F.transform("figures", lambda f: f.cast("bigint"))
+    stated = F.when(F.size("figures") == 0, F.array(F.lit(_ANY).cast("bigint"))).otherwise(
+        F.concat(figures, F.array(F.lit(_NONE).cast("bigint")))
+    )
+    return _keyed(grams.where("NOT post"), days, stated)
 
 
-def _looks() -> Column:
-    """Day buckets holding every node that could be the same incident."""
-    b = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / _BUCKET_DAYS).cast("int")
-    return F.when(F.col("day").isNull(), F.array(F.lit(_ANY))).otherwise(
-        F.array(b - 1, b, b + 1, F.lit(_UNDATED))
+def _keyed(grams: DataFrame, days: Column, figures: Column) -> DataFrame:
+    # A hash collision only makes two nodes look related; every pair is verified.
+    return (
+        grams.withColumn("_d", F.explode(days))
+        .withColumn("_f", F.explode(figures))
+        .withColumn("k", F.xxhash64("claim_id", "gram", "_d", "_f"))
+        .drop("_d", "_f", "gram", "post")
     )
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
-    cols = ["node", "pos", "day", "figures", "short", "g3", "w3"]
+    cols = ["node", "pos", "day", "figures", "title"]
     return df.select("claim_id", *[F.col(c).alias(p + c) for c in cols])
 
 
 def build_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Collapse rows to nodes; returns (nodes with features, row to node).
+    """Collapse rows to nodes; returns (nodes, row to node).
 
     ``rows`` is (claim_id, article_id, score, title, day, figures). A node's
     position is its best row's (negative score, id).
@@ -64,56 +85,55 @@ def build_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min(pos).alias("pos"), F.first("title").alias("title"), F.first("day").alias("day"),
         F.first("figures").alias("figures"),
     )
-    return title_features(nodes, "title"), keyed.select("claim_id", "article_id", "node", pos.alias("row_pos"))
+    return nodes, keyed.select("claim_id", "article_id", "node", pos.alias("row_pos"))
 
 
-def _candidates(leaders: DataFrame, others: DataFrame, keys: DataFrame) -> DataFrame:
-    """(leader, node) pairs sharing a key and a day bucket, with similarity and incident tests."""
-    post = leaders.join(keys, ["claim_id", "node"]).select(
-        "claim_id", F.col("node").alias("l_node"), "gram", F.explode(_posts()).alias("bucket")
-    )
-    look = others.join(keys, ["claim_id", "node"]).select(
-        "claim_id", F.col("node").alias("o_node"), "gram", F.explode(_looks()).alias("bucket")
+def _candidates(leaders: DataFrame, others: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(leader, node) pairs that are similar and the same incident, the leader ranked better.
+
+    ``leaders`` and ``others`` are (claim_id, node, pos, day, figures); headlines
+    are joined on for candidates only.
+    """
+    post = _posted(leaders.join(keys, ["claim_id", "node"])).select(F.col("node").alias("l_node"), F.col("pos").alias("l_at"), "k")
+    look = _looked(others.join(keys, ["claim_id", "node"])).select(
+        "claim_id", F.col("node").alias("o_node"), F.col("pos").alias("o_at"), "k"
     )
-    pairs = post.join(look, ["claim_id", "gram", "bucket"]).select("claim_id", "l_node", "o_node").distinct()
+    pairs = post.join(look, "k").where(F.col("l_at") < F.col("o_at")).select("claim_id", "l_node", "o_node").distinct()
     return (
-        pairs.join(_prefixed(leaders, "l_"), ["claim_id", "l_node"])
-        .join(_prefixed(others, "o_"), ["claim_id", "o_node"])
-        .where((F.col("l_pos") < F.col("o_pos")) & similar("l_", "o_")[1])
+        pairs.join(_prefixed(nodes, "l_"), ["claim_id", "l_node"])
+        .join(_prefixed(nodes, "o_"), ["claim_id", "o_node"])
         .where(same_incident(F.col("l_day"), F.col("o_day"), F.col("l_figures"), F.col("o_figures")))
+        .where(similar("l_title", "o_title")[1])
     )
 
 
 def elect_leaders(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(leaders, followers, keys): which nodes lead and which joined something."""
+    """(nodes, leaders, keys), the first and last cut from their lineage.
+
+    ``leaders`` is (claim_id, node, pos, day, figures); every other node joined one.
+    """
     nodes = cut_lineage(nodes)
-    keyed = title_keys(nodes.withColumn("_id", F.struct("claim_id", "node")), "_id")
-    keys = cut_lineage(keyed.select("_id.claim_id", "_id.node", "gram"))
-    leaders = followers = None
-    open_nodes = nodes
+    keyed = title_keys(nodes.withColumn("_id", F.struct("claim_id", "node")), "_id", "title")
+    keys = cut_lineage(keyed.select("_id.claim_id", "_id.node", "gram", "post"))
+    leaders = None
+    open_nodes = nodes.select("claim_id", "node", "pos", "day", "figures")
     while not open_nodes.isEmpty():
         at = open_nodes.join(keys, ["claim_id", "node"])
-        first = (
-            at.select("claim_id", "gram", "pos", F.explode(_posts()).alias("bucket"))
-            .groupBy("claim_id", "gram", "bucket")
-            .agg(F.min("pos").alias("best"))
-        )
-        looked = at.select("claim_id", "node", "gram", "pos", F.explode(_looks()).alias("bucket"))
+        first = _posted(at).groupBy("k").agg(F.min("pos").alias("best"))
         beaten = (
-            looked.join(first, ["claim_id", "gram", "bucket"])
+            _looked(at).join(first, "k")
             .where(F.col("best") < F.col("pos"))
             .select("claim_id", "node")
             .distinct()
+            .withColumn("_beaten", F.lit(True))
         )
-        new = cut_lineage(open_nodes.join(beaten, ["claim_id", "node"], "left_anti"))
-        rest = open_nodes.join(new.select("claim_id", "node"), ["claim_id", "node"], "left_anti")
-        merged = cut_lineage(
-            _candidates(new, rest, keys).select("claim_id", F.col("o_node").alias("node")).distinct()
-        )
+        judged = cut_lineage(open_nodes.join(beaten, ["claim_id", "node"], "left"))
+        new = judged.where(F.col("_beaten").isNull()).drop("_beaten")
+        rest = judged.where("_beaten").drop("_beaten")
+        merged = _candidates(new, rest, nodes, keys).select("claim_id", F.col("o_node").alias("node"))
         open_nodes = cut_lineage(rest.join(merged, ["claim_id", "node"], "left_anti"))
         leaders = new if leaders is None else leaders.unionByName(new)
-        followers = merged if followers is None else followers.unionByName(merged)
-    return leaders, followers, keys
+    return nodes, leaders, keys
 
 
 def collapse_stories(rows: DataFrame) -> DataFrame:
@@ -123,17 +143,14 @@ def collapse_stories(rows: DataFrame) -> DataFrame:
     story's leader but the incident differs; that leader is flagged too.
     """
     nodes, members = build_nodes(rows)
-    leaders, followers, keys = elect_leaders(nodes)
+    nodes, leaders, keys = elect_leaders(nodes)
     if leaders is None:
         return rows.withColumn("story_id", F.col("article_id")).withColumn("distinct_incident", F.lit(False))
-    leaders = cut_lineage(leaders)
-    nodes = cut_lineage(nodes)
-    rest = nodes.join(followers, ["claim_id", "node"], "left_semi")
-    joined = _candidates(leaders, rest, keys).groupBy("claim_id", F.col("o_node").alias("node")).agg(
+    rest = nodes.join(leaders, ["claim_id", "node"], "left_anti").select("claim_id", "node", "pos", "day", "figures")
+    joined = _candidates(leaders, rest, nodes, keys).groupBy("claim_id", F.col("o_node").alias("node")).agg(
         F.min("l_pos").alias("lead_pos")
     )
-    lead = leaders.select("claim_id", "node", F.col("pos").alias("lead_pos")).unionByName(joined)
-    lead = cut_lineage(lead)
+    lead = cut_lineage(leaders.select("claim_id", "node", F.col("pos").alias("lead_pos")).unionByName(joined))
 
     flags = headline_warnings(nodes, leaders, lead, keys)
     return (
@@ -148,15 +165,15 @@ def collapse_stories(rows: DataFrame) -> DataFrame:
 
 def headline_warnings(nodes: DataFrame, leaders: DataFrame, lead: DataFrame, keys: DataFrame) -> DataFrame:
     """(claim_id, node, flagged): same headline as an earlier leader, different incident."""
-    a = leaders.join(keys, ["claim_id", "node"]).select("claim_id", F.col("node").alias("l_node"), "gram")
-    b = nodes.join(keys, ["claim_id", "node"]).select("claim_id", F.col("node").alias("o_node"), "gram")
+    a = leaders.join(keys.where("post"), ["claim_id", "node"]).select("claim_id", F.col("node").alias("l_node"), "gram")
+    b = nodes.join(keys.where("NOT post"), ["claim_id", "node"]).select("claim_id", F.col("node").alias("o_node"), "gram")
     pairs = a.join(b, ["claim_id", "gram"]).select("claim_id", "l_node", "o_node").distinct()
     own = lead.select("claim_id", F.col("node").alias("o_node"), "lead_pos")
     clash = (
-        pairs.join(_prefixed(leaders, "l_"), ["claim_id", "l_node"])
+        pairs.join(_prefixed(nodes, "l_"), ["claim_id", "l_node"])
         .join(_prefixed(nodes, "o_"), ["claim_id", "o_node"])
         .join(own, ["claim_id", "o_node"])
-        .where((F.col("l_pos") < F.col("o_pos")) & similar("l_", "o_")[1])
+        .where((F.col("l_pos") < F.col("o_pos")) & similar("l_title", "o_title")[1])
         .where((F.col("l_pos") < F.col("lead_pos")) | (F.col("o_pos") == F.col("lead_pos")))
         .where(~same_incident(F.col("l_day"), F.col("o_day"), F.col("l_figures"), F.col("o_figures")))
     )

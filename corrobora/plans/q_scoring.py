@@ -26,6 +26,7 @@ from corrobora.plans.roles import (
     CLAIMS_SQL, EVIDENCE_SQL, claims, evidence, inlist, lst, sql_jaccard, sql_shingles, sql_title_chars, sql_title_words,
     sql_tokens, sql_trigrams,
 )
+from corrobora.session import spread
 from corrobora.sources.tables import load
 
 # --- shared pieces ---------------------------------------------------------
@@ -530,7 +531,7 @@ def _(spark, d):
        CASE WHEN o_orderkey % 2 = 0 THEN c_mktsegment END AS accident_location_city FROM orders JOIN customer ON o_custkey = c_custkey""",
 )
 def _(spark, d):
-    j = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = spread(load(spark, d, "orders"), "o_orderkey").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     text = F.concat(
         F.lit("Intimation sheet\nClaim No : CL"), F.col("o_orderkey") + 100000, F.lit("\nInsured Name | "), "c_name", F.lit(" | Loss City | "),
         F.when(F.col("o_orderkey") % 2 == 0, F.col("c_mktsegment")).otherwise("n/a"), F.lit("\n\nDate of Accident:\n"), F.col("o_orderdate").cast("date").cast("string"),
@@ -568,7 +569,7 @@ def _(spark, d):
 def register_claims(spark, d):
     """Orders as a claim register with a written narrative."""
     k = F.col("claim_id")
-    c = claims(spark, d)
+    c = spread(claims(spark, d), "claim_id")
     story = F.concat(
         F.lit("On the highway near "), F.initcap(F.lower("state")), F.lit(" a truck overturned, "), k % 9 + 1,
         F.lit(" people killed. Registration MH-"), k % 50 + 1, F.lit("-AB-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" on NH-"), k % 90,

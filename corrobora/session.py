@@ -75,6 +75,18 @@ def broadcast_checked(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` only if its scan has fewer splits than there are cores.
+
+    A small file of one row group is read by one task, which would then run every
+    text function alone. An input with enough splits is returned as it is, so
+    large tables are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, key)
+
+
 def values_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A literal table from configuration rows, with exact size statistics.
 

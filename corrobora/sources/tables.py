@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora.schema import TABLES
+from corrobora.session import spread
+
+# Tables whose rows are long texts, with the key their work is grouped by.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table by name, with its declared schema (no inference pass)."""
-    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    df = spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def read_documents(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
