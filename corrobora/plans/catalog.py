@@ -8,5 +8,6 @@ from corrobora.plans import (  # noqa: F401
     q_ranking,
     q_scoring,
     q_sources,
+    q_streaming,
 )
 from corrobora.plans.registry import ORACLES, QUERIES  # noqa: F401
