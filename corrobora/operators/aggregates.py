@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corrobora import constants as K
 from corrobora.functions.counts import first_count
-from corrobora.functions.text import tokenize
+from corrobora.functions.text import tokenize, with_once
 from corrobora.operators.ranking import top_k
 
 
@@ -44,7 +44,7 @@ def overall_score(ranked: DataFrame, n: int = 3) -> DataFrame:
 
 def casualty_tally(evidence: DataFrame, by: list[str], text: str) -> DataFrame:
     """How many sources state each figure."""
-    stated = evidence.withColumn("figure", first_count(F.col(text))).where(F.col("figure").isNotNull())
+    stated = with_once(evidence, "figure", first_count(F.col(text))).where(F.col("figure").isNotNull())
     return stated.groupBy(*by, "figure").agg(F.count("*").alias("n_sources"))
 
 

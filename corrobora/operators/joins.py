@@ -13,7 +13,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.functions.text import char_grams, let
+from corrobora.functions.phonetics import phonetic_key
+from corrobora.functions.text import char_grams, let, with_once
 from corrobora.functions.urls import host_suffixes
 from corrobora.session import broadcast_checked
 
@@ -70,14 +71,17 @@ def match_identifiers(anchors: DataFrame, articles: DataFrame) -> DataFrame:
     return anchors.select("claim_id", "key").distinct().join(right, "key")
 
 
-def match_phonetic(anchors: DataFrame, articles: DataFrame) -> DataFrame:
-    """Pairs sharing a phonetic key.
+def match_phonetic(anchors: DataFrame, article_words: DataFrame, minimum: int = 4) -> DataFrame:
+    """Articles with a word that sounds like an anchor: (claim_id, value, key, article_id, word).
 
-    ``anchors`` is (claim_id, value, key); ``articles`` is (article_id, key),
-    distinct. Keys shorter than four characters are too weak and do not join.
+    ``anchors`` is (claim_id, value, key); ``article_words`` is (article_id, word).
+    Keys are made once per distinct word, and only words whose key some anchor
+    has go back to the articles. Keys under ``minimum`` letters are too weak to join.
     """
-    strong = lambda df: df.where(F.length("key") >= 4)
-    return strong(anchors).join(strong(articles), "key")
+    strong = lambda df: df.where(F.length("key") >= minimum)
+    vocabulary = with_once(article_words.select("word").distinct(), "key", phonetic_key(F.col("word")))
+    linked = strong(vocabulary).join(strong(anchors), "key")
+    return article_words.join(linked, "word")
 
 
 def _neighbourhood(c: Column) -> Column:
@@ -108,24 +112,28 @@ def match_terms(terms: DataFrame, article_terms: DataFrame, need: int = 2) -> Da
 
     ``terms`` is (claim_id, term), ``article_terms`` is (article_id, term); both
     distinct. A pair with ``need`` hits must hit one of the claim's terms even
-    after its ``need - 1`` most used terms are set aside, so only the others
-    produce candidates; the set-aside terms are then looked up for candidates
-    alone. Nothing is lost, and the hottest words never fan out.
+    after any ``need - 1`` of them are set aside. The shortest are set aside,
+    being the commonest words, and only the others produce candidates; the
+    set-aside terms are then looked up for candidates alone. Nothing is lost,
+    and words that most articles share do not fan out.
+
+    A claim's terms are few (a ranked selection), so ordering them is a small
+    window. A small claim side is broadcast by Catalyst from its estimated size.
     """
     from pyspark.sql import Window
 
-    use = terms.groupBy("term").agg(F.count("*").alias("_use"))
-    w = Window.partitionBy("claim_id").orderBy(F.col("_use").desc(), F.col("term").asc())
-    ranked = terms.join(use, "term").withColumn("_r", F.row_number().over(w))
+    w = Window.partitionBy("claim_id").orderBy(F.length("term").asc(), F.col("term").asc())
+    ranked = terms.withColumn("_r", F.row_number().over(w))
     probe = ranked.where(F.col("_r") >= need).select("claim_id", "term")
-    aside = ranked.where(F.col("_r") < need).select("claim_id", "term")
-    found = probe.join(article_terms, "term").groupBy("claim_id", "article_id").agg(F.count("*").alias("_hits"))
+    found = article_terms.join(probe, "term").groupBy("claim_id", "article_id").agg(F.count("*").alias("_hits"))
     if need == 1:
         return found.withColumnRenamed("_hits", "hits")
+    aside = ranked.where(F.col("_r") < need).select("claim_id", "term")
+    common = article_terms.join(aside.select("term").distinct(), "term", "left_semi")
     extra = (
         found.select("claim_id", "article_id")
         .join(aside, "claim_id")
-        .join(article_terms, ["article_id", "term"])
+        .join(common, ["article_id", "term"])
         .groupBy("claim_id", "article_id")
         .agg(F.count("*").alias("_more"))
     )
@@ -157,21 +165,28 @@ def match_names(names: DataFrame, article_terms: DataFrame, places: DataFrame) -
     return multi.select("claim_id.*", "article_id", "hits").unionByName(single)
 
 
-def match_substring(needles: DataFrame, articles: DataFrame, gram: int = 4) -> DataFrame:
+def match_substring(needles: DataFrame, articles: DataFrame, gram: int = 6) -> DataFrame:
     """Pairs whose article text contains the needle anywhere, even inside a word.
 
-    ``needles`` is (claim_id, value), lower case and at least ``gram`` long;
-    ``articles`` is (article_id, text). An article that contains the needle
-    contains all its n-grams, so joining on the needle's rarest n-gram and then
-    testing containment finds exactly those pairs. Texts are joined back only
+    ``needles`` is (claim_id, value), lower case; values under three characters
+    are too weak and never match. ``articles`` is (article_id, text). An article
+    that contains a needle contains all its n-grams, so joining on the needle's
+    rarest n-gram and then testing containment finds exactly those pairs. Needles
+    shorter than ``gram`` are keyed by their 3-grams. Texts are joined back only
     for candidates.
     """
+    def keys(c: Column, long: Column, short: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.concat(F.when(long, char_grams(c, gram)).otherwise(none), F.when(short, char_grams(c, 3)).otherwise(none))
+
     low = articles.select("article_id", F.lower("text").alias("text"))
-    distinct = needles.select("value").distinct()
-    needle_grams = distinct.select("value", F.explode(char_grams(F.col("value"), gram)).alias("gram"))
-    vocabulary = needle_grams.select("gram").distinct()
-    article_grams = low.select("article_id", F.explode(char_grams(F.col("text"), gram)).alias("gram")).join(
-        vocabulary, "gram", "left_semi"
+    strong = needles.where(F.length("value") >= 3)
+    value, text = F.col("value"), F.col("text")
+    needle_grams = strong.select("value").distinct().select(
+        "value", F.explode(keys(value, F.length("value") >= gram, F.length("value") < gram)).alias("gram")
+    )
+    article_grams = low.select("article_id", F.explode(keys(text, F.lit(True), F.lit(True))).alias("gram")).join(
+        needle_grams.select("gram").distinct(), "gram", "left_semi"
     )
     use = article_grams.groupBy("gram").agg(F.count("*").alias("_df"))
     rarest = (
@@ -180,8 +195,8 @@ def match_substring(needles: DataFrame, articles: DataFrame, gram: int = 4) -> D
         .agg(F.min_by("gram", F.struct(F.coalesce("_df", F.lit(0)), "gram")).alias("gram"))
     )
     candidates = rarest.join(article_grams, "gram").select("value", "article_id")
-    hits = candidates.join(low, "article_id").where(F.contains("text", F.col("value"))).select("value", "article_id")
-    return needles.join(hits, "value")
+    hits = candidates.join(low, "article_id").where(F.contains("text", value)).select("value", "article_id")
+    return strong.join(hits, "value")
 
 
 def match_window(claims: DataFrame, evidence: DataFrame, key: list[str], before: int, after: int) -> DataFrame:

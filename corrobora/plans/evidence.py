@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrobora import constants as K
-from corrobora.functions.text import search_tokens
+from corrobora.functions.text import SEARCH_TOKEN
 from corrobora.operators import aggregates as A
 from corrobora.operators.joins import match_terms
 from corrobora.operators.ranking import band_rank, rank_evidence, top_k
@@ -15,8 +15,11 @@ from corrobora.session import cut_lineage
 
 
 def article_tokens(articles: DataFrame, key: str, text: str) -> DataFrame:
-    """(article_id, term): each article's distinct search tokens, made without a shuffle."""
-    toks = F.array_distinct(F.transform(search_tokens(F.col(text)), lambda t: F.lower(t)))
+    """(article_id, term): each article's distinct tokens, made without a shuffle.
+
+    Stopwords need no filter here: no claim term is one, so they never join.
+    """
+    toks = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(SEARCH_TOKEN), 0))
     return articles.select(F.col(key).alias("article_id"), F.explode(toks).alias("term"))
 
 

@@ -10,6 +10,7 @@ from corrobora.operators import aggregates as A
 from corrobora.plans.q_joins import DOC_TERMS_SQL, ITEM_TERMS_SQL, doc_terms, item_terms
 from corrobora.plans.registry import query
 from corrobora.plans.roles import EVIDENCE_SQL, evidence, inlist, sql_host, sql_tokens
+from corrobora.session import spread
 from corrobora.sources.tables import load
 
 _STATUS = ["O", "F", "P", "X"]
@@ -58,7 +59,7 @@ def _(spark, d):
     text = F.when(F.col("l_linenumber") % 2 == 1, F.concat(q, F.lit(" people killed on the road"))).otherwise(
         F.concat(F.lit("convoy of "), q, F.lit(" lorries"))
     )
-    return A.casualty_tally(load(spark, d, "lineitem").withColumn("t", text), ["l_suppkey"], "t")
+    return A.casualty_tally(spread(load(spark, d, "lineitem"), "l_suppkey").withColumn("t", text), ["l_suppkey"], "t")
 
 
 @query(

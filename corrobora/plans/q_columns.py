@@ -18,6 +18,7 @@ from corrobora.plans.roles import (
     inlist, lst, sql_host, sql_meaningful, sql_phonetic, sql_shingles, sql_title_chars, sql_title_words,
     sql_tokens, sql_trigrams,
 )
+from corrobora.session import spread
 from corrobora.sources.tables import load
 
 # A plate written per customer, valid for three codes of four, in several spellings.
@@ -201,7 +202,7 @@ def _(spark, d):
     i = (F.col("o_orderkey") % 20 + 1).cast("int")
     word = F.element_at(F.array(*[F.lit(w) for w in K.NUMBER_WORDS]), i)
     text = F.concat(F.lit("On the road "), F.initcap(word), F.lit(" people killed and injuries to "), i, F.lit(" persons."))
-    return load(spark, d, "orders").select(
+    return spread(load(spark, d, "orders"), "o_orderkey").select(
         "o_orderkey", C.first_count(text).alias("killed"), C.first_count(text, K.INJURED_WORDS).alias("injured")
     )
 
@@ -331,7 +332,7 @@ def _(spark, d):
         .when(k % 7 == 4, F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string"))
         .when(k % 7 == 5, F.when(F.dayofmonth(day) > 12, fmt("MM-dd-yyyy")).otherwise(fmt("dd.MM.yyyy"))).otherwise("n/a")
     )
-    return load(spark, d, "orders").select("o_orderkey", D.parse_flexible_date(raw).alias("day"))
+    return spread(load(spark, d, "orders"), "o_orderkey").select("o_orderkey", D.parse_flexible_date(raw).alias("day"))
 
 
 @query(

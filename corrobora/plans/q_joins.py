@@ -104,12 +104,10 @@ _LONG = "regexp_full_match(w, '[a-z]{4,}')"
 )
 def _(spark, d):
     latin = lambda c, n: F.array_distinct(F.filter(words(c), lambda w: w.rlike(f"^[a-z]{{{n},}}$")))
-    key = phonetic_key(F.col("value"))
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.explode(latin(F.col("text"), 4)).alias("value"))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.explode(latin(F.col("text"), 4)).alias("word"))
     items = load(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.explode(latin(F.col("text"), 8)).alias("value"))
-    anchors = items.withColumn("key", key)
-    articles = docs.select("article_id", key.alias("key")).distinct()
-    return J.match_phonetic(anchors, articles).groupBy("claim_id", "article_id").agg(F.countDistinct("value").alias("n_values"))
+    anchors = items.withColumn("key", phonetic_key(F.col("value")))
+    return J.match_phonetic(anchors, docs).groupBy("claim_id", "article_id").agg(F.countDistinct("value").alias("n_values"))
 
 
 _NAME7 = "SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS k FROM part"
@@ -161,7 +159,7 @@ def _(spark, d):
 @query(
     "jn7_substring",
     f"""WITH n AS (SELECT DISTINCT item_id AS claim_id, lower(split_part(text, '.', 1)) AS value FROM benchmark),
-    a AS (SELECT doc_id AS article_id, lower(text) AS text FROM documents) SELECT claim_id, value, article_id FROM n JOIN a ON contains(a.text, n.value)""",
+    a AS (SELECT doc_id AS article_id, lower(text) AS text FROM documents) SELECT claim_id, value, article_id FROM n JOIN a ON contains(a.text, n.value) WHERE length(value) >= 3""",
 )
 def _(spark, d):
     needles = load(spark, d, "benchmark").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.functions.text import clean_cell, is_meaningful, label_norm, let
+from corrobora.functions.text import clean_cell, is_meaningful, label_norm, let, with_once
 
 # Header vocabulary shipped as a default; callers pass their own (field, synonym) list.
 DEFAULT_SYNONYMS = [
@@ -58,7 +58,7 @@ def header_match(label: Column, synonyms: list[tuple[str, str]] | None = None) -
 def map_headers(df: DataFrame, label: str, synonyms: list[tuple[str, str]] | None = None) -> DataFrame:
     """Adds ``field`` and ``score`` for each header label."""
     return (
-        df.withColumn("_hit", header_match(F.col(label), synonyms))
+        with_once(df, "_hit", header_match(F.col(label), synonyms))
         .withColumn("field", F.col("_hit.field"))
         .withColumn("score", F.col("_hit.score"))
         .drop("_hit")
