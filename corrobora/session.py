@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # Catalyst and AQE, which shuffle it.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
+# Temporary folders of local-mode sessions, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(app: str = "corrobora", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for; ``conf`` overrides them."""
@@ -46,9 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
