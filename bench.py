@@ -11,10 +11,10 @@ from corrobora.plans import catalog  # noqa: E402
 from corrobora.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "flagship_top_evidence", "sc1_relevance", "sim1_cosine", "jn5_phonetic", "jn7_names", "jn7_substring",
-    "jn8_window", "jn14_prior_claims", "ag11_keywords", "ag12_term_vectors", "wn1_rank_evidence",
-    "wn4_interleaved_topk", "wn6_top_tokens", "htm1_article_text", "dt1_flexible_date", "str4_redact",
-    "set3_upsert", "snk1_contract", "rk2_risk_score", "cl1_stories",
+    "snk1_contract", "jn8_window", "jn14_prior_claims", "set3_upsert", "rk2_risk_score", "wn1_rank_evidence",
+    "wn4_interleaved_topk", "wn6_top_tokens", "ag11_keywords", "ag12_term_vectors", "htm1_article_text",
+    "dt1_flexible_date", "str4_redact", "flagship_top_evidence", "sc1_relevance", "sim1_cosine", "jn5_phonetic",
+    "jn7_names", "jn7_substring", "cl1_stories",
 ]
 
 

@@ -63,14 +63,28 @@ def domain_score(df: DataFrame, host: str, tiers: DataFrame, unknown: int = 12)
 
 
 def match_identifiers(anchors: DataFrame, articles: DataFrame) -> DataFrame:
-    """Pairs sharing an exact identifier key.
+    """Pairs sharing an exact identifier key, one row per claim, key and article.
 
-    ``anchors`` is (claim_id, key); ``articles`` is (article_id, keys array).
+    ``anchors`` is (claim_id, key); ``articles`` is (article_id, keys array). For
+    keys that many claims and many articles carry, use :func:`identifier_hits`.
     """
     right = articles.select("article_id", F.explode(F.array_distinct("keys")).alias("key"))
     return anchors.select("claim_id", "key").distinct().join(right, "key")
 
 
+def identifier_hits(anchors: DataFrame, articles: DataFrame) -> DataFrame:
+    """Per claim and key: how many articles carry the key, and the first of them.
+
+    Articles are reduced to one row per key before the join, so a key shared by a
+    large part of both sides gives one row per claim and never their product.
+    """
+    per_key = (
+        articles.select("article_id", F.explode(F.array_distinct("keys")).alias("key"))
+        .groupBy("key").agg(F.count("*").alias("n_articles"), F.min("article_id").alias("first_article"))
+    )
+    return anchors.select("claim_id", "key").distinct().join(per_key, "key")
+
+
 def match_phonetic(anchors: DataFrame, article_words: DataFrame, minimum: int = 4) -> DataFrame:
     """Articles with a word that sounds like an anchor: (claim_id, value, key, article_id, word).
 

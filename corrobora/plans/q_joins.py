@@ -77,8 +77,9 @@ _CODE_SQL = "list_distinct(list_filter(list_transform(regexp_extract_all(upper(t
     "jn4_identifiers",
     f"""WITH c AS (SELECT doc_id, code FROM (SELECT doc_id, {_CODE_SQL} AS codes FROM documents), unnest(codes) AS u(code)),
     p AS (SELECT DISTINCT page_id AS claim_id, code FROM (SELECT page_id, {_CODE_SQL.replace('text', 'html')} AS codes FROM pages), unnest(codes) AS u(code)
-          UNION SELECT o_orderkey, concat('REF', o_orderkey) FROM orders UNION SELECT doc_id, code FROM c)
-    SELECT claim_id, doc_id AS article_id, p.code AS key FROM p JOIN c ON p.code = c.code""",
+          UNION SELECT o_orderkey, concat('REF', o_orderkey) FROM orders UNION SELECT doc_id, code FROM c),
+    k AS (SELECT code, count(*) AS n_articles, min(doc_id) AS first_article FROM c GROUP BY 1)
+    SELECT claim_id, p.code AS key, n_articles, first_article FROM p JOIN k ON p.code = k.code""",
 )
 def _(spark, d):
     from corrobora.functions.identifiers import extract_codes
@@ -87,7 +88,7 @@ def _(spark, d):
     pages = load(spark, d, "pages").select(F.col("page_id").alias("claim_id"), F.explode(extract_codes(F.col("html"), 6)).alias("key"))
     refs = load(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.concat(F.lit("REF"), "o_orderkey").alias("key"))
     seen = docs.select(F.col("article_id").alias("claim_id"), F.explode("keys").alias("key"))
-    return J.match_identifiers(pages.unionByName(refs).unionByName(seen), docs)
+    return J.identifier_hits(pages.unionByName(refs).unionByName(seen), docs)
 
 
 _LONG = "regexp_full_match(w, '[a-z]{4,}')"
@@ -228,7 +229,7 @@ _KEY_SQL = "regexp_replace(split_part(url, '?', 1), '/+$', '')"
     "jn12_enrich",
     f"""WITH e AS (SELECT page_id AS article_id, split_part(url, '/', 4) AS claim_id, {_KEY_SQL} AS url_key, CAST(page_id * 31 % 101 AS INT) AS score,
       CASE WHEN page_id % 4 = 0 THEN 'CONFIRMED' ELSE 'BACKGROUND' END AS band, page_id % 6 = 1 AS social FROM pages),
-    t AS (SELECT {_KEY_SQL} AS url_key, max(length(html)) AS n_chars FROM pages WHERE page_id % 2 = 0 GROUP BY 1),
+    t AS (SELECT {_KEY_SQL} AS url_key, max(length(html)) AS n_chars FROM pages GROUP BY 1),
     w AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, article_id) AS n FROM e WHERE band <> 'CONFIRMED' AND NOT social)
     SELECT claim_id, article_id, score, n_chars FROM w LEFT JOIN t USING (url_key) WHERE n <= 12""",
 )
@@ -241,7 +242,7 @@ def _(spark, d):
         (n * 31 % 101).cast("int").alias("score"), F.when(n % 4 == 0, "CONFIRMED").otherwise("BACKGROUND").alias("band"),
         (n % 6 == 1).alias("social"),
     )
-    texts = p.where(n % 2 == 0).select(url_key.alias("url_key"), F.col("html").alias("full_text"))
+    texts = p.select(url_key.alias("url_key"), F.col("html").alias("full_text"))
     got = J.enrich(ranked, texts, 12)
     return got.select("claim_id", "article_id", "score", F.length("full_text").cast("bigint").alias("n_chars"))
 

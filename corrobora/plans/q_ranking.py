@@ -144,37 +144,40 @@ def _(spark, d):
     return M.union_sources({"customer": c, "supplier": s})
 
 
-_OLD, _NEW = "c_custkey % 3 <> 0", "c_custkey % 2 = 0"
-
-
 def _sides(spark, d):
+    """Two whole tables with overlapping ids: suppliers and customers."""
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"))
-    old = c.where("id % 3 <> 0").withColumn("name", F.concat("name", F.lit(" old")))
-    return old, c.where("id % 2 = 0")
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("queued").alias("status"))
+    return c, s
 
 
-_SIDES_SQL = f"o AS (SELECT c_custkey AS id, c_name || ' old' AS name, c_mktsegment AS status FROM customer WHERE {_OLD}), n AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS status FROM customer WHERE {_NEW})"
+_C_SQL = "c AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS status FROM customer)"
+_S_SQL = "s AS (SELECT s_suppkey AS id, s_name AS name, 'queued' AS status FROM supplier)"
 
 
-@query("set2_replace_by_key", f"WITH {_SIDES_SQL} SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
+@query("set2_replace_by_key", f"WITH {_C_SQL}, {_S_SQL} SELECT * FROM s UNION ALL SELECT * FROM c WHERE id NOT IN (SELECT id FROM s)")
 def _(spark, d):
-    return M.replace_by_key(*_sides(spark, d), "id")
+    old, new = _sides(spark, d)
+    return M.replace_by_key(old, new, "id")
 
 
 @query(
     "set3_upsert",
-    """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS amount, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice + 1 END AS amount, 'queued' AS status FROM orders WHERE o_orderkey % 2 = 0)
+    """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS amount, o_orderstatus AS status FROM orders), n AS (SELECT c_custkey * 11 AS id, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS amount, 'queued' AS status FROM customer)
     SELECT coalesce(n.id, o.id) AS id, coalesce(n.amount, o.amount) AS amount, CASE WHEN o.id IS NULL THEN n.status ELSE o.status END AS status FROM o FULL JOIN n ON o.id = n.id""",
 )
 def _(spark, d):
-    c = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("status"))
-    new = c.where("id % 2 = 0").select("id", F.when(F.col("id") % 4 != 0, F.col("amount") + 1).alias("amount"), F.lit("queued").alias("status"))
-    return M.upsert_cases(c.where("id % 3 <> 0"), new, "id", ["amount"])
+    old = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("status"))
+    new = load(spark, d, "customer").select(
+        (F.col("c_custkey") * 11).alias("id"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("amount"), F.lit("queued").alias("status")
+    )
+    return M.upsert_cases(old, new, "id", ["amount"])
 
 
-@query("set4_insert_new", f"WITH {_SIDES_SQL} SELECT * FROM o UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM o)")
+@query("set4_insert_new", f"WITH {_C_SQL}, {_S_SQL} SELECT * FROM s UNION ALL SELECT * FROM c WHERE id NOT IN (SELECT id FROM s)")
 def _(spark, d):
-    return M.insert_new(*_sides(spark, d), "id")
+    new, old = _sides(spark, d)
+    return M.insert_new(old, new, "id")
 
 
 _CHILD = "l_orderkey AS id, l_linenumber AS line, l_quantity AS qty"
@@ -182,12 +185,14 @@ _CHILD = "l_orderkey AS id, l_linenumber AS line, l_quantity AS qty"
 
 @query(
     "set5_replace_children",
-    f"""WITH n AS (SELECT {_CHILD} FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber <= 2) SELECT id, count(*) AS n_rows, sum(qty) AS qty FROM
-        (SELECT {_CHILD} FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM n) UNION ALL SELECT id, line, qty + 1 FROM n) GROUP BY 1""",
+    f"""WITH n AS (SELECT o_orderkey AS id, 1 AS line, CAST(o_custkey AS DOUBLE) AS qty FROM orders WHERE o_orderstatus = 'P') SELECT id, count(*) AS n_rows, sum(qty) AS qty FROM
+        (SELECT {_CHILD} FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM n) UNION ALL SELECT id, line, qty FROM n) GROUP BY 1""",
 )
 def _(spark, d):
     old = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))
-    new = old.where("id % 5 = 0 AND line <= 2").withColumn("qty", F.col("qty") + 1)
+    new = load(spark, d, "orders").where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("id"), F.lit(1).alias("line"), F.col("o_custkey").cast("double").alias("qty")
+    )
     return M.replace_children(old, new, "id").groupBy("id").agg(F.count("*").alias("n_rows"), F.sum("qty").alias("qty"))
 
 

@@ -329,18 +329,19 @@ def _(spark, d):
       - CASE WHEN article_id % 11 = 0 AND claim_id % 2 = 0 THEN 0.15 ELSE 0 END)) + 1e-9, 2) AS score5 FROM x""",
 )
 def _(spark, d):
-    q = _text_pairs(spark, d).join(_cosine(spark, d), ["claim_id", "article_id"])
+    q = _text_pairs(spark, d)
     c, a = F.col("claim_id"), F.col("article_id")
     gap = F.abs(a % 90 - c % 30)
     share = S.words_found(F.col("words"), F.col("txt")) / F.size("words")
+    # Everything read from the text is computed before the next join, so texts are not shuffled again.
     parts = q.select(
-        c, a, F.col("plate").alias("plate_match"), F.col("party").alias("party_match"), "cosine",
+        c, a, F.col("plate").alias("plate_match"), F.col("party").alias("party_match"),
         S.entity_ratio(F.col("plate"), F.col("party"), F.contains("txt", F.col("district")), share).alias("entity_raw"),
         F.when(gap == 0, 1.0).when(gap <= 2, 0.9).when(gap <= 7, 0.7).when(gap <= 30, 0.4).otherwise(0.1).alias("date_raw"),
         S.location_score(F.col("district"), F.col("words"), F.col("txt")).alias("location_raw"),
         F.when(a % 7 == 1, 1.0).when(a % 7 == 2, 0.8).otherwise(0.6).alias("source_raw"),
         (a % 11 == 0).alias("text_still"), (c % 2 == 0).alias("story_moving"),
-    )
+    ).join(_cosine(spark, d), ["claim_id", "article_id"])
     return S.score_five_factor(parts).select("claim_id", "article_id", "score5")
 
 

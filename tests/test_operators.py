@@ -124,6 +124,14 @@ def test_hash_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_identifier_pairs_and_hits(spark):
+    anchors = values_frame(spark, [(c, k) for c in range(5) for k in ("HOT", f"K{c}")], "claim_id INT, key STRING")
+    arts = values_frame(spark, [(a, "HOT") for a in range(7)] + [(9, "K3")], "article_id INT, k STRING").select("article_id", F.array("k").alias("keys"))
+    assert joins.match_identifiers(anchors, arts).count() == 5 * 7 + 1
+    got = {(r.claim_id, r.key): (r.n_articles, r.first_article) for r in joins.identifier_hits(anchors, arts).collect()}
+    assert got == {**{(c, "HOT"): (7, 0) for c in range(5)}, (3, "K3"): (1, 9)}
+
+
 def test_case_detail_chunks_keep_every_child(spark):
     cases = values_frame(spark, [(1,), (2,), (3,)], "k INT")
     kids = spark.range(2500).select(F.when(F.col("id") < 2400, 1).otherwise(2).alias("k"), F.col("id").alias("o"))
