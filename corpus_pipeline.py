@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corrobora.llm import simhash
-from corrobora.llm.common import table, written
+from corrobora.llm import line_crf, simhash
+from corrobora.llm.common import fresh_name, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose lines are mostly boilerplate, go."""
+    field = line_crf.fit(docs, table(spark, sf_dir, "labels"), per_class=400)
+    verdict = fresh_name(docs, "verdict")
+    return line_crf.judge(docs, field, name=verdict).where(f"{verdict}.kept").drop(verdict)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+]
 
 # A pseudo-random draw, trained models and a tokenizer are beyond SQL.
 ORACLE_SQL = None

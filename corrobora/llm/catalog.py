@@ -4,21 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corrobora.llm import simhash
+from corrobora.llm import attention_mil, line_crf, simhash, token_counts
 from corrobora.llm.common import table
+from corrobora.llm.quality_lines import held_out
+
+PIECE_MODEL = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def model_bytes(name: str) -> bytes:
+    """A public tokenizer's file, read once on the driver and sent with the tasks."""
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = attention_mil.fit(docs, table(spark, sf_dir, "labels"), per_class=1000)
+    return attention_mil.scored(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_crf.fit(docs, table(spark, sf_dir, "labels"), per_class=400)
+    return line_crf.judge(docs, field).select("doc_id", "quality.*")
+
+
 @query
 def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, radius=4, width=4, carry=["doc_id"]).drop("keeps")
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, model_bytes(PIECE_MODEL), limit=4096)

@@ -99,3 +99,47 @@ def in_pieces(texts: list[str], chars: int = 2_000_000):
             part, held = [], 0
     if part:
         yield part
+
+
+def labelled_lines(docs, labels, per_class: int = 1000, id: str = "doc_id", text: str = "text"):
+    """A bounded sample of labelled texts as line features, for fitting: (features, firsts, label of each text).
+
+    At most ``per_class`` texts of each quality are drawn, in the order of a hash of their ids, and only where
+    crc32(id) mod 4 is not 2. Features are made by Spark tasks; the driver gets a few numbers per line.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    marks = labels.where(
+        F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    ).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
+    drawn = None
+    for q in (0, 1):
+        some = marks.where(F.col("_quality") == q).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        drawn = some if drawn is None else drawn.union(some)
+    picked = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+
+    def featured(batches):
+        reader = LineReader()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
+            got = [reader.read([t])[0].tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("_id")), batch.column(batch.schema.get_field_index("_quality")),
+                 pa.array(got, pa.binary())], names=["id", "quality", "lines"])
+
+    rows = picked.select("_id", "_quality", "_text").mapInArrow(
+        featured, f"id {picked.schema['_id'].dataType.simpleString()}, quality int, lines binary"
+    ).collect()
+    rows.sort(key=lambda r: (str(r.id), bytes(r.lines)))
+    parts = [np.frombuffer(bytes(r.lines), np.float32).reshape(-1, len(FEATURES)) for r in rows]
+    firsts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)[: len(parts)]
+    features = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.float32)
+    return features.astype(np.float64), firsts, np.array([r.quality for r in rows], np.float64)
+
+
+def held_out(id):
+    """True where crc32 of the id as text leaves 2 when divided by 4: such rows are never learnt from."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
