@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import attention_mil, line_crf, simhash, token_counts
+from corrobora.llm import attention_mil, line_crf, metric_join, pivotal_mix, simhash, token_counts
 from corrobora.llm.common import table
 from corrobora.llm.quality_lines import held_out
 
@@ -54,7 +54,18 @@ def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, radius=4, width=4, carry=["doc_id"]).drop("keeps")
 
 
+@query
+def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return pivotal_mix.mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0, carry=["doc_id"])
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, model_bytes(PIECE_MODEL), limit=4096)
+
+
+@query
+def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
