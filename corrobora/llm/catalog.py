@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import attention_mil, line_crf, metric_join, pivotal_mix, simhash, token_counts
+from corrobora.llm import attention_mil, line_crf, metric_join, pii, pivotal_mix, simhash, token_counts
 from corrobora.llm.common import table
 from corrobora.llm.quality_lines import held_out
 
@@ -66,6 +66,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, model_bytes(PIECE_MODEL), limit=4096)
 
 
+@query
+def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans_of(docs, pii.fit(docs, sample=3000))
+    kinds = F.transform("pii_base", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(F.col("pii_base")), 256).alias("base_sha256"),
+        pii.listed(F.col("pii_spans")).alias("spans"),
+    )
+
+
 @query
 def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
