@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import attention_mil, line_crf, metric_join, pii, pivotal_mix, simhash, token_counts
-from corrobora.llm.common import table
+from corrobora.llm import attention_mil, line_crf, metric_join, pii, pivotal_mix, simhash, token_counts, tool_calls
+from corrobora.llm.common import n_words, table
+from corrobora.llm.oracles import OP1_SQL
 from corrobora.llm.quality_lines import held_out
+from corrobora.session import values_frame
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -24,12 +26,52 @@ def model_bytes(name: str) -> bytes:
         return f.read()
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has any."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# Fields of the two tools that the turns of conversations are read as calls of.
+TOOL_FIELDS = [
+    ("search", "limit", "integer", True), ("search", "query", "string", True),
+    ("summarise", "lines", "integer", True), ("summarise", "query", "string", True), ("summarise", "limit", "integer", False),
+]
+
+
+@query(OP1_SQL)
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call, every assistant turn as the result of the turn before it.
+
+    A turn of several lines asks for a summary and gives its lines as text, which the fields do not allow; the
+    first turn gives no limit. A call needs the result of the call two turns before. Conversations with a system
+    turn are taken as logged newest first, so that their stored order runs against the links.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    logged = turns.groupBy("conv_id").agg(F.max(F.col("role") == "system").alias("reverse"))
+    turns = turns.join(logged, "conv_id").withColumn("position", F.when(F.col("reverse"), -F.col("turn")).otherwise(F.col("turn")))
+    lines = F.size(F.split("text", "\n", -1))
+    limit = F.when(F.col("turn") > 0, n_words(F.col("text")))
+    several = lines > 1
+    search = F.to_json(F.struct(limit.alias("limit"), F.col("text").alias("query")))
+    summarise = F.to_json(F.struct(F.col("text").alias("query"), lines.cast("string").alias("lines"), limit.alias("limit")))
+    number = lambda back: F.concat(F.lit("call-"), (F.col("turn") - back).cast("string"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "position", number(0).alias("call_id"), F.when(several, "summarise").otherwise("search").alias("name"),
+        F.when(several, summarise).otherwise(search).alias("arguments"), F.array(number(2)).alias("depends"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", "position", number(1).alias("call_id"), F.col("text").alias("content"))
+    fields = values_frame(spark, TOOL_FIELDS, "name string, field string, type string, required boolean")
+    return tool_calls.link(calls, results, fields)
 
 
-@query
+@query()
 def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = attention_mil.fit(docs, table(spark, sf_dir, "labels"), per_class=1000)
@@ -41,32 +83,32 @@ def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query()
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     field = line_crf.fit(docs, table(spark, sf_dir, "labels"), per_class=400)
     return line_crf.judge(docs, field).select("doc_id", "quality.*")
 
 
-@query
+@query()
 def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, radius=4, width=4, carry=["doc_id"]).drop("keeps")
 
 
-@query
+@query()
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return pivotal_mix.mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0, carry=["doc_id"])
 
 
-@query
+@query()
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, model_bytes(PIECE_MODEL), limit=4096)
 
 
-@query
+@query()
 def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.spans_of(docs, pii.fit(docs, sample=3000))
@@ -80,6 +122,6 @@ def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query()
 def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
