@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import attention_mil, line_crf, metric_join, pii, pivotal_mix, simhash, token_counts, tool_calls
+from corrobora.llm import attention_mil, host_reputation, line_crf, metric_join, pii, pivotal_mix, simhash, token_counts, tool_calls
 from corrobora.llm.common import n_words, table
-from corrobora.llm.oracles import OP1_SQL
+from corrobora.llm.oracles import OP1_SQL, OP5_SQL
 from corrobora.llm.quality_lines import held_out
 from corrobora.session import values_frame
 
@@ -96,6 +96,17 @@ def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, radius=4, width=4, carry=["doc_id"]).drop("keeps")
 
 
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+
+
+@query(OP5_SQL)
+def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return host_reputation.judge(pages, URL_RULES, least=0.5, z=1.645).drop("url")
+
+
 @query()
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")

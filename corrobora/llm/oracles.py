@@ -38,3 +38,56 @@ SELECT conv_id, position, kind, call_id, name,
     ELSE CAST(json_object('content', text, 'id', call_id, 'kind', kind, 'status', status) AS VARCHAR) END AS json
 FROM given
 """
+
+# Outcomes by host, shrunk to domain, suffix and all in turn; "k" is the strength of the prior of a level.
+OP5_SQL = r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), judged AS (
+  SELECT *, CASE
+    WHEN concat('.', host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN concat('.', host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN concat('.', host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN concat('.', host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN concat('.', host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM parts
+), ruled AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS spoken FROM judged
+), hosts AS (
+  SELECT host, CAST(count(rule) AS DOUBLE) AS n, CAST(sum(CASE WHEN spoken = 'allow' THEN 1 ELSE 0 END) AS DOUBLE) AS good,
+    CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain
+  FROM ruled GROUP BY host
+), named AS (
+  SELECT *, CASE WHEN regexp_matches(domain, '^[0-9.]*$') THEN '' ELSE regexp_extract(domain, '^[^.]*\.(.*)$', 1) END AS suffix FROM hosts
+), suffix_counts AS (
+  SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM named) AS parent FROM named GROUP BY suffix
+), suffix_k AS (
+  SELECT CASE WHEN rho IS NULL OR rho <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, 1 / rho - 1)) END AS k FROM (
+    SELECT sum(n * ((good / n - parent) * (good / n - parent) / (parent * (1 - parent)) - 1 / n)) / nullif(sum(n - 1), 0) AS rho
+    FROM suffix_counts WHERE n > 0)
+), suffixes AS (
+  SELECT s.*, k, (good + k * parent) / (n + k) AS mean FROM suffix_counts s, suffix_k
+), domain_counts AS (
+  SELECT domain, d.suffix, sum(d.n) AS n, sum(d.good) AS good, any_value(s.mean) AS parent
+  FROM named d JOIN suffixes s USING (suffix) GROUP BY domain, d.suffix
+), domain_k AS (
+  SELECT CASE WHEN rho IS NULL OR rho <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, 1 / rho - 1)) END AS k FROM (
+    SELECT sum(n * ((good / n - parent) * (good / n - parent) / (parent * (1 - parent)) - 1 / n)) / nullif(sum(n - 1), 0) AS rho
+    FROM domain_counts WHERE n > 0)
+), domains AS (
+  SELECT s.*, k, (good + k * parent) / (n + k) AS mean FROM domain_counts s, domain_k
+), host_counts AS (
+  SELECT h.host, h.n, h.good, d.mean AS parent FROM named h JOIN domains d USING (domain)
+), host_k AS (
+  SELECT CASE WHEN rho IS NULL OR rho <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, 1 / rho - 1)) END AS k FROM (
+    SELECT sum(n * ((good / n - parent) * (good / n - parent) / (parent * (1 - parent)) - 1 / n)) / nullif(sum(n - 1), 0) AS rho
+    FROM host_counts WHERE n > 0)
+), known AS (
+  SELECT s.*, k, (good + k * parent) / (n + k) AS mean FROM host_counts s, host_k
+)
+SELECT page_id, host, path, rule,
+  coalesce(spoken, CASE WHEN mean + 1.645 * sqrt(mean * (1 - mean) / (n + k + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN known USING (host)
+"""
