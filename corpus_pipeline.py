@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corrobora.llm import line_crf, simhash
-from corrobora.llm.common import fresh_name, table, written
+from corrobora.llm import line_crf, pii, pivotal_mix, simhash, suffix_pieces
+from corrobora.llm.common import fresh_name, model_bytes, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,9 +24,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind."""
+    return pii.redacted(docs, pii.fit(docs))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mix takes it."""
+    return pivotal_mix.mixed(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns, and the ids of the text."""
+    return suffix_pieces.encoded(docs, model_bytes("piece_bpe_32k.model"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+    ("piece_ids", piece_ids),
 ]
 
 # A pseudo-random draw, trained models and a tokenizer are beyond SQL.

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import attention_mil, host_reputation, line_crf, metric_join, pii, pivotal_mix, simhash, token_counts, tool_calls
-from corrobora.llm.common import n_words, table
+from corrobora.llm import attention_mil, host_reputation, line_crf, metric_join, pii, pivotal_mix, simhash, suffix_pieces, token_counts, tool_calls
+from corrobora.llm.common import model_bytes, n_words, table
 from corrobora.llm.oracles import OP1_SQL, OP5_SQL
 from corrobora.llm.quality_lines import held_out
 from corrobora.session import values_frame
@@ -20,12 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def model_bytes(name: str) -> bytes:
-    """A public tokenizer's file, read once on the driver and sent with the tasks."""
-    with open(public_tokenizers.path(name), "rb") as f:
-        return f.read()
-
-
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL if it has any."""
 
@@ -133,6 +126,13 @@ def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_pieces.encoded(docs, model_bytes(PIECE_MODEL), check="round_trip")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 @query()
 def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def whole_text(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
+def model_bytes(name: str) -> bytes:
+    """A public tokenizer's file, read once on the driver and sent with the tasks."""
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
 
 
 def n_words(text: Column) -> Column:
