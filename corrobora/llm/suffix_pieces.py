@@ -231,7 +231,7 @@ class Encoder:
         begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
         cut = np.ones(len(codes), bool)
         cut[1:] = ~self.meets[codes[:-1] * (len(self.code) + 1) + codes[1:]]
-        cut[begins[:-1]] = True
+        cut[begins[begins < len(codes)]] = True
         places = np.flatnonzero(cut)
         ends = [*places[1:].tolist(), len(joined)]
         return [joined[a:b] for a, b in zip(places.tolist(), ends)], np.searchsorted(places, begins).tolist()
