@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -108,15 +109,16 @@ class Encoder:
         self.high = np.array([x + b"\xff" * (self.width - len(x)) for x in low], f"S{self.width}")
         self.ids = np.array([v.id_of[p] for p in v.pieces], np.int64)
         self.sizes = np.array([len(p) for p in v.pieces], np.int64)
-        self.same = list(range(len(v.output)))  # one object per id
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
+        # Ids of pre-tokens and of parts of words, as 32-bit integers in one string each, ready to be joined.
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.lossy: set[str] = set()  # pre-tokens whose ids do not decode to them
         self.meets = np.zeros((len(v.alphabet) + 1) ** 2, bool)
         for p in v.pieces:
             for x, y in zip(p, p[1:]):
                 self.meets[self.code[x] * (len(v.alphabet) + 1) + self.code[y]] = True
-        self.runs: dict[int, list[int]] = {}
+        self.runs: dict[int, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a: no earlier merge crosses their border."""
@@ -214,11 +216,11 @@ class Encoder:
             fits.clear()
         return out
 
-    def _run(self, n: int) -> list[int]:
+    def _run(self, n: int) -> bytes:
         """Ids of ``n`` spaces."""
         if n not in self.runs:
             spaces = {p: r for p, r in self.v.rank.items() if not p.strip(SPACE)}
-            self.runs[n] = [self.v.id_of[p] for p in merge([SPACE] * n, spaces)]
+            self.runs[n] = _packed([self.v.id_of[p] for p in merge([SPACE] * n, spaces)])
         return self.runs[n]
 
     def _cut(self, words: list[str]) -> tuple[list[str], list[int]]:
@@ -237,48 +239,63 @@ class Encoder:
         return [joined[a:b] for a, b in zip(places.tolist(), ends)], np.searchsorted(places, begins).tolist()
 
     def _learn(self, tokens: Iterable[str]) -> None:
-        """Ids of pre-tokens not known yet; parts of words are encoded once each, half a million characters at a time."""
-        known, parts, single = self.known, self.parts, self.v.id_of[SPACE]
-        shared = self.same.__getitem__
+        """Ids of pre-tokens not known yet; parts of words are encoded once each, a quarter of a million characters at a time."""
+        known, parts, output = self.known, self.parts, self.v.output
+        single = _packed([self.v.id_of[SPACE]])
         missing = [t for t in tokens if t not in known]
-        cores = [t.lstrip(SPACE) for t in missing]
-        words = [SPACE + c if c and len(c) < len(t) else c for t, c in zip(missing, cores)]
         if not missing:
             return
+        cores = [t.lstrip(SPACE) for t in missing]
+        words = [SPACE + c if c and len(c) < len(t) else c for t, c in zip(missing, cores)]
         pieces, firsts = self._cut(words)
-        for group in in_pieces([x for x in dict.fromkeys(pieces) if x not in parts], 500_000):
+        for group in in_pieces([x for x in dict.fromkeys(pieces) if x not in parts], 250_000):
             for x, ids in zip(group, self.encode_words(group)):
-                parts[x] = tuple(map(shared, ids)) if min(ids) >= 0 else tuple(chain.from_iterable(map(self._ids, ids)))
+                if min(ids) < 0:
+                    ids = list(chain.from_iterable(map(self._ids, ids)))
+                parts[x] = _packed(ids)
+                if b"".join(map(output.__getitem__, ids)) != x.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                    self.lossy.add(x)
+        lossy = self.lossy
         for t, c, a, b in zip(missing, cores, firsts, firsts[1:]):
-            ids = parts[pieces[a]] if b == a + 1 else tuple(chain.from_iterable(map(parts.__getitem__, pieces[a:b])))
+            ids = parts[pieces[a]] if b == a + 1 else b"".join(map(parts.__getitem__, pieces[a:b]))
             spaces = len(t) - len(c)
             if not ids:
-                ids = tuple(self._run(spaces))
-            elif spaces and ids[0] == single:
+                ids = self._run(spaces)
+            elif spaces and ids[:4] == single:
                 # The space did not join the word, so it belongs to the run.
-                ids = (*self._run(spaces), *ids[1:])
+                ids = self._run(spaces) + ids[4:]
             elif spaces > 1:
-                ids = (*self._run(spaces - 1), *ids)
+                ids = self._run(spaces - 1) + ids
             known[t] = ids
+            if lossy and not lossy.isdisjoint(pieces[a:b]):
+                lossy.add(t)
 
     def _ids(self, i: int) -> list[int]:
-        return [self.same[i]] if i >= 0 else [self.v.bytes_at[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")]
+        return [i] if i >= 0 else [self.v.bytes_at[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text as 32-bit integers, and whether they decode to it (spaces standing for space marks)."""
         tokens = [pre_tokens(t or "") for t in texts]
-        distinct = set(chain.from_iterable(tokens))
         if len(self.known) > self.held:
             self.known = {}
         if len(self.parts) > self.held:
-            self.parts = {}
-        self._learn(distinct)
-        known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, t))) for t in tokens]
+            self.parts, self.lossy = {}, set()
+        self._learn(set(chain.from_iterable(tokens)))
+        known, lossy = self.known.__getitem__, self.lossy
+        # A text's ids and its bytes are those of its pre-tokens one after another, so decoding these is decoding it.
+        return [b"".join(map(known, t)) for t in tokens], [not lossy or lossy.isdisjoint(t) for t in tokens]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<i4").tolist() for x in self.packed(texts)[0]]
 
     def decode(self, ids: Iterable[int]) -> str:
         return decode(self.v.output, ids)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def decode(output: list[bytes], ids: Iterable[int]) -> str:
     """The text of ids: control pieces are nothing, bytes that are not UTF-8 become the replacement character."""
     data = b"".join(map(output.__getitem__, ids))
@@ -300,11 +317,13 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
         encoder = Encoder(vocabulary)
         for column in columns:
             found, same = [], []
-            for part in in_pieces([t or "" for t in column.to_pylist()], 4_000_000):
-                lists = encoder.encode(part)
-                same.extend(encoder.decode(x) == t.replace(SPACE, " ") for x, t in zip(lists, part))
-                found.append(pa.array(lists, pa.list_(pa.int32())))
-            lists = pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
+            for part in in_pieces([t or "" for t in column.to_pylist()], 2_000_000):
+                packed, ok = encoder.packed(part)
+                found.extend(packed)
+                same.extend(ok)
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], names=["ids", "same"])
         gc.enable()
 
