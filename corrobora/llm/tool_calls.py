@@ -3,8 +3,8 @@
 Calls and results meet in a hash join on (conversation, identifier). Events are ordered topologically: a result
 comes after its call, and a call after the results it depends on. Where the stored order of a conversation is
 topological already, it stays, at any length and in one pass. Only conversations with a link against the stored
-order are layered: each round settles the events whose needs are all settled, so rounds follow the longest chain
-among those. Arguments are checked against a table of fields, and events become canonical JSON: keys in order, no
+order are layered: one of up to ``together`` events in its own row, a longer one over many tasks, in rounds that each
+settle the events whose needs are all settled. Arguments are checked against a table of fields, and events become canonical JSON: keys in order, no
 blanks, numbers in one form.
 
 DataFrame functions only.
@@ -54,40 +54,73 @@ def problems(arguments: Column, fields: Column) -> Column:
     )
 
 
-def _layers(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, node, layer) of the events of conversations whose stored order is not topological.
+def _layers_within(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, layer) of whole conversations (conv_id, node) in one row each, by relaxing all layers until none grows.
 
-    ``edges`` are (conv_id, node, needs). An event in a circle, or behind one, has no layer.
+    After as many steps as there are events only events in a circle, or behind one, have grown that far.
     """
-    place = events.select("conv_id", F.col("node").alias("needs"), F.col("position").alias("before"))
-    known = cut_lineage(
-        edges.join(place, ["conv_id", "needs"]).join(events.select("conv_id", "node", "position"), ["conv_id", "node"])
-        .select("conv_id", "node", "needs", (F.col("before") >= F.col("position")).alias("against"))
+    needs = edges.groupBy("node").agg(F.collect_list("needs").alias("needs"))
+    packed = nodes.join(needs, "node", "left").groupBy("conv_id").agg(
+        F.collect_list(F.struct("node", F.coalesce("needs", F.array().cast("array<bigint>")).alias("needs"))).alias("events")
     )
-    astray = known.where("against").select("conv_id").distinct()
-    open_ = cut_lineage(events.join(astray, "conv_id", "left_semi").select("conv_id", "node"))
-    needs = known.join(astray, "conv_id", "left_semi").select("conv_id", "node", "needs")
-    done, layer = None, 0
-    left = open_.count()
-    while left:
-        held = needs.select("conv_id", "node").distinct()
-        ready = cut_lineage(open_.join(held, ["conv_id", "node"], "left_anti"))
-        settled = ready.withColumn("layer", F.lit(layer))
-        done = settled if done is None else done.union(settled)
-        n = ready.count()
-        if n == 0:
-            return done.union(open_.withColumn("layer", F.lit(None).cast("int")))
-        left -= n
-        open_ = cut_lineage(open_.join(ready, ["conv_id", "node"], "left_anti"))
-        needs = cut_lineage(
-            needs.join(ready.withColumnRenamed("node", "needs"), ["conv_id", "needs"], "left_anti")
-            .select("conv_id", "node", "needs")
-        )
+    packed = packed.select(F.transform("events", lambda e: e["node"]).alias("nodes"), "events").select(
+        "nodes",
+        F.transform("events", lambda e: F.transform(e["needs"], lambda n: (F.array_position("nodes", n) - 1).cast("int"))).alias("places"),
+    )
+    start = F.struct(F.transform("nodes", lambda n: F.lit(0)).alias("layers"), F.lit(True).alias("grew"))
+
+    def step(acc: Column, _: Column) -> Column:
+        old = acc["layers"]
+        new = F.transform("places", lambda ps: F.aggregate(ps, F.lit(0), lambda most, p: F.greatest(most, F.get(old, p) + 1)))
+        return F.when(acc["grew"], F.struct(new.alias("layers"), (new != old).alias("grew"))).otherwise(acc)
+
+    size = F.size("nodes")
+    layers = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda acc: acc["layers"])
+    return packed.select(F.explode(F.arrays_zip("nodes", layers.alias("layers"))).alias("e"), size.alias("size")).select(
+        F.col("e.nodes").alias("node"), F.when(F.col("e.layers") < F.col("size"), F.col("e.layers")).alias("layer")
+    )
+
+
+def _layers_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, layer) of conversations of any size: a round for each layer.
+
+    A round drops the needs that the last one settled; what has none left is settled next. Rounds join by sorting:
+    each broadcast would stay on the driver for a while, however small.
+    """
+    needs = cut_lineage(edges)
+    waiting = needs.select("node").distinct()
+    done = nodes.select("node").join(waiting.hint("merge"), "node", "left_anti").withColumn("layer", F.lit(0))
+    ready, layer = done.select("node"), 0
+    while not needs.isEmpty():
         layer += 1
-    return done if done is not None else open_.withColumn("layer", F.lit(None).cast("int"))
+        rest = cut_lineage(needs.join(ready.withColumnRenamed("node", "needs").hint("merge"), "needs", "left_anti").select("node", "needs"))
+        still = rest.select("node").distinct()
+        ready = cut_lineage(waiting.join(still.hint("merge"), "node", "left_anti"))
+        if ready.isEmpty():
+            return done.union(still.withColumn("layer", F.lit(None).cast("int")))
+        done = done.union(ready.withColumn("layer", F.lit(layer)))
+        needs, waiting = rest, still
+    return done
 
 
-def link(calls: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame:
+def _layers(events: DataFrame, edges: DataFrame, together: int) -> DataFrame:
+    """(node, layer) of the events of conversations whose stored order is not topological.
+
+    ``events`` are (conv_id, node, position), ``edges`` (node, needs). An event in a circle, or behind one, has no
+    layer. Conversations of at most ``together`` events are layered in a row each, so their depth takes no rounds.
+    """
+    places = events.select("node", "position")
+    before = places.select(F.col("node").alias("needs"), F.col("position").alias("before"))
+    against = edges.join(before, "needs").join(places, "node").where(F.col("before") >= F.col("position")).select("node")
+    astray = events.join(against, "node", "left_semi").select("conv_id").distinct()
+    sizes = events.groupBy("conv_id").agg(F.count("*").alias("size"))
+    nodes = cut_lineage(events.join(astray, "conv_id", "left_semi").join(sizes, "conv_id").select("conv_id", "node", "size"))
+    small, large = nodes.where(F.col("size") <= together), nodes.where(F.col("size") > together)
+    found = _layers_within(small, edges.join(small.select("node"), "node", "left_semi"))
+    return found if large.isEmpty() else found.union(_layers_by_rounds(large, edges.join(large.select("node"), "node", "left_semi")))
+
+
+def link(calls: DataFrame, results: DataFrame, fields: DataFrame, together: int = 2000) -> DataFrame:
     """One row per call and per result: conv_id, position, kind, call_id, name, ordinal, status, problems, json.
 
     ``calls`` are (conv_id, position, call_id, name, arguments, depends), ``arguments`` being JSON and ``depends``
@@ -130,15 +163,15 @@ def link(calls: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame:
     e = e.withColumn("status", status).join(broadcast_checked(schema), "name", "left")
     e = written(e.withColumn("problems", F.when(F.col("kind") == "call", problems(F.col("body"), F.col("fields")))).drop("fields"), "linked")
 
-    # Nodes are rows; a conversation's key stands in for a null one, which joins would drop.
+    # Nodes are rows; a struct around a conversation's id stands in for a null one, which joins would drop.
     keyed = e.select(F.struct("conv_id").alias("conv_id"), F.col("row").alias("node"), "position", "kind", "call_id", "status",
                      "call_row", "depends")
     answered = keyed.where("kind = 'result' and status = 'linked'")
-    of_result = answered.select("conv_id", "node", F.col("call_row").alias("needs"))
+    of_result = answered.select("node", F.col("call_row").alias("needs"))
     wanted = keyed.where("kind = 'call' and status != 'duplicate'").select("conv_id", "node", F.explode("depends").alias("call_id"))
     of_call = wanted.join(answered.select("conv_id", "call_id", F.col("node").alias("needs")), ["conv_id", "call_id"])
-    edges = of_result.union(of_call.select("conv_id", "node", "needs")).distinct()
-    layers = _layers(keyed.select("conv_id", "node", "position"), edges).select(
+    edges = cut_lineage(of_result.union(of_call.select("node", "needs")).distinct())
+    layers = _layers(keyed.select("conv_id", "node", "position"), edges, together).select(
         F.col("node").alias("row"), "layer", F.lit(True).alias("layered")
     )
     placed = e.join(layers, "row", "left").withColumn("circular", F.col("layered").isNotNull() & F.col("layer").isNull())

@@ -281,7 +281,8 @@ def test_metric_join_of_clusters(spark, settings):
     assert got == {i: (near[i].sum() - 1, parent[i]) for i in range(len(x))}
 
 
-def test_tool_calls(spark):
+@pytest.mark.parametrize("together", [0, 3, 2000])
+def test_tool_calls(spark, together):
     calls = [
         ("k", 1, "a", "find", '{"b": 2, "a": "x"}', []), ("k", 2, "a", "find", '{"a": "again"}', None),
         ("k", 3, "b", "find", '{"a": 7, "c": null}', ["a", "gone"]), ("k", 9, "d", "none", "{}", []), ("k", 10, None, "find", "not json", []),
@@ -296,7 +297,7 @@ def test_tool_calls(spark):
     c = spark.createDataFrame(calls, "conv_id string, position long, call_id string, name string, arguments string, depends array<string>")
     r = spark.createDataFrame(results, "conv_id string, position long, call_id string, content string")
     f = spark.createDataFrame(fields, "name string, field string, type string, required boolean")
-    rows = tool_calls.link(c.withColumn("row", F.lit(1)), r.withColumn("status", F.lit("mine")), f).collect()
+    rows = tool_calls.link(c.withColumn("row", F.lit(1)), r.withColumn("status", F.lit("mine")), f, together).collect()
     got = {(x.conv_id, x.position): x for x in rows}
     assert len(rows) == len(calls) + len(results)
     status = {k: x.status for k, x in got.items()}
