@@ -11,10 +11,31 @@ ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;", "'"), ("&apos;", "'"),
     ("&nbsp;", " "), ("&amp;", "&"),
 ]
+# At most seven decimal or six hexadecimal digits reach every code point.
+NUMBER_REFERENCE = "&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 MIN_ARTICLE_CHARS = 120
 
 
+def _decode_numbers(c: Column) -> Column:
+    """Decimal and hexadecimal character references as their characters; impossible numbers stay as written."""
+    between = F.split(c, NUMBER_REFERENCE, -1)
+    written = F.regexp_extract_all(c, F.lit(NUMBER_REFERENCE), 0)
+
+    def character(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, "([0-9A-Fa-f]+);$", 1)
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        # UTF-32 spells any code point in four bytes.
+        text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(F.coalesce(sound, F.lit(False)), text).otherwise(ref)
+
+    parts = F.transform(written, lambda ref, i: F.concat(F.get(between, i), character(ref)))
+    decoded = F.concat(F.array_join(parts, ""), F.element_at(between, -1))
+    return F.when(c.rlike(NUMBER_REFERENCE), decoded).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
+    c = _decode_numbers(c)
     for pattern, replacement in ENTITIES:
         c = F.regexp_replace(c, pattern, replacement)
     return c

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ def phonetic_key(c: Column) -> Column:
 def spelling_variants(c: Column) -> Column:
     """Up to three spellings of a single word, the word itself first."""
     w = F.trim(c)
-    head, tail = F.substring(w, 1, 1), F.substring(w, 2, 1000)
+    head, tail = F.left(w, F.lit(1)), F.right(w, F.length(w) - 1)
     forms = F.array(w, *[F.concat(head, F.regexp_replace(tail, p, r)) for p, r in K.SPELLING_SWAPS])
     forms = F.filter(forms, lambda f: (f == w) | (F.length(f) >= 3))
     plain = (F.length(w) < 4) | w.rlike(r"[\s-]") | w.rlike("[ऀ-ൿ]")
@@ -91,7 +94,11 @@ def _romanise(word: str) -> str:
 
 
 def romanise_column() -> object:
-    """Arrow UDF from native-script words to Latin spelling."""
+    """Arrow UDF from native-script words to Latin spelling.
+
+    It travels to the workers by value, so they need no copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
     @F.pandas_udf("string")
     def romanise(words: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corrobora import constants as K
+from corrobora import defaults
 from corrobora.functions.text import let
 
 
@@ -105,7 +106,7 @@ def unwrap_url(url: Column, param: str = "url") -> Column:
 
 def tier_score(host: Column, tiers: list[tuple[int, list[str]]] | None = None) -> Column:
     """Trust score of a host by the first tier listing it or a parent domain."""
-    tiers = K.DOMAIN_TIERS if tiers is None else tiers
+    tiers = defaults.DOMAIN_TIERS if tiers is None else tiers
 
     def by_suffix(suffixes: Column) -> Column:
         score = F.when(F.size(suffixes) == 0, F.lit(0))

@@ -59,7 +59,8 @@ def source_outcomes(log: DataFrame, run: list[str]) -> DataFrame:
     )
 
 
-HARVEST_RUN = r"(?<![\p{L}\p{N}_])[A-Z][a-z]{3,}(?:\s+[A-Z][a-z]{3,})?(?![\p{L}\p{N}_])"
+# Word edges are those of ASCII words, the same in every regex engine, accented text or not.
+HARVEST_RUN = r"(?<![A-Za-z0-9_])[A-Z][a-z]{3,}(?:\s+[A-Z][a-z]{3,})?(?![A-Za-z0-9_])"
 
 
 def harvest_terms(

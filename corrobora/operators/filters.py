@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrobora import constants as K
+from corrobora import defaults
 from corrobora.functions.counts import reported_counts
 from corrobora.functions.text import contains_any, is_meaningful
 from corrobora.functions.urls import host_in, host_of
@@ -59,7 +60,7 @@ def is_noise(url: Column, text: Column, patterns: list[str], terms: list[str]) -
 
 
 def reject_noise(df: DataFrame, url: str, text: str, patterns: list[str] | None = None, terms: list[str] = ()) -> DataFrame:
-    return df.where(~is_noise(F.col(url), F.col(text), patterns or K.NOISE_URL_PATTERNS, list(terms)))
+    return df.where(~is_noise(F.col(url), F.col(text), patterns or defaults.NOISE_URL_PATTERNS, list(terms)))
 
 
 def verified_social(

@@ -20,7 +20,7 @@ from corrobora.session import broadcast_checked
 
 
 def case_detail(cases: DataFrame, children: dict[str, DataFrame], key: str, order: str, chunk: int = 1000) -> DataFrame:
-    """Cases with each child table nested, in rows of at most ``chunk`` children.
+    """Cases with each child table nested, in rows of about ``chunk`` children.
 
     Each child is collected on its own before the join, so children of different
     kinds never multiply. A child list is cut into numbered chunks, so a case
@@ -30,7 +30,8 @@ def case_detail(cases: DataFrame, children: dict[str, DataFrame], key: str, orde
     for kind, df in children.items():
         counted = df.groupBy(key).agg(F.count("*").alias("_n"))
         chunks = F.ceil(F.col("_n") / chunk).cast("int")
-        placed = df.join(counted, key).withColumn("part", F.pmod(F.xxhash64(order), chunks).cast("int"))
+        # All columns are dealt by, so that children with equal places spread as well.
+        placed = df.join(counted, key).withColumn("part", F.pmod(F.xxhash64(*df.columns), chunks).cast("int"))
         nested = placed.groupBy(key, "part").agg(
             F.to_json(F.sort_array(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (key, order)])))).alias("items"),
             F.count("*").alias("n_items"),
@@ -57,7 +58,7 @@ def domain_score(df: DataFrame, host: str, tiers: DataFrame, unknown: int = 12)
     )
     return (
         df.join(hits, host, "left")
-        .withColumn("domain_score", F.when(F.col(host) == "", 0).otherwise(F.coalesce("_score", F.lit(unknown))))
+        .withColumn("domain_score", F.when(F.coalesce(host, F.lit("")) == "", 0).otherwise(F.coalesce("_score", F.lit(unknown))))
         .drop("_score")
     )
 
@@ -126,18 +127,23 @@ def match_terms(terms: DataFrame, article_terms: DataFrame, need: int = 2) -> Da
 
     ``terms`` is (claim_id, term), ``article_terms`` is (article_id, term); both
     distinct. A pair with ``need`` hits must hit one of the claim's terms even
-    after any ``need - 1`` of them are set aside. The shortest are set aside,
-    being the commonest words, and only the others produce candidates; the
-    set-aside terms are then looked up for candidates alone. Nothing is lost,
-    and words that most articles share do not fan out.
+    after any ``need - 1`` of them are set aside. Those that most articles carry
+    are set aside, by a count over the article terms, and only the others produce
+    candidates; the set-aside terms are then looked up for candidates alone.
+    Nothing is lost, and the commonest words do not fan out.
 
     A claim's terms are few (a ranked selection), so ordering them is a small
     window. A small claim side is broadcast by Catalyst from its estimated size.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("claim_id").orderBy(F.length("term").asc(), F.col("term").asc())
-    ranked = terms.withColumn("_r", F.row_number().over(w))
+    if need > 1:
+        wanted = terms.select("term").distinct()
+        use = article_terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
+        w = Window.partitionBy("claim_id").orderBy(F.coalesce("_df", F.lit(0)).desc(), F.col("term").asc())
+        ranked = terms.join(use, "term", "left").withColumn("_r", F.row_number().over(w)).drop("_df")
+    else:
+        ranked = terms.withColumn("_r", F.lit(1))
     probe = ranked.where(F.col("_r") >= need).select("claim_id", "term")
     found = article_terms.join(probe, "term").groupBy("claim_id", "article_id").agg(F.count("*").alias("_hits"))
     if need == 1:
@@ -179,22 +185,62 @@ def match_names(names: DataFrame, article_terms: DataFrame, places: DataFrame) -
     return multi.select("claim_id.*", "article_id", "hits").unionByName(single)
 
 
-def match_substring(needles: DataFrame, articles: DataFrame, gram: int = 6) -> DataFrame:
+def case_specific(
+    names: DataFrame, places: DataFrame, keys: DataFrame, article_terms: DataFrame, articles: DataFrame
+) -> DataFrame:
+    """Pairs (claim_id, article_id) in which the article is about the claim and not only about its subject.
+
+    It carries the claim's plate or number (``keys``: claim_id, key), or two tokens of a
+    name, or one of them and a place (``names`` and ``places``: claim_id, term).
+    ``articles`` has article_id and its identifier keys.
+    """
+    named = match_terms(names, article_terms, 2).select("claim_id", "article_id")
+    placed = places.join(article_terms, "term").select("claim_id", "article_id").distinct()
+    # The place is rarer than the pairs of a name, so its pairs are formed first and names looked up in them.
+    both = placed.join(names, "claim_id").join(article_terms, ["article_id", "term"]).select("claim_id", "article_id")
+    numbered = match_identifiers(keys, articles).select("claim_id", "article_id")
+    return named.union(both).union(numbered).distinct()
+
+
+def match_substring(needles: DataFrame, articles: DataFrame, gram: int = 6, minimum: int = 3) -> DataFrame:
     """Pairs whose article text contains the needle anywhere, even inside a word.
 
-    ``needles`` is (claim_id, value), lower case; values under three characters
+    ``needles`` is (claim_id, value), lower case; values under ``minimum`` characters
     are too weak and never match. ``articles`` is (article_id, text). An article
-    that contains a needle contains all its n-grams, so joining on the needle's
-    rarest n-gram and then testing containment finds exactly those pairs. Needles
-    shorter than ``gram`` are keyed by their 3-grams. Texts are joined back only
-    for candidates.
+    that contains a needle has every word between two blanks of the needle as a
+    word between blanks, so joining on the needle's rarest inner word and then
+    testing containment finds exactly those pairs, over one row per distinct word of
+    an article. Needles without an inner word are keyed by their rarest ``gram``
+    characters in a row, those shorter than that by three; such rows are made only
+    where such needles exist. Texts are joined back only for candidates.
     """
+    inner = F.filter(
+        F.slice(F.split("value", " "), F.lit(2), F.greatest(F.size(F.split("value", " ")) - 2, F.lit(0))), lambda w: w != ""
+    )
+    strong = needles.where(F.length("value") >= minimum)
+    worded = strong.where(F.size(inner) > 0)
+    low = articles.select("article_id", F.lower("text").alias("text"))
+    keys = worded.select("value").distinct().select("value", F.explode(F.array_distinct(inner)).alias("word"))
+    found = low.select("article_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(
+        keys.select("word").distinct(), "word", "left_semi"
+    )
+    use = found.groupBy("word").agg(F.count("*").alias("_df"))
+    rarest = keys.join(use, "word", "left").groupBy("value").agg(
+        F.min_by("word", F.struct(F.coalesce("_df", F.lit(0)), "word")).alias("word")
+    )
+    candidates = rarest.join(found, "word").select("value", "article_id")
+    by_word = candidates.join(low, "article_id").where(F.contains("text", F.col("value"))).select("value", "article_id")
+    hits = worded.join(by_word, "value")
+    bare = strong.where(F.size(inner) == 0)
+    return hits if bare.isEmpty() else hits.unionByName(_match_grams(bare, low, gram))
+
+
+def _match_grams(strong: DataFrame, low: DataFrame, gram: int) -> DataFrame:
+    """:func:`match_substring` for needles without an inner word."""
     def keys(c: Column, long: Column, short: Column) -> Column:
         none = F.array().cast("array<string>")
         return F.concat(F.when(long, char_grams(c, gram)).otherwise(none), F.when(short, char_grams(c, 3)).otherwise(none))
 
-    low = articles.select("article_id", F.lower("text").alias("text"))
-    strong = needles.where(F.length("value") >= 3)
     value, text = F.col("value"), F.col("text")
     needle_grams = strong.select("value").distinct().select(
         "value", F.explode(keys(value, F.length("value") >= gram, F.length("value") < gram)).alias("gram")
@@ -287,18 +333,19 @@ def prior_claims(claims: DataFrame, key: str, day: str) -> DataFrame:
     """Earlier claims of the same party: how many, and the last one's date.
 
     Counted per party and day first, so the running total of a party is over its
-    days, and every claim reads its own day's total.
+    days, and every claim reads its own day's total. A claim without a party or a
+    day has no history: null, as nothing is known.
     """
     from pyspark.sql import Window
 
-    daily = claims.groupBy(key, day).agg(F.count("*").alias("_n"))
+    daily = claims.where(F.col(key).isNotNull() & F.col(day).isNotNull()).groupBy(key, day).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(key).orderBy(day)
     history = daily.select(
         key, day,
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("prior_claims"),
         F.lag(day).over(w).alias("last_prior"),
     )
-    return claims.join(history, [key, day])
+    return claims.join(history, [key, day], "left")
 
 
 def enrich(ranked: DataFrame, pages: DataFrame, top: int, url_key: str = "url_key") -> DataFrame:

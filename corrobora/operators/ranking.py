@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora import constants as K
+from corrobora import defaults
 from corrobora.functions.text import SEARCH_TOKEN
-from corrobora.session import cut_lineage, values_frame
+from corrobora.session import cut_lineage
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -125,7 +126,7 @@ def top_tokens(df: DataFrame, key: str, text: str, k: int = 8, common: list[str]
     Score: length up to 12, +4 when first written with a capital, -3 for shared
     vocabulary, -2 when used more than twice; earliest first on ties.
     """
-    vocabulary = K.INCIDENT_TERMS + K.VEHICLE_TYPES if common is None else common
+    vocabulary = K.INCIDENT_TERMS + defaults.VEHICLE_TYPES if common is None else common
     toks = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(SEARCH_TOKEN), 0)).alias("pos", "raw"))
     toks = toks.withColumn("token", F.lower("raw")).where(
         (F.length("token") >= 3) & ~F.col("token").isin(K.SEARCH_STOPWORDS) & ~F.col("token").rlike(r"^\d+$")
@@ -168,8 +169,3 @@ def pick_narrative(df: DataFrame, key: str, text: str, boilerplate: str) -> Data
         & ~F.col("line").rlike(boilerplate)
     )
     return prose.groupBy(key).agg(F.max_by("line", F.struct(F.length("line"), -F.col("pos"))).alias("narrative"))
-
-
-def status_dimension(spark, values: list[str], name: str) -> DataFrame:
-    """A configured value list as a table, for zero-filled counts."""
-    return values_frame(spark, [(v,) for v in values], f"{name} STRING")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrobora import constants as K
-from corrobora.session import broadcast_checked
 
 NO_MISMATCH = "No mismatch identified."
 
@@ -89,7 +88,3 @@ def image_status(images: DataFrame, rules: list[tuple[str, str]], name: str, def
     for pattern, value in reversed(rules):
         status = F.when(F.col(name).rlike(f"(?i)({pattern})"), F.lit(value)).otherwise(status)
     return images.withColumn("status", F.coalesce(status, F.lit(default)))
-
-
-def attach(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    return df.join(broadcast_checked(dim), key, "left")

@@ -82,7 +82,7 @@ _RUN = "[A-Z][a-z]{3,}(?:\\s+[A-Z][a-z]{3,})?"
 @query(
     "ag6_harvest",
     f"""WITH {EVIDENCE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, article_id) AS rank FROM evidence),
-    t AS (SELECT claim_id, rank, i AS pos, runs[i] AS term FROM (SELECT claim_id, rank, regexp_extract_all(regexp_replace(snippet, '[^\\x00-\\x7F]', '-', 'g'), '\\b{_RUN}\\b') AS runs FROM r WHERE rank <= 20), unnest(range(1, len(runs) + 1)) AS u(i)),
+    t AS (SELECT claim_id, rank, i AS pos, runs[i] AS term FROM (SELECT claim_id, rank, regexp_extract_all(snippet, '\\b{_RUN}\\b') AS runs FROM r WHERE rank <= 20), unnest(range(1, len(runs) + 1)) AS u(i)),
     c AS (SELECT claim_id, term, count(*) AS n, min((rank, pos)) AS first FROM t GROUP BY ALL HAVING count(*) >= 2),
     k AS (SELECT DISTINCT claim_id, lower(split_part(title, ' ', 1)) AS key FROM evidence)
     SELECT claim_id, term, n, pick FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY n DESC, first, term) AS pick FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.claim_id = c.claim_id AND k.key = lower(term))) WHERE pick <= 6""",
@@ -90,8 +90,7 @@ _RUN = "[A-Z][a-z]{3,}(?:\\s+[A-Z][a-z]{3,})?"
 def _(spark, d):
     from corrobora.operators.ranking import top_k
 
-    e = evidence(spark, d).withColumn("snippet", F.regexp_replace("snippet", r"[^\x00-\x7F]", "-"))
-    ranked = top_k(e, ["claim_id"], [F.col("score").desc(), F.col("article_id").asc()], 20)
+    ranked = top_k(evidence(spark, d), ["claim_id"], [F.col("score").desc(), F.col("article_id").asc()], 20)
     known = evidence(spark, d).select("claim_id", F.split_part("title", F.lit(" "), F.lit(1)).alias("value"))
     return A.harvest_terms(ranked, known, "snippet")
 

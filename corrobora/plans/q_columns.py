@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrobora import constants as K
+from corrobora import defaults
 from corrobora.functions import counts as C
 from corrobora.functions import dates as D
 from corrobora.functions import html as H
@@ -132,8 +133,8 @@ _RUN = "[A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]{2,}){0,2}"
         lower(regexp_extract(left(r, 40), '^[^A-Za-z0-9_]*([A-Za-z]+)', 1)) AS after FROM e)
     SELECT doc_id, pos, run, before, after, 1.0 + CASE WHEN before IN {inlist(K.PLACE_CUES)} THEN 3 ELSE 0 END + CASE WHEN after IN {inlist(K.PLACE_SUFFIXES)} THEN 2 ELSE 0 END
        + CASE WHEN regexp_matches(lc, '({'|'.join(K.PLACE_SUFFIXES)})$') THEN 2 ELSE 0 END + CASE WHEN contains(run, ' ') THEN 1 ELSE 0 END AS score
-    FROM c WHERE lc NOT IN {inlist(K.SEARCH_STOPWORDS + K.VEHICLE_TYPES + K.INCIDENT_TERMS + K.PLACE_SUFFIXES + K.ORG_SUFFIXES)}
-      AND NOT regexp_matches(lc, '^({'|'.join(K.VEHICLE_MAKES)})( |$)') AND NOT regexp_matches(lc, '({'|'.join(K.ORG_MARKERS)})')
+    FROM c WHERE lc NOT IN {inlist(K.SEARCH_STOPWORDS + defaults.VEHICLE_TYPES + K.INCIDENT_TERMS + K.PLACE_SUFFIXES + K.ORG_SUFFIXES)}
+      AND NOT regexp_matches(lc, '^({'|'.join(defaults.VEHICLE_MAKES)})( |$)') AND NOT regexp_matches(lc, '({'|'.join(K.ORG_MARKERS)})')
       AND NOT regexp_matches(lc, '(^|[^a-z0-9_])({'|'.join(K.INSTITUTION_WORDS)})($|[^a-z0-9_])') AND before NOT IN {inlist(K.NAME_CUES)}""",
 )
 def _(spark, d):
@@ -217,11 +218,11 @@ def _(spark, d):
 
 def _doc_words(spark, d):
     return load(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).where(
-        F.col("word").rlike("^[a-z]{4,}$")
+        F.col("word").rlike("^[a-z]+$")
     ).distinct()
 
 
-_DOC_WORDS = "SELECT DISTINCT word FROM (SELECT string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+') AS ws FROM documents), unnest(ws) AS u(word) WHERE regexp_full_match(word, '[a-z]{4,}')"
+_DOC_WORDS = "SELECT DISTINCT word FROM (SELECT string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+') AS ws FROM documents), unnest(ws) AS u(word) WHERE regexp_full_match(word, '[a-z]+')"
 
 
 @query("str14_phonetic_key", f"SELECT word, {sql_phonetic('word')} AS key FROM ({_DOC_WORDS})")
@@ -244,7 +245,7 @@ _FORMS = "[word, " + ", ".join(f"left(word, 1) || regexp_replace(substr(word, 2)
 @query(
     "str16_spelling_variants",
     f"""SELECT word, array_to_string(list_slice(list_transform(list_filter(list_zip(f, range(1, len(f) + 1)), lambda x: list_position(f, x[1]) = x[2]), lambda x: x[1]), 1, 3), ',') AS forms
-        FROM (SELECT word, list_filter({_FORMS}, lambda v: v = word OR length(v) >= 3) AS f FROM ({_DOC_WORDS}))""",
+        FROM (SELECT word, CASE WHEN length(word) < 4 THEN [word] ELSE list_filter({_FORMS}, lambda v: v = word OR length(v) >= 3) END AS f FROM ({_DOC_WORDS}))""",
 )
 def _(spark, d):
     return _doc_words(spark, d).select("word", F.array_join(P.spelling_variants(F.col("word")), ",").alias("forms"))
@@ -276,21 +277,22 @@ def _(spark, d):
 _FIT_SQL = """CASE f WHEN 'claim_id' THEN CASE WHEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9/\\- ]{4,29}$') THEN 1.0 ELSE 0.0 END
   WHEN 'no_of_occupants' THEN CASE WHEN regexp_matches(v, '^[0-9]{1,3}$') THEN 1.0 ELSE 0.0 END
   WHEN 'fir_date' THEN CASE WHEN regexp_matches(v, '(^|[^0-9A-Za-z_])[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}($|[^0-9A-Za-z_])') THEN 1.0 ELSE 0.0 END
-  WHEN 'manufacturing_year' THEN CASE WHEN regexp_matches(v, '^(19|20)[0-9]{2}$') THEN 1.0 ELSE 0.0 END ELSE 1.0 END"""
-_FIT_FIELDS = ["claim_id", "no_of_occupants", "fir_date", "manufacturing_year", "remarks"]
+  WHEN 'manufacturing_year' THEN CASE WHEN regexp_matches(v, '^(19|20)[0-9]{2}$') THEN 1.0 ELSE 0.0 END
+  WHEN 'vehicle_numbers' THEN CASE WHEN regexp_matches(v, '^MH-[0-9]{4,6}$') THEN 1.0 ELSE 0.0 END ELSE 1.0 END"""
+_FIT_FIELDS = ["claim_id", "no_of_occupants", "fir_date", "manufacturing_year", "vehicle_numbers"]
 
 
 @query(
     "str19_value_fit",
     f"""SELECT o_orderkey, f AS field, v AS value, {_FIT_SQL} AS fit FROM (SELECT o_orderkey, list_extract({lst(_FIT_FIELDS)}, CAST(o_orderkey % 5 + 1 AS INT)) AS f,
-        CASE (o_orderkey // 5) % 4 WHEN 0 THEN concat('CL-', o_orderkey + 100000) WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN 2 THEN CAST(o_orderkey % 300 AS VARCHAR) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS v FROM orders)""",
+        CASE (o_orderkey // 5) % 4 WHEN 0 THEN concat('MH-', o_orderkey % 100000) WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN 2 THEN CAST(o_orderkey % 300 AS VARCHAR) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS v FROM orders)""",
 )
 def _(spark, d):
     k = F.col("o_orderkey")
     field = F.element_at(F.array(*[F.lit(f) for f in _FIT_FIELDS]), (k % 5 + 1).cast("int"))
     pick = F.floor(k / 5) % 4
     value = (
-        F.when(pick == 0, F.concat(F.lit("CL-"), k + 100000)).when(pick == 1, F.col("o_orderdate").cast("date").cast("string"))
+        F.when(pick == 0, F.concat(F.lit("MH-"), k % 100000)).when(pick == 1, F.col("o_orderdate").cast("date").cast("string"))
         .when(pick == 2, (k % 300).cast("string")).otherwise(F.year("o_orderdate").cast("string"))
     )
     o = load(spark, d, "orders").select("o_orderkey", field.alias("field"), value.alias("value"))
@@ -433,7 +435,9 @@ def _strip_sql(x):
         FROM (SELECT page_id, b, regexp_extract(b, '(?is)<article.*?</article>', 0) AS a FROM (SELECT page_id, {_BODY} AS b FROM pages)))""",
 )
 def _(spark, d):
-    text = load(spark, d, "pages").select("page_id", H.html_to_text(F.col("html")).alias("t"))
+    # Some letters are written as character references, decimal or hexadecimal.
+    html = F.regexp_replace(F.regexp_replace("html", "tha", "th&#97;"), "ion", "i&#x6f;n")
+    text = load(spark, d, "pages").select("page_id", H.html_to_text(html).alias("t"))
     return text.select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
 
 

@@ -158,11 +158,16 @@ def _(spark, d):
 
 @query(
     "flt12_drop_conflicts",
-    f"""WITH {EVIDENCE_SQL}, e AS (SELECT *, (score % 3 = 0) OR claim_id IN ('src3', 'src4') AS conflict FROM evidence)
+    f"""WITH {EVIDENCE_SQL}, e AS (SELECT *, CASE WHEN claim_id IN ('src3', 'src4') THEN true WHEN score % 3 = 0 THEN false ELSE score % 4 <> 1 END AS conflict FROM evidence)
     SELECT article_id, claim_id FROM (SELECT *, bool_or(NOT conflict) OVER (PARTITION BY claim_id) AS any_ok FROM e) WHERE NOT conflict OR NOT any_ok""",
 )
 def _(spark, d):
-    e = evidence(spark, d).withColumn("conflict", (F.col("score") % 3 == 0) | F.col("claim_id").isin("src3", "src4"))
+    # Snippets state a count, or none; two claims have a count that no snippet states.
+    odd = F.col("claim_id").isin("src3", "src4")
+    stated = F.concat(F.col("snippet"), F.lit(" "), F.col("score") % 4 + 1, F.lit(" people killed"))
+    text = F.when((F.col("score") % 3 == 0) & ~odd, F.col("snippet")).otherwise(stated)
+    target = F.when(odd, 9).otherwise(2)
+    e = evidence(spark, d).withColumn("conflict", O.conflicts_with(text, target))
     return O.drop_conflicts_unless_empty(e.select("article_id", "claim_id", "conflict"), "claim_id", "conflict").drop("conflict")
 
 

@@ -8,6 +8,7 @@ from corrobora.functions import urls as U
 from corrobora.functions.phonetics import phonetic_key
 from corrobora.functions.text import tokenize, words
 from corrobora.operators import joins as J
+from corrobora.operators import ranking as R
 from corrobora.plans.registry import query
 from corrobora.plans.roles import CLAIMS_SQL, claims, sql_host, sql_phonetic, sql_tokens
 from corrobora.session import values_frame
@@ -77,9 +78,8 @@ _CODE_SQL = "list_distinct(list_filter(list_transform(regexp_extract_all(upper(t
     "jn4_identifiers",
     f"""WITH c AS (SELECT doc_id, code FROM (SELECT doc_id, {_CODE_SQL} AS codes FROM documents), unnest(codes) AS u(code)),
     p AS (SELECT DISTINCT page_id AS claim_id, code FROM (SELECT page_id, {_CODE_SQL.replace('text', 'html')} AS codes FROM pages), unnest(codes) AS u(code)
-          UNION SELECT o_orderkey, concat('REF', o_orderkey) FROM orders UNION SELECT doc_id, code FROM c),
-    k AS (SELECT code, count(*) AS n_articles, min(doc_id) AS first_article FROM c GROUP BY 1)
-    SELECT claim_id, p.code AS key, n_articles, first_article FROM p JOIN k ON p.code = k.code""",
+          UNION SELECT o_orderkey, concat('REF', o_orderkey) FROM orders UNION SELECT doc_id, code FROM c)
+    SELECT claim_id, p.code AS key, doc_id AS article_id FROM p JOIN c ON p.code = c.code""",
 )
 def _(spark, d):
     from corrobora.functions.identifiers import extract_codes
@@ -88,7 +88,19 @@ def _(spark, d):
     pages = load(spark, d, "pages").select(F.col("page_id").alias("claim_id"), F.explode(extract_codes(F.col("html"), 6)).alias("key"))
     refs = load(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.concat(F.lit("REF"), "o_orderkey").alias("key"))
     seen = docs.select(F.col("article_id").alias("claim_id"), F.explode("keys").alias("key"))
-    return J.identifier_hits(pages.unionByName(refs).unionByName(seen), docs)
+    return J.match_identifiers(pages.unionByName(refs).unionByName(seen), docs)
+
+
+@query(
+    "jn4_identifier_hits",
+    f"""WITH c AS (SELECT doc_id, code FROM (SELECT doc_id, {_CODE_SQL} AS codes FROM documents), unnest(codes) AS u(code))
+    SELECT doc_id AS claim_id, code AS key, count(*) OVER (PARTITION BY code) AS n_articles, min(doc_id) OVER (PARTITION BY code) AS first_article FROM c""",
+)
+def _(spark, d):
+    from corrobora.functions.identifiers import extract_codes
+
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), extract_codes(F.col("text"), 6).alias("keys"))
+    return J.identifier_hits(docs.select(F.col("article_id").alias("claim_id"), F.explode("keys").alias("key")), docs)
 
 
 _LONG = "regexp_full_match(w, '[a-z]{4,}')"
@@ -97,7 +109,7 @@ _LONG = "regexp_full_match(w, '[a-z]{4,}')"
 @query(
     "jn5_phonetic",
     f"""WITH dw AS (SELECT DISTINCT doc_id AS article_id, w FROM (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM documents), unnest(ws) AS u(w) WHERE {_LONG}),
-    bw AS (SELECT DISTINCT item_id AS claim_id, w FROM (SELECT item_id, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM benchmark), unnest(ws) AS u(w) WHERE regexp_full_match(w, '[a-z]{{8,}}')),
+    bw AS (SELECT DISTINCT item_id AS claim_id, w FROM (SELECT item_id, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM benchmark), unnest(ws) AS u(w) WHERE {_LONG}),
     k AS (SELECT w, {sql_phonetic('w')} AS key FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
     a AS (SELECT claim_id, w AS value, key FROM bw JOIN k USING (w) WHERE length(key) >= 4),
     b AS (SELECT DISTINCT article_id, key FROM dw JOIN k USING (w) WHERE length(key) >= 4)
@@ -106,7 +118,7 @@ _LONG = "regexp_full_match(w, '[a-z]{4,}')"
 def _(spark, d):
     latin = lambda c, n: F.array_distinct(F.filter(words(c), lambda w: w.rlike(f"^[a-z]{{{n},}}$")))
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.explode(latin(F.col("text"), 4)).alias("word"))
-    items = load(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.explode(latin(F.col("text"), 8)).alias("value"))
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.explode(latin(F.col("text"), 4)).alias("value"))
     anchors = items.withColumn("key", phonetic_key(F.col("value")))
     return J.match_phonetic(anchors, docs).groupBy("claim_id", "article_id").agg(F.countDistinct("value").alias("n_values"))
 
@@ -159,13 +171,13 @@ def _(spark, d):
 
 @query(
     "jn7_substring",
-    f"""WITH n AS (SELECT DISTINCT item_id AS claim_id, lower(split_part(text, '.', 1)) AS value FROM benchmark),
+    f"""WITH n AS (SELECT DISTINCT item_id AS claim_id, trim(unnest(string_split(lower(text), '.'))) AS value FROM benchmark),
     a AS (SELECT doc_id AS article_id, lower(text) AS text FROM documents) SELECT claim_id, value, article_id FROM n JOIN a ON contains(a.text, n.value) WHERE length(value) >= 3""",
 )
 def _(spark, d):
     needles = load(spark, d, "benchmark").select(
-        F.col("item_id").alias("claim_id"), F.lower(F.split_part("text", F.lit("."), F.lit(1))).alias("value")
-    )
+        F.col("item_id").alias("claim_id"), F.explode(F.split(F.lower("text"), r"\.")).alias("value")
+    ).select("claim_id", F.trim("value").alias("value")).distinct()
     articles = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text")
     return J.match_substring(needles, articles, 6)
 
@@ -278,7 +290,7 @@ def image_hashes(spark, d):
     "jn14_prior_claims",
     f"""WITH {CLAIMS_SQL}, day AS (SELECT party, loss_date, count(*) AS n FROM claims GROUP BY ALL),
     h AS (SELECT party, loss_date, coalesce(sum(n) OVER (PARTITION BY party ORDER BY loss_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior_claims, lag(loss_date) OVER (PARTITION BY party ORDER BY loss_date) AS last_prior FROM day)
-    SELECT claim_id, prior_claims, last_prior FROM claims JOIN h USING (party, loss_date)""",
+    SELECT claim_id, prior_claims, last_prior FROM claims LEFT JOIN h USING (party, loss_date)""",
 )
 def _(spark, d):
     c = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
@@ -289,14 +301,23 @@ def _(spark, d):
 
 @query(
     "flt13_case_specific",
-    f"""WITH {DOC_TERMS_SQL}, {ITEM_TERMS_SQL}, h AS (SELECT claim_id, article_id, count(*) AS n FROM it JOIN dt USING (term) GROUP BY ALL HAVING count(*) >= 2)
-        SELECT claim_id, count(*) AS n_articles FROM h JOIN documents ON doc_id = article_id WHERE regexp_matches(text, '(?i)(the|and)') GROUP BY claim_id""",
+    f"""WITH {DOC_TERMS_SQL}, {ITEM_TERMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY length(term) DESC, term) AS o FROM it),
+    c AS (SELECT doc_id, code FROM (SELECT doc_id, {_CODE_SQL} AS codes FROM documents), unnest(codes) AS u(code)),
+    h AS (SELECT claim_id, article_id, count(*) FILTER (WHERE o <= 4) AS n, count(*) FILTER (WHERE o = 5) AS n_at FROM r JOIN dt USING (term) WHERE o <= 5 GROUP BY ALL)
+    SELECT claim_id, article_id FROM h WHERE n >= 2 OR (n = 1 AND n_at = 1) UNION SELECT a.doc_id, b.doc_id FROM c a JOIN c b ON a.code = b.code WHERE a.doc_id IN (SELECT item_id FROM benchmark)""",
 )
 def _(spark, d):
-    from corrobora.functions.text import contains_any
+    from corrobora.functions.identifiers import extract_codes
 
-    docs = load(spark, d, "documents").where(contains_any(F.col("text"), ["the", "and"]))
-    terms = docs.select(F.col("doc_id").alias("article_id"), F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    return J.match_terms(item_terms(spark, d), terms, 2).groupBy("claim_id").agg(F.count("*").alias("n_articles"))
+    # A passage's longest words stand for its party's name, the next one for its place, and the codes of the
+    # document with its number for its plate and claim id.
+    words = R.top_k(item_terms(spark, d), ["claim_id"], [F.length("term").desc(), F.col("term").asc()], 5, "o")
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), extract_codes(F.col("text"), 6).alias("keys"))
+    ids = load(spark, d, "benchmark").select(F.col("item_id").alias("article_id")).join(docs, "article_id")
+    keys = ids.select(F.col("article_id").alias("claim_id"), F.explode("keys").alias("key"))
+    return J.case_specific(
+        words.where("o <= 4").select("claim_id", "term"), words.where("o = 5").select("claim_id", "term"), keys,
+        doc_terms(spark, d), docs,
+    )
 
 

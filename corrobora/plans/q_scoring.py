@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrobora import constants as K
+from corrobora import defaults
 from corrobora.functions import urls as U
 from corrobora.functions.html import html_title
 from corrobora.functions.text import lines, tokenize
@@ -13,6 +14,7 @@ from corrobora.operators import anchors as N
 from corrobora.operators import clustering as CL
 from corrobora.operators import fields as FD
 from corrobora.operators import filters as FL
+from corrobora.operators import matching as MA
 from corrobora.operators import ranking as R
 from corrobora.operators import risk as RK
 from corrobora.operators import scoring as S
@@ -35,7 +37,7 @@ _TOK = "regexp_extract_all(text, '[\\p{L}\\p{N}][\\p{L}\\p{N}''-]+')"
 _OK = f"length(t[i]) >= 3 AND lower(t[i]) NOT IN {inlist(K.SEARCH_STOPWORDS)} AND NOT regexp_matches(t[i], '^\\d+$')"
 ITEM_TOP_SQL = f"""itok AS (SELECT item_id, i AS pos, t[i] AS raw, lower(t[i]) AS token FROM (SELECT item_id, {_TOK} AS t FROM benchmark), unnest(range(1, len(t) + 1)) AS u(i) WHERE {_OK}),
 ig AS (SELECT item_id, token, count(*) AS n, min(pos) AS pos, arg_min(raw, pos) AS raw FROM itok GROUP BY ALL),
-isc AS (SELECT item_id, token, pos, least(length(token), 12) + CASE WHEN regexp_matches(raw, '^\\p{{Lu}}') THEN 4 ELSE 0 END - CASE WHEN list_contains({lst(K.INCIDENT_TERMS + K.VEHICLE_TYPES)}, token) THEN 3 ELSE 0 END - CASE WHEN n > 2 THEN 2 ELSE 0 END AS s FROM ig),
+isc AS (SELECT item_id, token, pos, least(length(token), 12) + CASE WHEN regexp_matches(raw, '^\\p{{Lu}}') THEN 4 ELSE 0 END - CASE WHEN list_contains({lst(K.INCIDENT_TERMS + defaults.VEHICLE_TYPES)}, token) THEN 3 ELSE 0 END - CASE WHEN n > 2 THEN 2 ELSE 0 END AS s FROM ig),
 item_top AS (SELECT item_id AS claim_id, token AS term, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, pos) AS ordinal FROM isc) WHERE ordinal <= 8)"""
 DOC_TOK_SQL = f"""doc_tok AS (SELECT DISTINCT doc_id AS article_id, lower(t[i]) AS term FROM (SELECT doc_id, {_TOK} AS t FROM documents), unnest(range(1, len(t) + 1)) AS u(i) WHERE {_OK})"""
 HITS_SQL = f"{ITEM_TOP_SQL}, {DOC_TOK_SQL}, hit AS (SELECT claim_id, article_id, count(*) AS hits FROM item_top JOIN doc_tok USING (term) GROUP BY ALL), tot AS (SELECT claim_id, count(*) AS total FROM item_top GROUP BY 1)"
@@ -210,6 +212,11 @@ def scored_pairs(spark, d):
     kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), F.col("ordinal") - 1)
     anchors = item_top(spark, d).withColumn("kind", kind)
     matches = anchors.join(doc_tokens(spark, d), "term").select("claim_id", "article_id", "kind", F.col("term").alias("value"))
+    return E.score_matches(matches, *score_sides(spark, d))
+
+
+def score_sides(spark, d):
+    """Claims with their loss dates and counts, and articles with what is known of each."""
     i, n = F.col("item_id"), F.col("doc_id")
     day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
     c = load(spark, d, "benchmark").select(
@@ -222,12 +229,12 @@ def scored_pairs(spark, d):
         U.tier_score(F.concat(F.lit("www.s"), n % 7, F.lit(".example.net")), _TIERS).alias("domain_score"),
         S.generic_incident(F.col("text")).alias("generic_incident"), (n % 10 == 0).alias("social"),
     )
-    return E.score_matches(matches, c, a)
+    return c, a
 
 
 SCORED_SQL = f"""{ITEM_TOP_SQL}, {DOC_TOK_SQL}, m AS (SELECT claim_id, article_id, term, list_extract({lst(_KINDS)}, CAST(ordinal AS INT)) AS kind FROM item_top JOIN doc_tok USING (term)),
 f0 AS (SELECT claim_id, article_id, bool_or(kind = 'plate') AS plate, bool_or(kind = 'name') AS nam, bool_or(kind = 'org') AS org, list(DISTINCT term) FILTER (WHERE kind = 'place' AND length(term) >= 4) AS pl,
-  bool_or(kind = 'incident') AS inc, count(*) FILTER (WHERE kind = 'vehicle') AS veh, count(*) FILTER (WHERE kind = 'token') AS tok FROM m GROUP BY ALL),
+  bool_or(kind = 'incident' AND length(term) >= 4 AND term NOT IN {inlist(K.NON_EVENT_TERMS)}) AS inc, count(*) FILTER (WHERE kind = 'vehicle') AS veh, count(*) FILTER (WHERE kind = 'token' AND length(term) >= 4) AS tok FROM m GROUP BY ALL),
 f AS (SELECT f0.*, coalesce(len(list_filter(pl, lambda p: len(list_filter(pl, lambda o: length(o) > length(p) AND contains(o, p))) = 0)), 0) AS places,
   CASE WHEN claim_id % 5 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(claim_id % 30 AS INT) END AS loss, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(doc_id % 90 AS INT) END AS pub,
   claim_id % 4 AS target, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 + 1 END AS fig, CASE doc_id % 7 WHEN 1 THEN 30 WHEN 2 THEN 24 WHEN 3 THEN 18 ELSE 12 END AS dom,
@@ -240,6 +247,64 @@ sc AS (SELECT *, greatest(0, least(100, CAST(floor(CASE WHEN plate THEN 45 ELSE
 bd AS (SELECT *, CASE WHEN specific AND NOT soft THEN 'CONFIRMED' WHEN soft THEN 'STRONG' WHEN places > 0 AND ihit AND (dhit OR (NOT (loss IS NOT NULL AND NOT (social AND pub IS NULL)) AND (places >= 2 OR veh > 0))) THEN 'STRONG' ELSE 'BACKGROUND' END AS band FROM sc)"""
 
 
+# Tokens of a passage by rank as anchors of every kind; a code of the document with its number is its plate.
+_ANCHOR_KINDS = {1: "name", 2: "name", 3: "place", 4: "org", 5: "vehicle", 6: "incident", 7: "token", 8: "token"}
+
+
+def rendered_anchors(spark, d):
+    top = item_top(spark, d)
+    of = lambda *ranks: top.where(F.col("ordinal").isin(*ranks))
+    pair = of(1, 2).groupBy("claim_id").agg(F.max_by("term", -F.col("ordinal")).alias("a"), F.max_by("term", "ordinal").alias("b"))
+    names = pair.select("claim_id", F.lit("name").alias("kind"), F.concat_ws(" ", "a", "b").alias("value"))
+    org = of(4, 5).groupBy("claim_id").agg(F.max_by("term", -F.col("ordinal")).alias("a"), F.max_by("term", "ordinal").alias("b"))
+    orgs = org.select("claim_id", F.lit("org").alias("kind"), F.concat_ws(" ", "a", "b").alias("value"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in _ANCHOR_KINDS.items() for x in kv]), F.col("ordinal").cast("int"))
+    rest = of(3, 5, 6, 7, 8).select("claim_id", kind.alias("kind"), F.col("term").alias("value"))
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"))
+    codes = article_keys(spark, d).join(items, F.col("article_id") == F.col("claim_id"))
+    plates = codes.select("claim_id", F.lit("plate").alias("kind"), F.explode("keys").alias("value"))
+    roads = items.select("claim_id", F.lit("corridor").alias("kind"), F.concat(F.lit("NH "), F.col("claim_id") % 50).alias("value"))
+    return names.unionByName(orgs).unionByName(rest).unionByName(plates).unionByName(roads)
+
+
+def article_keys(spark, d):
+    """Documents with their codes, and a road that each is about."""
+    from corrobora.functions.identifiers import extract_codes
+
+    n = F.col("doc_id")
+    road = F.concat(F.lit("NH-"), n % 70)
+    return load(spark, d, "documents").select(
+        n.alias("article_id"), extract_codes(F.col("text"), 6).alias("keys"), F.array(MA.corridor_key(road)).alias("corridors")
+    )
+
+
+_CODES_SQL = "list_distinct(list_filter(list_transform(regexp_extract_all(upper(text), '[A-Z0-9][A-Z0-9-]*[A-Z0-9]'), lambda t: replace(t, '-', '')), lambda k: length(k) >= 6 AND regexp_matches(k, '[0-9]')))"
+_MATCH_SQL = f"""{ITEM_TOP_SQL}, {DOC_TOK_SQL}, cd AS (SELECT doc_id AS article_id, unnest({_CODES_SQL}) AS code FROM documents),
+tp AS (SELECT claim_id, list(term ORDER BY ordinal) AS t FROM item_top GROUP BY 1),
+ph AS (SELECT claim_id, 'name' AS kind, t[1] || ' ' || t[2] AS value, t[1] AS x, t[2] AS y FROM tp UNION ALL SELECT claim_id, 'org', t[4] || ' ' || t[5], t[4], t[5] FROM tp UNION ALL SELECT claim_id, 'place', t[3], t[3], t[3] FROM tp),
+strong AS (SELECT p.claim_id, a.article_id, kind, value FROM ph p JOIN doc_tok a ON a.term = p.x JOIN doc_tok b ON b.term = p.y AND b.article_id = a.article_id
+  UNION SELECT item_id, b.article_id, 'plate', a.code FROM benchmark JOIN cd a ON a.article_id = item_id JOIN cd b ON b.code = a.code
+  UNION SELECT item_id, doc_id, 'corridor', concat('NH ', item_id % 50) FROM benchmark JOIN documents ON doc_id % 70 = item_id % 50),
+two AS (SELECT a.claim_id, article_id FROM item_top a JOIN doc_tok USING (term) WHERE ordinal IN (7, 8) GROUP BY ALL HAVING count(*) = 2),
+pr AS (SELECT claim_id, article_id FROM strong UNION SELECT * FROM two)
+SELECT * FROM strong UNION SELECT claim_id, article_id, CASE ordinal WHEN 5 THEN 'vehicle' WHEN 6 THEN 'incident' ELSE 'token' END, term FROM pr JOIN item_top USING (claim_id) JOIN doc_tok USING (article_id, term) WHERE ordinal >= 5"""
+
+
+@query("sc1_match_anchors", f"WITH {_MATCH_SQL}")
+def _(spark, d):
+    return MA.match_anchors(rendered_anchors(spark, d), article_keys(spark, d), doc_tokens(spark, d))
+
+
+@query("sc2_claim_evidence")
+def _(spark, d):
+    """The whole way from a passage to its ranked evidence: anchors, matches, score, band, rank."""
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("narrative"))
+    anchors = N.build_anchors(items).select("claim_id", "kind", "value")
+    matches = MA.match_anchors(anchors, article_keys(spark, d), doc_tokens(spark, d))
+    scored = E.score_matches(matches, *score_sides(spark, d))
+    return R.rank_evidence(scored).select("claim_id", "article_id", "rank", "band", "score", "place_hits", "token_hits")
+
+
 @query("sc1_relevance", f"WITH {SCORED_SQL} SELECT claim_id, article_id, score, places AS place_hits, dhit AS date_hit FROM bd")
 def _(spark, d):
     return scored_pairs(spark, d).select("claim_id", "article_id", "score", F.col("place_hits").cast("bigint").alias("place_hits"), "date_hit")
@@ -256,7 +321,7 @@ def _(spark, d):
 
 
 def _chrome_sql(x):
-    for p in S.SOCIAL_CHROME:
+    for p in K.SOCIAL_CHROME:
         p = p.replace("'", "''")
         x = f"regexp_replace({x}, '{p}', ' ', 'g')"
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
@@ -292,7 +357,7 @@ def _text_pairs(spark, d):
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.lower("text").alias("txt"))
     q = pairs.join(w, "claim_id").join(docs, "article_id")
     return q.select(
-        "claim_id", "article_id", "txt", F.get("ts", 0).alias("district"), F.slice("ts", 2, 100).alias("words"),
+        "claim_id", "article_id", "txt", F.get("ts", 0).alias("district"), F.slice(F.col("ts"), F.lit(2), F.size("ts")).alias("words"),
         F.contains("txt", F.get("ts", 1)).alias("plate"), F.contains("txt", F.get("ts", 2)).alias("party"),
     )
 
@@ -433,7 +498,7 @@ def report_inputs(spark, d):
     ev = e.withColumns(
         {"figure": F.when(n % 4 == 0, (n % 3 + 1).cast("int")), "authoritative": (n % 50 == 7)}
     )
-    num = F.substring("claim_id", 4, 10).cast("int")
+    num = F.expr("substring(claim_id, 4)").cast("int")
     c = e.select("claim_id").distinct().select(
         "claim_id", F.date_add(F.lit("2024-01-01").cast("date"), num % 5).alias("loss_date"), (num % 5).alias("target_count"),
         (num % 2 == 0).alias("has_plate"),

@@ -40,7 +40,7 @@ def _(spark, d):
     "SELECT time_bucket(INTERVAL '30 minutes', ts) AS slot, user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS n_events FROM events GROUP BY 1, 2, 3",
 )
 def _(spark, d):
-    return J.stream_dedupe(J.read_stream(spark, d, "events"), ["user_id", "event_type"]).drop("batch")
+    return J.stream_dedupe(J.read_stream(spark, d, "events"), ["user_id", "event_type"])
 
 
 @query(
@@ -53,7 +53,7 @@ def _(spark, d):
         "ts", F.col("event_type").alias("source"), ((F.col("event_type") != "error") & (F.col("value") > 30)).alias("ok"),
         F.col("props").alias("error"), F.col("event_id").alias("seq"), F.col("value").alias("elapsed_ms"),
     )
-    return J.stream_outcomes(s).drop("batch").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return J.stream_outcomes(s).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(
@@ -71,4 +71,4 @@ def _(spark, d):
         F.when(t == "click", "parsing").when(t == "view", "queued").when(t == "error", "cancel").when(t == "purchase", "done").otherwise("searching")
     )
     s = J.read_stream(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), status.alias("status"))
-    return J.stream_status(s, "user_id").drop("batch")
+    return J.stream_status(s, "user_id")

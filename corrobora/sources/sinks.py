@@ -36,15 +36,15 @@ def batch_register(cases: DataFrame, ranked: DataFrame) -> DataFrame:
     return cases.join(stats, "claim_id", "left").fillna(0, ["evidence", "case_specific"])
 
 
-def evidence_bundle(cases: DataFrame, ranked: DataFrame, limit: int = K.RANK_LIMIT_BATCH) -> DataFrame:
+def evidence_bundle(cases: DataFrame, ranked: DataFrame, limit: int | None = None) -> DataFrame:
     """One JSON document per claim with its ranked evidence.
 
-    ``ranked`` carries a rank, and the bundle holds the ranked list's own limit,
-    so a claim's array has a known greatest size.
+    ``ranked`` is a ranked list, which has at most its rank limit per claim, so a
+    claim's array has a known greatest size. ``limit`` shortens it further.
     """
     item = F.struct("rank", "title", "url", "domain", "score", "publish_day", "band", "case_specific")
     items = (
-        ranked.where(F.col("rank") <= limit)
+        (ranked if limit is None else ranked.where(F.col("rank") <= limit))
         .groupBy("claim_id")
         .agg(F.sort_array(F.collect_list(item)).alias("evidence"))
     )

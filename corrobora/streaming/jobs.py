@@ -36,10 +36,14 @@ def write_batches(df: DataFrame, out: str, transform=None) -> DataStreamWriter:
     return df.writeStream.foreachBatch(store)
 
 
-def run_available(df: DataFrame, mode: str = "append", transform=None, latest_only: bool = False) -> DataFrame:
+def run_available(
+    df: DataFrame, mode: str = "append", transform=None, latest_only: bool = False, keys: list[str] | None = None
+) -> DataFrame:
     """Drive a stream over everything available now and return its stored output.
 
-    ``latest_only`` reads the last batch alone, for complete-mode results.
+    ``latest_only`` reads the last batch alone, for complete-mode results. With
+    ``keys`` the last row stored for each key stands, for update-mode results: a
+    batch then writes the rows that it changed, and nothing is written again.
     """
     spark = df.sparkSession
     out, checkpoint = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
@@ -52,6 +56,9 @@ def run_available(df: DataFrame, mode: str = "append", transform=None, latest_on
     if latest_only:
         last = result.agg(F.max("batch").alias("batch"))
         result = result.join(broadcast_checked(last), "batch", "left_semi")
+    if keys:
+        rest = [c for c in df.columns if c not in keys]
+        result = result.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
     return result
 
 
@@ -95,7 +102,9 @@ def stream_dedupe(stream: DataFrame, keys: list[str], minutes: int = 30) -> Data
 
     Slots make the outcome independent of batch boundaries, and the minimum is
     combined before the shuffle, so a key with most of the rows is one small
-    group. Events later than the watermark's hour are closed out of state.
+    group. Update mode: a batch writes the slots it touched, and slots that lie an
+    hour behind the latest event leave the state; what arrives for them later is
+    dropped.
     """
     slot = F.window("ts", f"{minutes} minutes")
     first = (
@@ -103,7 +112,8 @@ def stream_dedupe(stream: DataFrame, keys: list[str], minutes: int = 30) -> Data
         .groupBy(slot.alias("w"), *keys)
         .agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n_events"))
     )
-    return run_available(first.select(F.col("w.start").alias("slot"), *keys, "event_id", "n_events"), "complete", latest_only=True)
+    slots = first.select(F.col("w.start").alias("slot"), *keys, "event_id", "n_events")
+    return run_available(slots, "update", keys=["slot", *keys])
 
 
 def stream_first_seen(stream: DataFrame, keys: list[str], minutes: int = 30) -> DataFrame:
@@ -113,7 +123,10 @@ def stream_first_seen(stream: DataFrame, keys: list[str], minutes: int = 30) ->
 
 
 def stream_outcomes(stream: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Source availability per time window: used when any call in it answered."""
+    """Source availability per time window: used when any call in it answered.
+
+    Update mode; windows that lie ``late`` behind the latest call leave the state.
+    """
     used = F.bool_or("ok")
     per = (
         stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -127,7 +140,7 @@ def stream_outcomes(stream: DataFrame, width: str = "1 day", late: str = "2 hour
         F.col("w.start").alias("window_start"), "source", "used", "n_calls", "elapsed_ms",
         F.when(~F.col("used"), F.col("_error")).alias("reason"),
     )
-    return run_available(flat, "complete", latest_only=True)
+    return run_available(flat, "update", keys=["window_start", "source"])
 
 
 def stream_status(stream: DataFrame, case: str) -> DataFrame:
@@ -155,4 +168,5 @@ def stream_status(stream: DataFrame, case: str) -> DataFrame:
         F.when(F.col("_cancel").isNotNull() & waiting, F.lit("skipped"))
         .otherwise(F.coalesce(settled["status"], last["status"], F.lit("queued")))
     )
-    return run_available(per.select(case, status.alias("status"), "n_events"), "complete", latest_only=True)
+    # Update mode: a batch writes the cases it touched.
+    return run_available(per.select(case, status.alias("status"), "n_events"), "update", keys=[case])
