@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corrobora.functions.text import let
+
 # Elements removed before tags are stripped, and entities decoded afterwards, in these orders.
 FURNITURE = ["script", "style", "noscript", "nav", "header", "footer", "aside"]
 ENTITIES = [
@@ -18,6 +20,10 @@ MIN_ARTICLE_CHARS = 120
 
 def _decode_numbers(c: Column) -> Column:
     """Decimal and hexadecimal character references as their characters; impossible numbers stay as written."""
+    return let(c, _numbers_decoded)
+
+
+def _numbers_decoded(c: Column) -> Column:
     between = F.split(c, NUMBER_REFERENCE, -1)
     written = F.regexp_extract_all(c, F.lit(NUMBER_REFERENCE), 0)
 
@@ -31,7 +37,7 @@ def _decode_numbers(c: Column) -> Column:
 
     parts = F.transform(written, lambda ref, i: F.concat(F.get(between, i), character(ref)))
     decoded = F.concat(F.array_join(parts, ""), F.element_at(between, -1))
-    return F.when(c.rlike(NUMBER_REFERENCE), decoded).otherwise(c)
+    return F.when(F.contains(c, F.lit("&#")), decoded).otherwise(c)
 
 
 def decode_entities(c: Column) -> Column:
@@ -55,8 +61,9 @@ def html_to_text(c: Column, max_chars: int | None = None) -> Column:
     for tag in FURNITURE:
         body = F.regexp_replace(body, rf"(?is)<{tag}.*?</{tag}>", " ")
     article = F.regexp_extract(body, r"(?is)<article.*?</article>", 0)
-    text = strip_tags(F.when(article != "", article).otherwise(body))
-    kept = F.when(F.length(text) >= MIN_ARTICLE_CHARS, text)
+    text = strip_tags(let(F.struct(body.alias("body"), article.alias("article")), lambda p: F.when(
+        p["article"] != "", p["article"]).otherwise(p["body"])))
+    kept = let(text, lambda t: F.when(F.length(t) >= MIN_ARTICLE_CHARS, t))
     return kept if max_chars is None else F.substring(kept, 1, max_chars)
 
 
