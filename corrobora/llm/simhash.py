@@ -73,7 +73,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 4, name:
 
 def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect what links within ``radius`` bits connect, at most one fewer than fingerprints."""
-    edges, rest = [], prints
+    edges, rest = [], prints.view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
     while len(rest):
         stack, rest = [rest[0]], rest[1:]
         while stack and len(rest):
@@ -84,7 +84,7 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
                 edges.extend((int(x), int(y)) for y in hit)
                 stack.extend(hit)
                 rest = rest[~near]
-    return edges
+    return [(a - (1 << BITS) if a >> 63 else a, b - (1 << BITS) if b >> 63 else b) for a, b in edges]
 
 
 def links(prints: DataFrame, radius: int = 4, block: int = 8192) -> DataFrame:

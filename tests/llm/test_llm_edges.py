@@ -84,6 +84,28 @@ def test_simhash_covers_every_pair(spark):
     assert max(len(simhash.forest(__import__("numpy").array(prints), 4)), 0) < len(prints)
 
 
+def test_simhash_links_across_the_highest_bit(spark):
+    """Buckets of three and more fingerprints, drawn from all 64 bits, link by the bits that differ."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rnd = random.Random(5)
+    for bits, linked in (((63, 0), True), ((63, 10, 2, 0), True), ((63, 10, 2, 1, 0), False)):
+        base = rnd.getrandbits(64)
+        pair = [signed(base), signed(base ^ sum(1 << b for b in bits))]
+        assert [tuple(sorted(e)) for e in simhash.forest(np.array(pair), 4)] == ([tuple(sorted(pair))] if linked else [])
+    base = rnd.getrandbits(64)
+    prints = sorted({signed(base ^ sum(1 << b for b in {rnd.choice((63, 62)), *rnd.sample(range(64), rnd.randint(0, 5))})) for _ in range(400)})
+    edges = [(a, b) for a, b in itertools.combinations(prints, 2) if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4]
+    want = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for block in (7, 8192):
+        assert {tuple(r) for r in components(simhash.links(frame, 4, block)).collect()} == want
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
