@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import unicodedata
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -25,6 +26,22 @@ def normalise_digits(c: Column) -> Column:
     return F.when(c.rlike(f"[{INDIC_DIGITS}]"), ascii_digits).otherwise(c)
 
 
+# Accented Latin letters with their plain letter, and letters that stand for two.
+_ACCENTED = {
+    chr(n): base for n in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))
+    if "a" <= (base := unicodedata.normalize("NFKD", chr(n))[0]) <= "z" and len(unicodedata.normalize("NFKD", chr(n))) > 1
+} | dict(zip("øłđðħŧı", "olddhti"))
+_DOUBLED = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+
+
+def fold_accents(c: Column) -> Column:
+    """Lower-cased text with accented Latin letters made plain and combining marks dropped."""
+    k = F.translate(F.lower(c), "".join(_ACCENTED), "".join(_ACCENTED.values()))
+    for letter, pair in _DOUBLED.items():
+        k = F.replace(k, F.lit(letter), F.lit(pair))
+    return F.regexp_replace(k, r"\p{M}", "")
+
+
 def phonetic_key(c: Column) -> Column:
     """Key shared by the usual spellings of one Latin-script word."""
     k = F.lower(c)
@@ -62,6 +79,7 @@ _FLAPS = {0x21: "r", 0x22: "rh", 0x1C: "z", 0x2B: "f"}
 def _romanise(word: str) -> str:
     """Romanise one native-script word, dropping the unspoken inherent vowels."""
     units: list[list] = []  # [consonant, vowel, vowel is inherent]
+    last = None
     for ch in word:
         code = ord(ch)
         if not 0x0900 <= code <= 0x0D7F:
@@ -116,3 +134,11 @@ def romanise_tokens(tokens: DataFrame, column: str = "token") -> DataFrame:
     native = tokens.select(F.col(column).alias("token")).where(F.col("token").rlike("[ऀ-ൿ]")).distinct()
     romanise = romanise_column()
     return native.withColumn("latin", romanise("token")).withColumn("key", phonetic_key(F.col("latin")))
+
+
+def latin_words(tokens: DataFrame, column: str = "token") -> DataFrame:
+    """Distinct words of any script as (token, latin, key): accents folded, native-script words romanised."""
+    native = romanise_tokens(tokens, column).withColumn("latin", fold_accents(F.col("latin")))
+    latin = tokens.select(F.col(column).alias("token")).where(~F.col("token").rlike("[ऀ-ൿ]")).distinct()
+    both = latin.withColumn("latin", fold_accents(F.col("token"))).unionByName(native.select("token", "latin"))
+    return both.withColumn("key", phonetic_key(F.col("latin")))

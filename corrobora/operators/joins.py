@@ -86,15 +86,20 @@ def identifier_hits(anchors: DataFrame, articles: DataFrame) -> DataFrame:
     return anchors.select("claim_id", "key").distinct().join(per_key, "key")
 
 
-def match_phonetic(anchors: DataFrame, article_words: DataFrame, minimum: int = 4) -> DataFrame:
+def match_phonetic(
+    anchors: DataFrame, article_words: DataFrame, minimum: int = 4, keys: DataFrame | None = None
+) -> DataFrame:
     """Articles with a word that sounds like an anchor: (claim_id, value, key, article_id, word).
 
     ``anchors`` is (claim_id, value, key); ``article_words`` is (article_id, word).
     Keys are made once per distinct word, and only words whose key some anchor
     has go back to the articles. Keys under ``minimum`` letters are too weak to join.
+    ``keys`` (word, key) names the keys of words that are not plain Latin.
     """
     strong = lambda df: df.where(F.length("key") >= minimum)
-    vocabulary = with_once(article_words.select("word").distinct(), "key", phonetic_key(F.col("word")))
+    vocabulary = keys
+    if keys is None:
+        vocabulary = with_once(article_words.select("word").distinct(), "key", phonetic_key(F.col("word")))
     linked = strong(vocabulary).join(strong(anchors), "key")
     return article_words.join(linked, "word")
 

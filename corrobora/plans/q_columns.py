@@ -230,11 +230,22 @@ def _(spark, d):
     return _doc_words(spark, d).select("word", P.phonetic_key(F.col("word")).alias("key"))
 
 
+def _all_doc_words(spark, d):
+    """Words of any spelling and script as (token, latin, key)."""
+    return P.latin_words(load(spark, d, "documents").select(F.explode(T.spelled_words(F.col("text"))).alias("token")))
+
+
+@query("str14_phonetic_key_all_words")
+def _(spark, d):
+    return _all_doc_words(spark, d).select(F.col("token").alias("word"), "key")
+
+
 @query("str15_romanise")
 def _(spark, d):
-    # Latin words of the documents written letter by letter in Devanagari, romanised back.
+    # Words of the documents in Latin letters, written letter by letter in Devanagari, romanised back.
     letters = "कखगघङचछजझञटठडढणतथदधनपफबभमय"
-    native = _doc_words(spark, d).select(F.translate("word", "abcdefghijklmnopqrstuvwxyz", letters).alias("token"))
+    words = _all_doc_words(spark, d).select(F.regexp_replace("latin", "[^a-z]", "").alias("word")).where("word <> ''")
+    native = words.select(F.translate("word", "abcdefghijklmnopqrstuvwxyz", letters).alias("token"))
     return P.romanise_tokens(native)
 
 
@@ -251,6 +262,12 @@ def _(spark, d):
     return _doc_words(spark, d).select("word", F.array_join(P.spelling_variants(F.col("word")), ",").alias("forms"))
 
 
+@query("str16_spelling_variants_all_words")
+def _(spark, d):
+    forms = F.array_join(P.spelling_variants(F.col("latin")), ",").alias("forms")
+    return _all_doc_words(spark, d).select(F.col("token").alias("word"), forms)
+
+
 @query("str17_tokenize", f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
 def _(spark, d):
     return load(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrobora.functions import urls as U
-from corrobora.functions.phonetics import phonetic_key
-from corrobora.functions.text import tokenize, words
+from corrobora.functions.phonetics import latin_words, phonetic_key
+from corrobora.functions.text import spelled_words, tokenize, words
 from corrobora.operators import joins as J
 from corrobora.operators import ranking as R
 from corrobora.plans.registry import query
@@ -123,6 +123,18 @@ def _(spark, d):
     return J.match_phonetic(anchors, docs).groupBy("claim_id", "article_id").agg(F.countDistinct("value").alias("n_values"))
 
 
+@query("jn5_phonetic_all_words")
+def _(spark, d):
+    """Words of any spelling and script; only the length of the key decides."""
+    listed = lambda t, c, id, w: load(spark, d, t).select(
+        F.col(c).alias(id), F.explode(F.array_distinct(spelled_words(F.col("text")))).alias(w)
+    )
+    docs, items = listed("documents", "doc_id", "article_id", "word"), listed("benchmark", "item_id", "claim_id", "value")
+    keyed = lambda df, w: latin_words(df, w).select(F.col("token").alias(w), "key")
+    got = J.match_phonetic(items.join(keyed(items, "value"), "value"), docs, keys=keyed(docs, "word"))
+    return got.groupBy("claim_id", "article_id").agg(F.countDistinct("value").alias("n_values"))
+
+
 _NAME7 = "SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS k FROM part"
 _TYPE7 = "SELECT DISTINCT regexp_replace(regexp_replace(lower(p_name), '[^a-z]', '', 'g'), '[aeiou]', CASE WHEN p_size % 2 = 0 THEN 'y' ELSE '' END) AS k FROM part"
 
