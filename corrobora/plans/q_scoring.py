@@ -659,6 +659,21 @@ def _(spark, d):
     return N.build_anchors(register_claims(spark, d)).where(F.col("kind").isin(kinds)).drop("ordinal")
 
 
+def told_claims(spark, d):
+    """The register with narratives that also name a firm, a station, a hospital and the injured."""
+    k = F.col("claim_id")
+    more = F.concat(
+        F.lit(" Owner: Gupta Roadways Pvt. Reported at Kharadi Police Station. Taken to Ruby Hospital Pune. "), k % 7 + 2,
+        F.lit(" injured persons."),
+    )
+    return register_claims(spark, d).withColumn("narrative", F.concat("narrative", more))
+
+
+@query("enr4_anchors_all_kinds")
+def _(spark, d):
+    return N.build_anchors(told_claims(spark, d))
+
+
 @query("enr4_anchor_counts")
 def _(spark, d):
     return N.build_anchors(register_claims(spark, d)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("claim_id").alias("n_claims"))
@@ -698,3 +713,8 @@ def _(spark, d):
     anchors = N.build_anchors(register_claims(spark, d)).where(F.col("kind").isin(keep))
     places = claims(spark, d).select("claim_id", F.lit("place").alias("kind"), F.lower("state").alias("value"), F.lit(0).alias("ordinal"))
     return N.plan_terms(anchors.unionByName(places), 9).select("claim_id", "tier", "query")
+
+
+@query("enr6_plan_terms_all_kinds")
+def _(spark, d):
+    return N.plan_terms(N.build_anchors(told_claims(spark, d)), 20).select("claim_id", "tier", "query")
