@@ -242,6 +242,34 @@ def test_personal_data_learns_what_the_base_misses(spark):
     assert not any(added[i] for i in added if i != 1000)
 
 
+def test_cards_beside_other_numbers(spark):
+    """A card is a candidate at any group border, and what meets only dropped candidates is selected."""
+    card = "4111 1111 1111 1111"
+    texts = [f"item 12 {card}", f"call +1 555 123 4567 {card}", f"1234 {card} 5th", f"{card} 77 5500-0000-0000-0004", "12 4111111111111111.",
+             f"{card[:-1]}2", "漢 7 " + card, None, "", "7 " * 30_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in docs.select("doc_id", "text", pii.card_windows(F.coalesce("text", F.lit(""))).alias("w")).collect()}
+    found = {i: {r.text[w.start : w.end] for w in r.w} for i, r in got.items() if r.text}
+    assert all(w.value in found[i] for i, r in got.items() for w in r.w)
+    assert all(card in found[i] for i in (0, 1, 2, 3, 6)) and "5500-0000-0000-0004" in found[3] and "4111111111111111" in found[4]
+    assert card[:-1] + "2" not in found[5] and not got[7].w and not got[8].w and not found[9]
+
+    lone = docs.where("doc_id < 2")
+    spans = {r.doc_id: [(s.start, s.end) for s in r.pii_spans] for r in pii.spans_of(lone, pii.Boosted([(pii.FEATURES.index("luhn"), 0.5, -1.0, 1.0)], [1.0], [None, None, 0.0, None])).collect()}
+    assert spans == {i: [(texts[i].index(card), len(texts[i]))] for i in (0, 1)}
+
+
+def test_selection_is_greedy(spark, monkeypatch):
+    """Of a chain a > b > c where b meets both, a and c stay."""
+    chain = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(2).alias("kind"), F.lit(e).alias("end"), F.lit(m).alias("digits")) for s, e, m in
+                      ((0, 10, 3.0), (5, 15, 2.0), (12, 20, 1.0))])
+    monkeypatch.setattr(pii, "candidates", lambda text: chain)
+    monkeypatch.setattr(pii.Boosted, "margin", lambda self, c: c["digits"])
+    docs = spark.createDataFrame([("no data of a person",)], "text string")
+    row = pii.spans_of(docs, pii.Boosted(least=[None, None, 0.0, None])).first()
+    assert [(s.start, s.end) for s in row.pii_spans] == [(0, 10), (12, 20)]
+
+
 def test_urls(spark):
     urls = [
         (1, None), (2, ""), (3, "no scheme/here"), (4, "HTTP://A.Example.ORG/en/12?x#y"), (4, "HTTP://A.Example.ORG/en/12?x#y"),
