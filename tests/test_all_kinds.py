@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from conftest import SMALL
+from harness import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

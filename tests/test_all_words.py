@@ -5,7 +5,7 @@ import unicodedata
 from collections import defaultdict
 
 import pyarrow.parquet as pq
-from conftest import SMALL
+from harness import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

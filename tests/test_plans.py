@@ -1,7 +1,7 @@
 """Plan shape: no nested loops in matching joins, pushed filters, pruned columns, checked broadcasts."""
 
 import pytest
-from conftest import SMALL
+from harness import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

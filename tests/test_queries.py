@@ -1,8 +1,7 @@
 """Every registered query against its oracle on the smallest tables."""
 
 import pytest
-from conftest import SMALL
-from harness import compare, duck
+from harness import SMALL, compare, duck
 
 import __spark_entry__ as entry
 

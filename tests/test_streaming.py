@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import SMALL
+from harness import SMALL
 from pyspark.sql import functions as F
 
 from corrobora.schema import TABLES
