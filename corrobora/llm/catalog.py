@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import attention_mil, host_reputation, line_crf, metric_join, pii, pivotal_mix, simhash, suffix_pieces, token_counts, tool_calls
+from corrobora.llm import (
+    attention_mil, host_reputation, line_crf, line_ledger, merkle, metric_join, pii, pivotal_mix, prefix_trie, simhash, suffix_pieces,
+    token_counts, tool_calls,
+)
 from corrobora.llm.common import model_bytes, n_words, table
-from corrobora.llm.oracles import OP1_SQL, OP5_SQL
+from corrobora.llm.oracles import OP1_SQL, OP5_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from corrobora.llm.quality_lines import held_out
 from corrobora.session import values_frame
 
@@ -136,3 +139,25 @@ def op9_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
+@query(OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.numbered_turns(turns))).drop("turn_hash")
+
+
+@query(OP12_SQL)
+def op12_line_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = line_ledger.insert(line_ledger.EMPTY, docs)
+    return line_ledger.deduplicated(ledger, docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    proofs = merkle.verify(table(spark, sf_dir, "documents").select(*fields), fields)
+    return proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified"
+    )
