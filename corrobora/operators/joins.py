@@ -170,21 +170,38 @@ def match_terms(terms: DataFrame, article_terms: DataFrame, need: int = 2) -> Da
     )
 
 
+def rarer_first(pairs: DataFrame, a: str, b: str, article_terms: DataFrame) -> DataFrame:
+    """``pairs`` of terms with ``_first``, the one that fewer articles have, and ``_second``, instead of ``a`` and ``b``.
+
+    Candidates are made from the first and looked up by the second, so a pair fans out no further than its rarer term.
+    """
+    listed = pairs.select(F.explode(F.array(a, b)).alias("term")).distinct()
+    use = article_terms.join(listed, "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df"))
+    left, right = use.select(F.col("term").alias(a), F.col("_df").alias("_da")), use.select(F.col("term").alias(b), F.col("_df").alias("_db"))
+    # A term that no article has makes no pair.
+    counted = pairs.join(left, a).join(right, b)
+    first = F.col("_da") <= F.col("_db")
+    return counted.withColumns(
+        {"_first": F.when(first, F.col(a)).otherwise(F.col(b)), "_second": F.when(first, F.col(b)).otherwise(F.col(a))}
+    ).drop(a, b, "_da", "_db")
+
+
 def match_names(names: DataFrame, article_terms: DataFrame, places: DataFrame) -> DataFrame:
     """Names found in articles.
 
     ``names`` is (claim_id, name, term); ``places`` is (claim_id, term). A name of
     two or more tokens needs two of them; a one-token name also needs a place of
-    its claim in the same article.
+    its claim in the same article, and the rarer of the two makes the candidates.
     """
     ids = names.select(F.struct("claim_id", "name").alias("claim_id"), "term").distinct()
     size = ids.groupBy("claim_id").agg(F.count("*").alias("_size"))
     multi = match_terms(ids.join(size.where("_size >= 2"), "claim_id", "left_semi"), article_terms, 2)
-    single = ids.join(size.where("_size = 1"), "claim_id", "left_semi").join(article_terms, "term")
-    placed = places.join(article_terms, "term").select("claim_id", "article_id").distinct()
+    lone = ids.join(size.where("_size = 1"), "claim_id", "left_semi").select("claim_id.*", F.col("term").alias("_name"))
+    both = rarer_first(lone.join(places.withColumnRenamed("term", "_place"), "claim_id"), "_name", "_place", article_terms)
     single = (
-        single.select("claim_id.*", "article_id")
-        .join(placed, ["claim_id", "article_id"], "left_semi")
+        both.join(article_terms.withColumnRenamed("term", "_first"), "_first")
+        .join(article_terms.withColumnRenamed("term", "_second"), ["article_id", "_second"])
+        .select("claim_id", "name", "article_id").distinct()
         .withColumn("hits", F.lit(1).cast("bigint"))
     )
     return multi.select("claim_id.*", "article_id", "hits").unionByName(single)
@@ -288,6 +305,43 @@ def count_window(claims: DataFrame, evidence: DataFrame, before: int, after: int
     return claims.join(counts, "loss_date", "left").fillna(0, ["n_articles"])
 
 
+def match_range(claims: DataFrame, evidence: DataFrame, before: int, after: int, chunk: int = 100_000) -> DataFrame:
+    """Pairs of a claim and evidence published from T-before to T+after, without an equality key.
+
+    Days are cut into buckets as long as the window, so a claim looks into two or three of them; a bucket of more than
+    ``chunk`` pieces of evidence is dealt into salts, and the claims that look into it are repeated for each. The
+    window is then tested on the pairs. Use it with a test that leaves few of them.
+    """
+    width = before + after + 1
+    epoch = F.lit("1970-01-01").cast("date")
+    bucket = lambda day: F.floor(F.datediff(day, epoch) / width).cast("int")
+    dealt = evidence.withColumn("_bucket", bucket(F.col("publish_day")))
+    counts = dealt.groupBy("_bucket").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_salts"))
+    salted = dealt.join(counts, "_bucket").withColumn("_salt", F.pmod(F.xxhash64(*evidence.columns), "_salts").cast("int")).drop("_salts")
+    low, high = F.date_sub("loss_date", before), F.date_add("loss_date", after)
+    looked = claims.where("loss_date IS NOT NULL").withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    spread = looked.join(counts, "_bucket").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    gap = F.datediff("publish_day", "loss_date")
+    return spread.join(salted, ["_bucket", "_salt"]).withColumn("gap_days", gap).where(
+        F.col("gap_days").between(-before, after)).drop("_bucket", "_salt")
+
+
+def nearest_in_window(claims: DataFrame, evidence: DataFrame, before: int, after: int, k: int, order: str) -> DataFrame:
+    """The ``k`` pieces of evidence nearest in time to each claim, of those from T-before to T+after; ``rank`` numbers them.
+
+    Ties in days go by ``order``. Of one day no more than ``k`` can be wanted, so evidence is first limited to ``k`` a
+    day, and the join runs over distinct loss dates: claims of one date share their list.
+    """
+    from corrobora.operators.ranking import top_k
+
+    daily = top_k(evidence.where("publish_day IS NOT NULL"), ["publish_day"], [F.col(order).asc()], k, "_n").drop("_n")
+    dates = claims.select("loss_date").where("loss_date IS NOT NULL").distinct()
+    days = dates.select("loss_date", F.explode(F.sequence(F.date_sub("loss_date", before), F.date_add("loss_date", after))).alias("publish_day"))
+    near = days.join(daily, "publish_day").withColumn("gap_days", F.datediff("publish_day", "loss_date"))
+    listed = top_k(near, ["loss_date"], [F.abs("gap_days").asc(), F.col("gap_days").asc(), F.col(order).asc()], k, "rank")
+    return claims.join(listed, "loss_date")
+
+
 def next_day_editions(claims: DataFrame, calendar: DataFrame) -> DataFrame:
     """Editions printed the day after the loss. ``calendar`` is (publish_day, edition, ...)."""
     wanted = claims.withColumn("publish_day", F.date_add("loss_date", 1))

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.identifiers import identifier_key
 from corrobora.operators.joins import match_names, match_terms
+from corrobora.operators.spelling import spelled_terms
 from corrobora.session import cut_lineage
 
 PHRASES = ["org", "place", "police_station", "hospital"]
+# Kinds whose words may be written in another script or spelling.
+SPELLED = ["name", *PHRASES]
 COMMON = ["vehicle", "incident", "token"]
 
 
@@ -25,7 +28,7 @@ def corridor_key(c: Column) -> Column:
 
 
 def _words(value: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(value), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(value), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
 
 
 def match_phrases(phrases: DataFrame, terms: DataFrame) -> DataFrame:
@@ -47,11 +50,12 @@ def match_phrases(phrases: DataFrame, terms: DataFrame) -> DataFrame:
     return single.unionByName(more.select(*phrase, "article_id"))
 
 
-def match_anchors(anchors: DataFrame, articles: DataFrame, terms: DataFrame) -> DataFrame:
+def match_anchors(anchors: DataFrame, articles: DataFrame, terms: DataFrame, spelled: bool = False) -> DataFrame:
     """Matched anchors (claim_id, article_id, kind, value), distinct.
 
     ``anchors`` is (claim_id, kind, value); ``articles`` has article_id and the arrays ``keys`` (identifier
-    keys) and ``corridors`` (corridor keys); ``terms`` is (article_id, term), distinct, lower case.
+    keys) and ``corridors`` (corridor keys); ``terms`` is (article_id, term), distinct, lower case. With ``spelled`` the
+    words of people, companies and places match in any script and spelling; plates, roads and common words never do.
     """
     # Each is read by every kind of match, and costs much more to make than to store.
     anchors, terms = cut_lineage(anchors.select("claim_id", "kind", "value")), cut_lineage(terms.select("article_id", "term"))
@@ -63,12 +67,16 @@ def match_anchors(anchors: DataFrame, articles: DataFrame, terms: DataFrame) ->
         carried = articles.select("article_id", F.explode(F.array_distinct(listed)).alias("_key"))
         return of(kind).withColumn("_key", key).join(carried, "_key").select(out)
 
+    names_of = terms
+    if spelled:
+        wanted = of(*SPELLED).select(F.explode(_words(F.col("value"))).alias("term"))
+        names_of = cut_lineage(spelled_terms(wanted, terms).select("article_id", "term"))
     plates = by_key("plate", identifier_key(F.col("value")), "keys")
     corridors = by_key("corridor", corridor_key(F.col("value")), "corridors")
-    phrases = match_phrases(of(*PHRASES), terms).select(out)
+    phrases = match_phrases(of(*PHRASES), names_of).select(out)
     places = of("place").select("claim_id", F.explode(_words(F.col("value"))).alias("term")).distinct()
     names = of("name").select("claim_id", F.col("value").alias("name"), F.explode(_words(F.col("value"))).alias("term"))
-    named = match_names(names, terms, places).select("claim_id", "article_id", F.lit("name").alias("kind"), F.col("name").alias("value"))
+    named = match_names(names, names_of, places).select("claim_id", "article_id", F.lit("name").alias("kind"), F.col("name").alias("value"))
     strong = plates.unionByName(corridors).unionByName(phrases).unionByName(named)
 
     word = lambda kinds: of(*kinds).withColumn("term", F.lower("value"))
@@ -76,3 +84,11 @@ def match_anchors(anchors: DataFrame, articles: DataFrame, terms: DataFrame) ->
     pairs = strong.select("claim_id", "article_id").union(two_tokens).distinct()
     common = pairs.join(word(COMMON), "claim_id").join(terms, ["article_id", "term"]).select(out)
     return strong.unionByName(common).distinct()
+
+
+def match_tokens(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """Matched free tokens (claim_id, article_id, kind, value) of pairs that share two of a claim's ``tokens``."""
+    words = tokens.select("claim_id", "value", F.lower("value").alias("term")).distinct()
+    pairs = match_terms(words.select("claim_id", "term").distinct(), terms, 2).select("claim_id", "article_id")
+    return pairs.join(words, "claim_id").join(terms, ["article_id", "term"]).select(
+        "claim_id", "article_id", F.lit("token").alias("kind"), "value")

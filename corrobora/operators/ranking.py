@@ -99,6 +99,41 @@ def interleaved_topk(df: DataFrame, by: str, k: int) -> DataFrame:
     return drawn.drop("_c", "_t")
 
 
+def spanning_topk(df: DataFrame, by: str, k: int) -> DataFrame:
+    """Like :func:`interleaved_topk`, for classes that may stand in several tiers: a class used in one is used in all.
+
+    Input columns: ``tier`` 1-4, ``cls``, ``seq``. A draw takes from its tier the first row of a class not drawn yet,
+    else the first row left. A draw of ``k`` rows can only take one of a tier's first ``k`` rows or one of the first
+    rows of its first ``k`` classes, so a group's fold is over a bounded list; both ranks are limited to ``k``.
+    Returns the rows drawn with ``pick``, their place in the draw.
+    """
+    cycle = len(K.TIER_DRAW_ORDER)
+    leading = top_k(df, [by, "tier", "cls"], [F.col("seq").asc()], 1, "_c").drop("_c")
+    kept = top_k(leading, [by, "tier"], [F.col("seq").asc()], k, "_t").unionByName(
+        top_k(df, [by, "tier"], [F.col("seq").asc()], k, "_t")
+    )
+    row = F.struct("seq", "tier", "cls")
+    each = kept.groupBy(by).agg(F.array_sort(F.collect_set(row)).alias("rows"))
+
+    def draw(state: Column, i: Column) -> Column:
+        tier = F.get(F.array(*[F.lit(t) for t in K.TIER_DRAW_ORDER]), i % cycle)
+        left = F.filter(state["left"], lambda r: r["tier"] == tier)
+        fresh = F.filter(left, lambda r: ~F.array_contains(state["used"], r["cls"]))
+        one = F.coalesce(F.get(fresh, 0), F.get(left, 0))
+        drawn = F.when(one.isNotNull() & (F.size(state["drawn"]) < k), F.array(one)).otherwise(F.array_compact(F.array(F.lit(None).cast(one_type))))
+        return F.struct(
+            F.array_except(state["left"], drawn).alias("left"),
+            F.concat(state["used"], F.transform(drawn, lambda r: r["cls"])).alias("used"),
+            F.concat(state["drawn"], drawn).alias("drawn"),
+        )
+
+    one_type = dict(each.dtypes)["rows"][len("array<"):-1]
+    none = F.array_compact(F.array(F.lit(None).cast(one_type)))
+    start = F.struct(F.col("rows").alias("left"), F.array().cast("array<string>").alias("used"), none.alias("drawn"))
+    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(k * cycle - 1)), start, draw, lambda s: s["drawn"])
+    return each.select(by, F.posexplode(drawn).alias("pick", "r")).select(by, "r.*", (F.col("pick") + 1).alias("pick"))
+
+
 def round_robin_topk(df: DataFrame, by: str, platforms: list[str], k: int) -> DataFrame:
     """One row per class family, dealt tier by tier, at most ``k`` per platform.
 

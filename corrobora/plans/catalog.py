@@ -3,12 +3,16 @@
 from corrobora.plans import (  # noqa: F401
     q_aggregates,
     q_columns,
+    q_evidence,
     q_filters,
     q_joins,
+    q_pairs,
     q_ranking,
     q_scoring,
     q_sources,
+    q_spelling,
     q_streaming,
+    q_vocabulary,
 )
 from corrobora.plans.registry import ORACLES as _RAW
 from corrobora.plans.registry import QUERIES  # noqa: F401

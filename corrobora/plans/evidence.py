@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrobora import constants as K
 from corrobora.functions.text import SEARCH_TOKEN
 from corrobora.operators import aggregates as A
-from corrobora.operators.joins import match_terms
-from corrobora.operators.ranking import band_rank, rank_evidence, top_k
-from corrobora.operators.scoring import match_facts, score_evidence, score_keywords
+from corrobora.operators.joins import enrich
+from corrobora.operators.matching import match_anchors, match_tokens
+from corrobora.operators.ranking import band_rank, rank_evidence
+from corrobora.operators.scoring import match_facts, score_evidence
 from corrobora.session import cut_lineage
 
+# What the score reads of an article.
+FACTS = ["publish_day", "dates", "figures", "domain_score", "generic_incident", "social"]
+
 
 def article_tokens(articles: DataFrame, key: str, text: str) -> DataFrame:
     """(article_id, term): each article's distinct tokens, made without a shuffle.
@@ -23,26 +29,6 @@ def article_tokens(articles: DataFrame, key: str, text: str) -> DataFrame:
     return articles.select(F.col(key).alias("article_id"), F.explode(toks).alias("term"))
 
 
-def hit_band(hits: Column, total: Column) -> Column:
-    """Band by the share of a claim's terms found: three quarters, half, less."""
-    return F.when(hits * 4 >= total * 3, "CONFIRMED").when(hits * 2 >= total, "STRONG").otherwise("BACKGROUND")
-
-
-def top_evidence(terms: DataFrame, articles: DataFrame, need: int = 2, k: int = K.RANK_LIMIT) -> DataFrame:
-    """Ranked articles per claim by how many of its distinctive terms they carry.
-
-    ``terms`` is (claim_id, term); ``articles`` is (article_id, term). One join on
-    the term, one count per pair, one bounded rank per claim.
-    """
-    sizes = terms.groupBy("claim_id").agg(F.count("*").alias("total"))
-    hits = match_terms(terms, articles, need).join(sizes, "claim_id")
-    no = F.lit(False)
-    scored = hits.withColumns(
-        {"score": score_keywords(F.col("hits"), F.col("total"), no, no, no), "band": hit_band(F.col("hits"), F.col("total"))}
-    )
-    return rank_evidence(scored, k)
-
-
 def score_matches(matches: DataFrame, claims: DataFrame, articles: DataFrame) -> DataFrame:
     """Full relevance score of matched anchors.
 
@@ -66,32 +52,101 @@ def score_matches(matches: DataFrame, claims: DataFrame, articles: DataFrame) ->
     )
 
 
-def adaptive_match(terms: DataFrame, articles: DataFrame, texts: DataFrame, k: int = K.RANK_LIMIT) -> DataFrame:
-    """Match, then harvest new terms for claims left unconfirmed, then widen for claims left empty.
+def top_evidence(anchors: DataFrame, claims: DataFrame, articles: DataFrame, terms: DataFrame, k: int = K.RANK_LIMIT) -> DataFrame:
+    """The first ``k`` articles per claim by band and score: anchors matched, scored in full, ranked.
+
+    ``articles`` has what :func:`match_anchors` and :func:`score_matches` read of each; ``terms`` is (article_id, term).
+    """
+    return rank_evidence(score_matches(match_anchors(anchors, articles, terms), claims, facts_only(articles)), k)
+
+
+def facts_only(articles: DataFrame) -> DataFrame:
+    return articles.select("article_id", *FACTS)
+
 
-    Each later pass runs only for the claims the earlier ones did not settle, by
-    anti join. ``texts`` is (article_id, text) for the harvest. Adds ``round``:
-    precise, harvest or widen.
+def rescore_enriched(
+    anchors: DataFrame, claims: DataFrame, matches: DataFrame, scored: DataFrame, pages: DataFrame,
+    read: Callable[[DataFrame], DataFrame], top: int = 12,
+) -> DataFrame:
+    """The first ``top`` open rows of each claim scored again with the full text of their pages.
+
+    Open are rows that are neither CONFIRMED nor social. Only their pages are tokenised, by ``read``, which makes an
+    article row from (article_id, text); only their claims' anchors are matched to them. What the index had matched
+    (``matches``) and what the page adds are merged by anchor before the score, so nothing found before is lost.
+    ``pages`` is (url_key, full_text), ``scored`` has a url_key. A row without a page keeps its score.
+    Returns the columns of ``scored`` with ``first_score`` and ``first_band``, for rows that have a page.
+    """
+    wanted = cut_lineage(enrich(scored, pages, top).where("full_text IS NOT NULL").select(
+        "claim_id", "article_id", "url_key", "full_text", F.col("score").alias("first_score"), F.col("band").alias("first_band")))
+    pairs = wanted.select("claim_id", "article_id")
+    texts = cut_lineage(wanted.groupBy("article_id").agg(F.max("full_text").alias("text")))
+    fresh = read(texts)
+    asked = anchors.join(pairs.select("claim_id").distinct(), "claim_id", "left_semi")
+    found = match_anchors(asked, fresh, article_tokens(texts, "article_id", "text"))
+    both = matches.select("claim_id", "article_id", "kind", "value").unionByName(found)
+    merged = both.join(pairs, ["claim_id", "article_id"], "left_semi").distinct()
+    again = score_matches(merged, claims, facts_only(fresh))
+    return again.join(wanted.drop("full_text"), ["claim_id", "article_id"])
+
+
+def _best_bands(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("claim_id").agg(F.min(band_rank(F.col("band"))).alias("best"))
+
+
+def adaptive_match(
+    anchors: DataFrame, claims: DataFrame, index: DataFrame, pages: DataFrame, read: Callable[[DataFrame], DataFrame],
+    k: int = K.RANK_LIMIT, rounds: int = 2,
+) -> DataFrame:
+    """Match, and search on for claims that nothing confirms: harvest new terms, widen, read full pages.
+
+    ``index`` is (article_id, url_key, text): what a search shows of each article; ``pages`` is (url_key, full_text).
+    A pass works on open claims only, that is without a CONFIRMED row, and adds to the matches found so far; a page is
+    read once for a claim. Passes repeat until no claim's best band changes, ``rounds`` times at most. ``round`` tells the pass that found a pair:
+    precise, harvest, widen (one word is enough, for claims without any row, at a lower floor) or enrich.
     """
-    precise = cut_lineage(top_evidence(terms, articles, 3, k).withColumn("round", F.lit("precise")))
-    confirmed = precise.where("band = 'CONFIRMED'").select("claim_id").distinct()
-    open_terms = terms.join(confirmed, "claim_id", "left_anti")
-
-    leading = precise.join(confirmed, "claim_id", "left_anti").where("rank <= 20")
-    new = A.harvest_terms(
-        leading.join(texts, "article_id"), terms.withColumnRenamed("term", "value"), "text"
-    ).select("claim_id", F.explode(F.split(F.lower("term"), r"\s+")).alias("term")).distinct()
-    grown = open_terms.unionByName(new).distinct()
-    helped = grown.join(new.select("claim_id").distinct(), "claim_id", "left_semi")
-    harvest = cut_lineage(top_evidence(helped, articles, 3, k).withColumn("round", F.lit("harvest")))
-
-    found = precise.select("claim_id").unionByName(harvest.select("claim_id")).distinct()
-    empty = terms.join(found, "claim_id", "left_anti")
-    widen = top_evidence(empty, articles, 1, k).where(F.col("score") >= K.SCORE_FLOOR_WIDENED).withColumn("round", F.lit("widen"))
-
-    rows = precise.unionByName(harvest).unionByName(widen)
-    best = rows.groupBy("claim_id", "article_id").agg(
-        F.min_by(F.struct("hits", "total", "score", "band", "round"), F.struct(-F.col("score"), "round")).alias("_r")
-    ).select("claim_id", "article_id", "_r.*")
-    order = [band_rank(F.col("band")).asc(), F.col("score").desc(), F.col("article_id").asc()]
-    return top_k(best, ["claim_id"], order, k)
+    out = ["claim_id", "article_id", "kind", "value"]
+    articles = cut_lineage(read(index.select("article_id", "text")).join(index.select("article_id", "url_key"), "article_id"))
+    terms = cut_lineage(article_tokens(index, "article_id", "text"))
+    score = lambda m: cut_lineage(
+        score_matches(m.select(out), claims, facts_only(articles)).join(articles.select("article_id", "url_key"), "article_id"))
+    matches = cut_lineage(match_anchors(anchors, articles, terms).withColumn("round", F.lit("1precise")))
+    scored, read_rows = score(matches), None
+    pair = ["claim_id", "article_id"]
+    over = lambda rows, better: rows.join(better.select(pair), pair, "left_anti").unionByName(better)
+    for _ in range(rounds):
+        before = cut_lineage(_best_bands(scored))
+        confirmed = before.where("best = 1").select("claim_id")
+        open_anchors = anchors.join(confirmed, "claim_id", "left_anti")
+
+        leading = rank_evidence(scored.join(confirmed, "claim_id", "left_anti"), k).where("rank <= 20")
+        known = anchors.select("claim_id", "value").unionByName(matches.select("claim_id", "value").distinct())
+        new = A.harvest_terms(leading.join(index.select("article_id", "text"), "article_id"), known, "text").select(
+            "claim_id", F.lit("token").alias("kind"), F.explode(F.split(F.lower("term"), r"\s+")).alias("value")).distinct()
+        grown = open_anchors.where("kind = 'token'").select("claim_id", "kind", "value").unionByName(new).distinct()
+        grown = cut_lineage(grown.join(new.select("claim_id").distinct(), "claim_id", "left_semi"))
+        harvested = match_tokens(grown, terms).withColumn("round", F.lit("2harvest"))
+
+        empty = open_anchors.join(before.select("claim_id"), "claim_id", "left_anti").where("kind = 'token'")
+        single = empty.select("claim_id", "kind", "value", F.lower("value").alias("term")).join(terms, "term").select(out)
+        widened = single.withColumn("round", F.lit("3widen"))
+
+        more = matches.unionByName(harvested).unionByName(widened).groupBy(out).agg(F.min("round").alias("round"))
+        matches = cut_lineage(more)
+        scored = score(matches)
+
+        if read_rows is not None:
+            scored = cut_lineage(over(scored, read_rows))
+        open_rows = scored.join(_best_bands(scored).where("best = 1").select("claim_id"), "claim_id", "left_anti")
+        if read_rows is not None:
+            open_rows = open_rows.join(read_rows.select(pair), pair, "left_anti")
+        again = cut_lineage(rescore_enriched(anchors, claims, matches, open_rows, pages, read).drop("first_score", "first_band"))
+        scored = cut_lineage(over(scored, again))
+        read_rows = again if read_rows is None else read_rows.unionByName(again)
+        changed = _best_bands(scored).join(before.withColumnRenamed("best", "was"), "claim_id", "left").where("was IS NULL OR best != was")
+        if changed.isEmpty():
+            break
+    first = matches.groupBy("claim_id", "article_id").agg(F.min("round").alias("round"))
+    full = read_rows.select(*pair, F.lit("enrich").alias("_read"))
+    told = scored.join(first, pair, "left").join(full, pair, "left")
+    told = told.withColumn("round", F.coalesce("_read", F.substring("round", 2, 100))).drop("_read")
+    return rank_evidence(told.where((F.col("round") != "widen") | (F.col("score") >= K.SCORE_FLOOR_WIDENED)), k)

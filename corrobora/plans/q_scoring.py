@@ -8,6 +8,7 @@ from corrobora import constants as K
 from corrobora import defaults
 from corrobora.functions import urls as U
 from corrobora.functions.html import html_title
+from corrobora.functions.identifiers import extract_codes
 from corrobora.functions.text import lines, tokenize
 from corrobora.operators import aggregates as A
 from corrobora.operators import anchors as N
@@ -53,16 +54,6 @@ def doc_tokens(spark, d):
     return E.article_tokens(load(spark, d, "documents"), "doc_id", "text")
 
 
-_RANKED_SQL = """SELECT claim_id, article_id, hits, total, score, band, rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY CASE band WHEN 'CONFIRMED' THEN 1 WHEN 'STRONG' THEN 2 ELSE 3 END, score DESC, article_id) AS rank FROM
-  (SELECT claim_id, article_id, hits, total, least(greatest(CASE WHEN hits * 1.0 / total >= 0.6 THEN greatest(50 + hits * 40.0 / total, 85) ELSE round(50 + hits * 40.0 / total, 1) END, 50), 99) AS score,
-   CASE WHEN hits * 4 >= total * 3 THEN 'CONFIRMED' WHEN hits * 2 >= total THEN 'STRONG' ELSE 'BACKGROUND' END AS band FROM hit JOIN tot USING (claim_id) WHERE hits >= 2)) WHERE rank <= 60"""
-
-
-@query("flagship_top_evidence", f"WITH {HITS_SQL} {_RANKED_SQL}")
-def _(spark, d):
-    return E.top_evidence(item_top(spark, d).select("claim_id", "term"), doc_tokens(spark, d))
-
-
 # --- similarity ------------------------------------------------------------
 
 
@@ -217,19 +208,27 @@ def scored_pairs(spark, d):
 
 def score_sides(spark, d):
     """Claims with their loss dates and counts, and articles with what is known of each."""
-    i, n = F.col("item_id"), F.col("doc_id")
-    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
+    i = F.col("item_id")
     c = load(spark, d, "benchmark").select(
-        i.alias("claim_id"), F.when(i % 5 != 0, day(i % 30)).alias("loss_date"), (i % 4).cast("int").alias("target_count")
+        i.alias("claim_id"), F.when(i % 5 != 0, _day(i % 30)).alias("loss_date"), (i % 4).cast("int").alias("target_count")
     )
-    a = load(spark, d, "documents").select(
-        n.alias("article_id"), F.when(n % 3 != 0, day(n % 90)).alias("publish_day"),
-        F.regexp_extract_all("text", F.lit(r"\d{4}-\d{2}-\d{2}"), 0).alias("dates"),
+    return c, E.facts_only(read_articles(load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text")))
+
+
+def _day(c):
+    return F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
+
+
+def read_articles(texts):
+    """Article rows from (article_id, text): identifiers, and what the score reads."""
+    n = F.col("article_id")
+    return texts.select(
+        n, extract_codes(F.col("text"), 6).alias("keys"), F.array(MA.corridor_key(F.concat(F.lit("NH-"), n % 70))).alias("corridors"),
+        F.when(n % 3 != 0, _day(n % 90)).alias("publish_day"), F.regexp_extract_all("text", F.lit(r"\d{4}-\d{2}-\d{2}"), 0).alias("dates"),
         F.when(n % 2 == 0, F.array((n % 5 + 1).cast("int"))).otherwise(F.array().cast("array<int>")).alias("figures"),
         U.tier_score(F.concat(F.lit("www.s"), n % 7, F.lit(".example.net")), _TIERS).alias("domain_score"),
         S.generic_incident(F.col("text")).alias("generic_incident"), (n % 10 == 0).alias("social"),
     )
-    return c, a
 
 
 SCORED_SQL = f"""{ITEM_TOP_SQL}, {DOC_TOK_SQL}, m AS (SELECT claim_id, article_id, term, list_extract({lst(_KINDS)}, CAST(ordinal AS INT)) AS kind FROM item_top JOIN doc_tok USING (term)),
@@ -269,13 +268,7 @@ def rendered_anchors(spark, d):
 
 def article_keys(spark, d):
     """Documents with their codes, and a road that each is about."""
-    from corrobora.functions.identifiers import extract_codes
-
-    n = F.col("doc_id")
-    road = F.concat(F.lit("NH-"), n % 70)
-    return load(spark, d, "documents").select(
-        n.alias("article_id"), extract_codes(F.col("text"), 6).alias("keys"), F.array(MA.corridor_key(road)).alias("corridors")
-    )
+    return read_articles(load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text")).select("article_id", "keys", "corridors")
 
 
 _CODES_SQL = "list_distinct(list_filter(list_transform(regexp_extract_all(upper(text), '[A-Z0-9][A-Z0-9-]*[A-Z0-9]'), lambda t: replace(t, '-', '')), lambda k: length(k) >= 6 AND regexp_matches(k, '[0-9]')))"
@@ -546,13 +539,6 @@ def _(spark, d):
     return RP.research_links(c, "q", "loss_date", ["a.example"])
 
 
-@query("rp3_adaptive_match")
-def _(spark, d):
-    terms = item_top(spark, d).select("claim_id", "term")
-    texts = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text")
-    return E.adaptive_match(terms, doc_tokens(spark, d), texts)
-
-
 @query(
     "rk6_image_status",
     """SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)(widget|stock)') THEN 'Reused' WHEN regexp_matches(p_name, '(?i)(small)') THEN 'Pre-Inception' ELSE 'Original' END AS status FROM part""",

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corrobora.operators import maintenance as M
 from corrobora.plans.q_joins import DOC_TERMS_SQL, ITEM_TERMS_SQL, item_terms
 from corrobora.plans.registry import query
 from corrobora.plans.roles import sql_tokens
+from corrobora.session import fresh_path
+from corrobora.sources.tables import load
 from corrobora.streaming import jobs as J
+from corrobora.streaming import keyed as KD
+from corrobora.streaming import rolling as RL
 
 _STATUS_SQL = "CASE event_type WHEN 'click' THEN 'parsing' WHEN 'view' THEN 'queued' WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'done' ELSE 'searching' END"
 
@@ -72,3 +77,49 @@ def _(spark, d):
     )
     s = J.read_stream(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), status.alias("status"))
     return J.stream_status(s, "user_id")
+
+
+_CHANGED = "(o_orderkey % 3 = 0)"
+
+
+@query(
+    "st1_upsert",
+    f"""SELECT o_orderkey AS id, CASE WHEN {_CHANGED} THEN o_totalprice + 1 ELSE o_totalprice END AS amount, o_orderstatus AS status FROM orders
+        UNION ALL SELECT -c_custkey - 1, c_acctbal, 'queued' FROM customer""",
+)
+def _(spark, d):
+    """A register of orders under a stream of changed orders and one of new customers, kept by key."""
+    table = KD.KeyedTable(spark, fresh_path(spark, "register"), "id long, amount double, status string", "id", 16)
+    orders = lambda df: df.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("status"))
+    merge = lambda old, new: M.upsert_cases(old, new, "id", ["amount"])
+    table.apply(0, orders(load(spark, d, "orders")), merge)
+    changed = orders(J.read_stream(spark, d, "orders").where(_CHANGED)).select(
+        "id", (F.col("amount") + 1).alias("amount"), F.lit("queued").alias("status"))
+    KD.stream_upsert(changed, table, merge, fresh_path(spark, "stream-state"), first=1)
+    new = J.read_stream(spark, d, "customer").select((-F.col("c_custkey") - 1).alias("id"), F.col("c_acctbal").alias("amount"), F.lit("queued").alias("status"))
+    KD.stream_upsert(new, table, merge, fresh_path(spark, "stream-state"), first=1_000_000)
+    return table.read()
+
+
+@query(
+    "st4_rolling",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, event_id, ts FROM events),
+    p AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY ALL
+      UNION ALL SELECT q.user_id, q.event_type, q.ts FROM (SELECT p.user_id, p.event_type, min(e.ts) AS ts FROM p JOIN e ON e.user_id = p.user_id AND e.event_type = p.event_type AND e.ts >= p.ts + INTERVAL 30 MINUTE GROUP BY p.user_id, p.event_type) q)
+    SELECT p.user_id, p.event_type, min(e.event_id) AS event_id, p.ts FROM p JOIN e USING (user_id, event_type, ts) GROUP BY ALL""",
+)
+def _(spark, d):
+    """Events that pass when a key is silent for thirty minutes after each pass."""
+    got = RL.stream_rolling(J.read_stream(spark, d, "events"), ["user_id", "event_type"], "event_id")
+    return got.select("user_id", "event_type", F.col("id").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("st6_settling")
+def _(spark, d):
+    """Cases with state that ends."""
+    t = F.col("event_type")
+    status = (
+        F.when(t == "click", "parsing").when(t == "view", "queued").when(t == "error", "cancel").when(t == "purchase", "done").otherwise("searching")
+    )
+    s = J.read_stream(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), status.alias("status"))
+    return RL.stream_settling(s, "user_id")

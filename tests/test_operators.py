@@ -6,7 +6,6 @@ import random
 from pyspark.sql import functions as F
 
 from corrobora.operators import clustering, joins, maintenance, ranking, scoring, similarity
-from corrobora.plans import evidence
 from corrobora.session import values_frame
 from corrobora.sources import sinks
 
@@ -231,14 +230,6 @@ def test_upsert_keeps_workflow_columns(spark):
     assert got == {(1, "a", "done"), (2, "B", "done"), (3, "c", "queued")}
 
 
-def test_adaptive_match_widens_only_empty_claims(spark):
-    terms = values_frame(spark, [("a", f"x{i}") for i in range(4)] + [("b", "only"), ("b", "rare")], "claim_id STRING, term STRING")
-    arts = values_frame(spark, [(1, f"x{i}") for i in range(4)] + [(2, "only")], "article_id INT, term STRING")
-    texts = values_frame(spark, [(1, "nothing new"), (2, "nothing new")], "article_id INT, text STRING")
-    got = {(r.claim_id, r.article_id, r.round) for r in evidence.adaptive_match(terms, arts, texts).collect()}
-    assert got == {("a", 1, "precise"), ("b", 2, "widen")}
-
-
 def test_representative_prefers_the_publisher(spark):
     rows = values_frame(
         spark,
