@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from corrobora.llm.common import components, sorted_groups, written
+from corrobora.llm.shingle_groups import grouped, with_sets
 
 BITS = 64
 SEED = 42
@@ -161,8 +162,28 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the row with the smallest id stays, unchanged."""
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 4, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` without near-duplicates: of each group the row with the smallest id stays, unchanged.
+
+    Texts are near-duplicates if the sets of their ``width``-word shingles have a Jaccard similarity of ``least`` or more,
+    and a group is what such pairs connect. Candidates are texts whose fingerprints differ in ``radius`` bits or fewer, by
+    covering masks, and texts that agree on a band of minima; all are verified on the sets (see ``shingle_groups``).
+    Null and empty texts and texts of white space are equal. Of equal ids the first row stays, and null ids come last.
+    """
     columns = docs.columns
-    held = docs.select(F.struct(*columns).alias("kept_row"), F.col(id).alias("id"), F.col(text).alias("text"))
-    return near_duplicates(held, "id", "text", radius, carry=["kept_row"]).where("keeps").select("kept_row.*")
+    held = docs.select(F.struct(*columns).alias("kept_row"), F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    # The row number is stored with the row, so that it stays the same whenever it is read.
+    signed = with_sets(with_fingerprints(held, width=width), width).withColumn("n", F.monotonically_increasing_id())
+    marked = written(signed, "signed_texts")
+    prints = marked.groupBy("fp").agg(F.min("sig.digest").alias("digest"))
+    near = links(prints.select("fp"), radius)
+    of = lambda c, d: prints.select(F.col("fp").alias(c), F.col("digest").alias(d))
+    linked = near.join(of("a", "digest_a"), "a").join(of("b", "digest_b"), "b").select("digest_a", "digest_b")
+    # Texts of one fingerprint and different sets.
+    same = marked.select("fp", "sig.digest").join(prints.withColumnRenamed("digest", "least"), "fp").where("digest != least")
+    linked = linked.unionByName(same.select(F.col("least").alias("digest_a"), F.col("digest").alias("digest_b"))).distinct()
+    groups = grouped(marked.select("n", "text", "sig"), linked, least, width)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first")
+    rows = marked.select("id", "n", "sig.digest")
+    stays = rows.join(groups, "digest").groupBy("component").agg(first).select(F.col("first.n").alias("n"))
+    return marked.join(stays, "n", "left_semi").select("kept_row.*")
