@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corrobora import constants as K
 from corrobora.plans import evidence as E
+from corrobora.plans import report as RP
 from corrobora.plans.q_scoring import ITEM_TOP_SQL, _CODES_SQL, _OK, _TOK, read_articles, rendered_anchors, score_sides
 from corrobora.plans.registry import query
 from corrobora.plans.roles import inlist
@@ -103,3 +104,23 @@ def _(spark, d):
     got = E.adaptive_match(
         rendered_anchors(spark, d), score_sides(spark, d)[0], search_index(spark, d), full_pages(spark, d), read_articles)
     return got.select("claim_id", "article_id", "score", "band", "round", "rank")
+
+
+@query(
+    "rp1_anchor_coverage",
+    f"""WITH {_CLAIM_SQL}, {_matches_sql('m', 'text')},
+    an AS (SELECT claim_id, kind, value FROM ph UNION ALL SELECT claim_id, CASE ordinal WHEN 5 THEN 'vehicle' WHEN 6 THEN 'incident' ELSE 'token' END, term FROM item_top WHERE ordinal >= 5
+      UNION ALL SELECT claim_id, 'plate', code FROM plates UNION ALL SELECT item_id, 'corridor', concat('NH ', item_id % 50) FROM benchmark),
+    sz AS (SELECT claim_id, kind, count(DISTINCT value) AS n_anchors FROM an GROUP BY ALL), h AS (SELECT claim_id, kind, count(DISTINCT value) AS n_found, count(DISTINCT article_id) AS n_records FROM m GROUP BY ALL),
+    t AS (SELECT claim_id, count(DISTINCT article_id) AS of_records FROM m GROUP BY ALL),
+    c AS (SELECT claim_id, kind, n_anchors, coalesce(n_found, 0) AS n_found, coalesce(n_records, 0) AS n_records, coalesce(of_records, 0) AS of_records FROM sz LEFT JOIN h USING (claim_id, kind) LEFT JOIN t USING (claim_id))
+    SELECT *, CASE WHEN kind = 'name' THEN CASE WHEN n_found > 0 THEN 'named in a public report' ELSE 'no public mention located' END
+      WHEN kind = 'plate' THEN CASE WHEN n_found > 0 THEN 'in at least one public source' ELSE 'in no indexed public source' END
+      ELSE concat('referenced by ', n_records, ' of ', of_records, ' records') END AS finding FROM c""",
+)
+def _(spark, d):
+    """The coverage section of each claim's report, from its real matches."""
+    articles = read_articles(_articles(spark, d))
+    anchors = rendered_anchors(spark, d)
+    matches = E.match_anchors(anchors, articles, E.article_tokens(_articles(spark, d), "article_id", "text"))
+    return RP.coverage_report(anchors, matches)

@@ -9,6 +9,7 @@ from corrobora.operators import aggregates as A
 from corrobora.operators import joins as J
 from corrobora.operators import ranking as R
 from corrobora.operators import similarity as SM
+from corrobora.plans.q_joins import DOC_TERMS_SQL, ITEM_TERMS_SQL, doc_terms, item_terms
 from corrobora.plans.registry import query
 from corrobora.plans.roles import CLAIMS_SQL, claims, lst, sql_tokens
 from corrobora.session import fresh_path
@@ -97,3 +98,14 @@ def _(spark, d):
     T.write_documents(load(spark, d, "documents").select(odd.alias("text")), folder)
     back = T.read_documents(spark, folder, T.SEPARATOR)
     return back.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "jn7_top_names",
+    f"""WITH {DOC_TERMS_SQL}, {ITEM_TERMS_SQL}, h AS (SELECT claim_id, article_id, count(*) AS hits FROM it JOIN dt USING (term) GROUP BY ALL HAVING count(*) >= 3)
+    SELECT claim_id, article_id, hits, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY hits DESC, article_id) AS rank FROM h) WHERE rank <= 20""",
+)
+def _(spark, d):
+    """The twenty articles that share most words with each claim: output grows with the claims only."""
+    got = J.match_terms(item_terms(spark, d), doc_terms(spark, d), 3)
+    return R.top_k(got, ["claim_id"], [F.col("hits").desc(), F.col("article_id").asc()], 20)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corrobora.functions.phonetics import romanise_tokens
 from corrobora.functions.text import spelled_words
 from corrobora.operators import matching as MA
 from corrobora.operators import ranking as R
@@ -90,3 +91,13 @@ def _(spark, d):
     """Anchors in Latin script matched to articles of either script: how many articles each anchor is in."""
     got = MA.match_anchors(rendered_anchors(spark, d), article_keys(spark, d), rendered_words(spark, d), spelled=True)
     return got.groupBy("claim_id", "kind", "value").agg(F.count("*").alias("n_articles"), F.min("article_id").alias("first_article"))
+
+
+@query(
+    "str15_romanise_words",
+    f"""WITH w AS (SELECT DISTINCT w, replace(w, 'a', 'aa') AS latin FROM (SELECT string_split_regex(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS ws FROM documents WHERE doc_id % 2 = 1), unnest(ws) AS u(w) WHERE regexp_matches(w, '{_SYLLABLES}'))
+    SELECT translate(w, '{_LATIN}', '{_NATIVE}') AS token, latin, {sql_phonetic('latin')} AS key FROM w""",
+)
+def _(spark, d):
+    """Every native word of the documents with its Latin spelling and key."""
+    return romanise_tokens(rendered_words(spark, d), "term")

@@ -123,3 +123,13 @@ def _(spark, d):
     )
     s = J.read_stream(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("seq"), status.alias("status"))
     return RL.stream_settling(s, "user_id")
+
+
+@query(
+    "st2_top",
+    f"""WITH {DOC_TERMS_SQL}, {ITEM_TERMS_SQL}, h AS (SELECT claim_id, article_id, count(*) AS hits FROM it JOIN dt USING (term) GROUP BY ALL HAVING count(*) >= 4)
+    SELECT claim_id, article_id, hits, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY hits DESC, article_id) AS rank FROM h) WHERE rank <= 20""",
+)
+def _(spark, d):
+    """Arriving articles matched to claims: the twenty best of each claim so far."""
+    return J.stream_top(J.read_stream(spark, d, "documents"), item_terms(spark, d), 4, 20)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrobora.functions import counts as C
+from corrobora.operators import anchors as N
 from corrobora.operators import vocabulary as V
 from corrobora.plans.q_spelling import _LATIN, _NATIVE, _SYLLABLES
 from corrobora.plans.registry import query
+from corrobora.plans.roles import CLAIMS_SQL, claims
 from corrobora.session import values_frame
 from corrobora.sources.tables import load
 
@@ -58,3 +60,48 @@ def _(spark, d):
     text = F.concat(F.lit("सड़क हादसे में "), word, F.lit(" लोगों की मौत"), hurt, F.lit("।"))
     return load(spark, d, "orders").select(
         "o_orderkey", C.native_count(text).alias("killed"), C.native_count(text, C.NATIVE_INJURED).alias("injured"))
+
+
+# Languages of the press by place, for the places of the given tables.
+_PLACE_LANGUAGES = [
+    ("nation_3", "fr", 1), ("nation_5", "de", 1), ("nation_7", "en", 1), ("nation_7", "fr", 2), ("nation_11", "hi", 1), ("nation_11", "mr", 2),
+    ("nation_11", "ta", 3), ("europe", "de", 1), ("europe", "fr", 2), ("america", "es", 1), ("america", "fr", 2), ("asia", "hi", 1), ("africa", "ar", 1),
+]
+
+
+def _placed(spark, d):
+    """Claims with their state and region as places."""
+    c = claims(spark, d)
+    state = c.select("claim_id", F.lit("place").alias("kind"), F.col("state").alias("value"), F.lit(0).alias("ordinal"))
+    return state.unionByName(c.select("claim_id", F.lit("place").alias("kind"), F.col("region").alias("value"), F.lit(1).alias("ordinal")))
+
+
+@query(
+    "enr5_place_languages",
+    f"""WITH {CLAIMS_SQL}, t(place, language, o) AS (VALUES {', '.join(str(p) for p in _PLACE_LANGUAGES)}),
+    p AS (SELECT claim_id, lower(state) AS place, 0 AS pos FROM claims UNION ALL SELECT claim_id, lower(region), 1 FROM claims),
+    f AS (SELECT claim_id, language, min((pos, o)) AS first FROM p JOIN t USING (place) GROUP BY ALL)
+    SELECT claim_id, 'en' || coalesce(string_agg(CASE WHEN language <> 'en' THEN ',' || language END, '' ORDER BY first, language), '') AS languages FROM f GROUP BY claim_id""",
+)
+def _(spark, d):
+    """Search languages of each claim by its places, English first."""
+    table = values_frame(spark, _PLACE_LANGUAGES, "place STRING, language STRING, ordinal INT")
+    found = N.place_languages(_placed(spark, d), table)
+    none = F.array().cast("array<string>")
+    return found.select("claim_id", F.array_join(N.claim_languages(none, F.col("languages"), none), ",").alias("languages"))
+
+
+@query(
+    "enr6_second_anchors",
+    f"""WITH {CLAIMS_SQL}, c AS (SELECT claim_id, concat('MH', claim_id % 50 + 1, 'AB', claim_id % 9000 + 1000) AS p1, concat('KA', claim_id % 40 + 1, 'CD', claim_id % 9000 + 1000) AS p2, state, region FROM claims)
+    SELECT claim_id, tier, query FROM c, LATERAL (VALUES (1, p1 || ' accident'), (1, p2 || ' accident'), (2, replace(state || ' ' || region, '_', ' ') || ' accident')) AS t(tier, query)""",
+)
+def _(spark, d):
+    """Plans that search for a second plate and a second place as well."""
+    n = F.col("claim_id")
+    plate = lambda code, of, letters: F.concat(F.lit(code), n % of + 1, F.lit(letters), n % 9000 + 1000)
+    c = claims(spark, d)
+    of = lambda value, at: c.select("claim_id", F.lit("plate").alias("kind"), value.alias("value"), F.lit(at).alias("ordinal"))
+    anchors = of(plate("MH", 50, "AB"), 0).unionByName(of(plate("KA", 40, "CD"), 1)).unionByName(_placed(spark, d))
+    templates = {1: ["{plate} accident", "{plate2} accident"], 2: ["{place} {place2} {incident}"]}
+    return N.plan_terms(anchors, 9, templates).select("claim_id", "tier", "query")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.operators.aggregates import anchor_coverage
 from corrobora.operators.ranking import rank_evidence
 from corrobora.operators.risk import discrepancy_flags
 
@@ -60,6 +61,28 @@ def claim_report(claims: DataFrame, evidence: DataFrame, top: int = 6) -> DataFr
     )
 
 
+# How a report says whether the anchors of a kind were found; other kinds are listed with their numbers alone.
+COVERAGE_TEXTS = {
+    "plate": ("in at least one public source", "in no indexed public source"),
+    "name": ("named in a public report", "no public mention located"),
+}
+
+
+def coverage_report(anchors: DataFrame, matches: DataFrame) -> DataFrame:
+    """What of a claim the public record knows, a row per claim and kind of anchor.
+
+    ``anchors`` is (claim_id, kind, value), ``matches`` (claim_id, article_id, kind, value). ``n_found`` of ``n_anchors``
+    were found, in ``n_records`` of the claim's ``of_records``; ``finding`` puts it into words.
+    """
+    covered = anchor_coverage(anchors, matches)
+    totals = matches.groupBy("claim_id").agg(F.countDistinct("article_id").alias("of_records"))
+    numbers = F.concat(F.lit("referenced by "), F.col("n_records"), F.lit(" of "), F.col("of_records"), F.lit(" records"))
+    finding = numbers
+    for kind, (yes, no) in COVERAGE_TEXTS.items():
+        finding = F.when(F.col("kind") == kind, F.when(F.col("n_found") > 0, yes).otherwise(no)).otherwise(finding)
+    return covered.join(totals, "claim_id", "left").fillna(0, ["of_records"]).withColumn("finding", finding)
+
+
 def _us_date(d: Column) -> Column:
     return F.concat_ws("/", F.month(d), F.dayofmonth(d), F.year(d))
 

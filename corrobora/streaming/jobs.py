@@ -91,6 +91,24 @@ def stream_match(stream: DataFrame, terms: DataFrame, need: int) -> DataFrame:
     return run_available(stream, transform=match)
 
 
+def stream_top(stream: DataFrame, terms: DataFrame, need: int, k: int) -> DataFrame:
+    """The ``k`` best matches of each claim among all articles that arrived, with their rank.
+
+    A batch stores its own best ``k`` of a claim, so what is kept grows with claims and batches, not with articles.
+    """
+    from corrobora.operators.joins import match_terms
+    from corrobora.operators.ranking import top_k
+
+    order = [F.col("hits").desc(), F.col("article_id").asc()]
+
+    def match(batch: DataFrame) -> DataFrame:
+        arrived = ingest(batch).select(F.col("doc_id").alias("article_id"), F.explode("terms").alias("term"))
+        return top_k(match_terms(terms, arrived, need), ["claim_id"], order, k).drop("rank")
+
+    stored = run_available(stream, transform=match).groupBy("claim_id", "article_id").agg(F.max_by("hits", "batch").alias("hits"))
+    return top_k(stored, ["claim_id"], order, k)
+
+
 def stream_summary(stream: DataFrame, by: str) -> DataFrame:
     """Running count per status; complete mode, so the last batch holds the totals."""
     counts = stream.groupBy(by).agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
