@@ -120,11 +120,16 @@ def key_of(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(key, id, version, pos) of every line that is long enough; a key is 128 bits of a SHA-256."""
+    """(key, id, version, pos) of every line that is long enough; a key is 128 bits of a SHA-256.
+
+    What is told of the text is computed before its lines are parted, once for each text. A key has as many code
+    points as the trimmed line, so only lines that are long enough are lowered and digested.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    each = docs.select("id", F.unhex(F.md5(text)).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    keyed = each.select("id", "version", "pos", key_of(F.col("line")).alias("line")).where(F.length("line") >= least_chars)
-    return keyed.select(F.unhex(F.substring(F.sha2("line", 256), 1, 32)).alias("key"), "id", "version", "pos")
+    whole = docs.select("id", F.unhex(F.md5(text)).alias("version"), F.split(text, "\n", -1).alias("parts"))
+    each = whole.select("id", "version", F.posexplode("parts").alias("pos", "line"))
+    long = each.where(F.length(F.btrim("line", F.lit(WHITE))) >= least_chars)
+    return long.select(F.unhex(F.substring(F.sha2(key_of(F.col("line")), 256), 1, 32)).alias("key"), "id", "version", "pos")
 
 
 # ----------------------------------------------------------------------------------------------------- ledger
@@ -313,12 +318,12 @@ def deduplicated(
     """
     carried = [c for c in docs.columns if c.lower() not in (n_lines.lower(), n_dropped.lower())]
     named = _named(docs, id, text)
-    lines = _lines(named, ledger.least_chars)
     if ledger.counts:
+        lines = written(_lines(named, ledger.least_chars), "lines")
         hot = repeated(ledger, lines.select("key").distinct())
         hits = lines.join(hot, "key").where(~F.col("id").eqNullSafe(F.col("last")))
     else:
-        hits = lines.where("false")
+        hits = _lines(named, ledger.least_chars).where("false")
     drops = hits.groupBy("id", "version").agg(F.collect_set("pos").alias("dropped")).select(
         F.col("id").alias("drop_id"), F.col("version").alias("drop_version"), "dropped")
     body = F.coalesce(F.col("body"), F.lit(""))
