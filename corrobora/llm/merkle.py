@@ -6,10 +6,11 @@ hashed likewise up to the root. All digests are lower-case hex, and a node is th
 digests, concatenated. A last run may be short; even a single child is hashed.
 
 Built levels are stored as rows, each linked to its parent. A proof is checked by a recursive query: it starts at
-the leaves and climbs a level a step, each leaf appending the siblings on its way and folding its own, maybe
-altered, digest with them. The leaves of one run have all siblings above the run in common, so a row of the climb
-carries one run: what grows with the height is stored once for ``fan`` leaves. A node that many runs climb
-through stands in copies, so that no key of the join is hot at any height.
+the leaves and climbs a level a step, each leaf folding its own, maybe altered, digest with the siblings beside its
+way. The leaves of one run have all siblings above the run in common, so a row of the climb carries one run: a step
+keeps the ``fan`` folded digests and the siblings of its level, which are appended, level by level, when the climb is
+over. A node that many runs climb through stands in copies, so that no key of the join is hot at any height. Digests
+are stored as bytes and hashed as text.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from corrobora.llm.common import written
 from corrobora.operators.ranking import distributed_rank
+from corrobora.session import broadcast_checked
 
 FAN = 16
+SIZE = 32  # bytes of a digest
 # Runs that may meet in one copy of a node.
 RUNS_A_COPY = 4096
 
@@ -42,8 +45,24 @@ def digest_of(fields: list[Column]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def _hex(digests: Column) -> Column:
+    """Binary digests, or several in a row, as text."""
+    return F.lower(F.hex(digests))
+
+
 def _hash(digests: Column) -> Column:
-    return F.sha2(F.array_join(digests, ""), 256)
+    """The digest of digests in a row."""
+    return F.unhex(F.sha2(_hex(digests), 256))
+
+
+def _row(digests: Column) -> Column:
+    """An array of digests as digests in a row."""
+    return F.unhex(F.array_join(F.transform(digests, F.hex), ""))
+
+
+def _beside(row: Column, at: Column, fan: int) -> tuple[Column, Column]:
+    """What stands before and behind the digest number ``at`` of a row."""
+    return F.substring(row, F.lit(1), at * SIZE), F.substring(row, (at + 1) * SIZE + 1, F.lit(fan * SIZE))
 
 
 def _up(idx: str, fan: int) -> Column:
@@ -60,7 +79,7 @@ def _levels(nodes: DataFrame, most: int, fan: int, name: str) -> tuple[list[Data
     while most > 1:
         kids = F.sort_array(F.collect_list(F.struct("idx", "digest", "runs")))
         grouped = now.where("n > 1").groupBy("tree", "level", "n", _up("idx", fan).alias("idx")).agg(kids.alias("kids"))
-        children = F.transform("kids", lambda k: k["digest"])
+        children = _row(F.transform("kids", lambda k: k["digest"]))
         now = written(
             grouped.select(
                 "tree", (F.col("level") + 1).alias("level"), "idx", F.ceil(F.col("n") / fan).cast("long").alias("n"),
@@ -95,7 +114,7 @@ def build(
     key = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("+"), F.col(group).cast("string")))
     # The number is stored with its row; it tells repeated rows apart, so that a range can end between them.
     rows = written(
-        leaves.select(key.alias("key"), F.col(id).alias("id"), F.col(leaf).alias("leaf"), F.col(claimed).alias("claimed"),
+        leaves.select(key.alias("key"), F.col(id).alias("id"), F.unhex(leaf).alias("leaf"), F.unhex(claimed).alias("claimed"),
                       F.monotonically_increasing_id().alias("number")),
         "leaves",
     )
@@ -113,7 +132,7 @@ def build(
 
     # A run of a group of one leaf is that leaf; other runs are hashed.
     lone = F.col("size") == 1
-    digests = F.transform("members", lambda m: m["leaf"])
+    digests = _row(F.transform("members", lambda m: m["leaf"]))
     runs = written(
         first.join(numbered, "key").select(
             "tree", F.when(lone, 0).otherwise(1).cast("long").alias("level"), F.col("run").alias("idx"),
@@ -148,23 +167,28 @@ def build(
         part = level.select(*linked, "children")
         nodes = part if nodes is None else nodes.unionByName(part)
     if nodes is None:
-        nodes = starts.select("node", "parent", "pos", "digest", "subroot", "runs", digests.alias("children")).limit(0)
+        nodes = starts.select("node", "parent", "pos", "digest", "subroot", "runs", digests.alias("children")).where("false")
     copies = F.ceil(F.col("runs") / runs_a_copy).cast("long")
     placed = nodes.withColumn("copies", copies).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return Manifest(written(placed, "manifest"), starts)
 
 
+# A row is a run at a level: the digests its leaves fold to, in a row, and the siblings that it passes at this level.
 CLIMB = """
-WITH RECURSIVE climb (node, parent, pos, digest, subroot, run, members, siblings) AS (
-  SELECT node, parent, pos, digest, subroot, run, members, CAST('' AS STRING) FROM {starts}
+WITH RECURSIVE climb (step, node, parent, pos, digest, subroot, run, folds, siblings) AS (
+  SELECT 0, node, parent, pos, digest, subroot, run, folds, siblings FROM {starts}
   UNION ALL
-  SELECT n.node, n.parent, n.pos, n.digest, coalesce(c.subroot, n.subroot), c.run,
-    transform(c.members, m -> named_struct('idx', m.idx, 'id', m.id, 'leaf', m.leaf, 'claimed', m.claimed,
-      'fold', sha2(concat(array_join(slice(n.children, 1, c.pos), ''), m.fold, array_join(slice(n.children, c.pos + 2, {fan}), '')), 256))),
-    concat(c.siblings, array_join(slice(n.children, 1, c.pos), ''), array_join(slice(n.children, c.pos + 2, {fan}), ''))
-  FROM climb c JOIN {nodes} n ON n.node = c.parent AND n.copy = pmod(c.run, n.copies)
+  SELECT step + 1, node, parent, up_pos, digest, subroot, run,
+    unhex(array_join(transform(sequence(1, octet_length(folds), {size}),
+      i -> sha2(concat(lower(hex(before)), lower(hex(substring(folds, i, {size}))), lower(hex(behind))), 256)), '')),
+    concat(before, behind)
+  FROM (
+    SELECT c.step, n.node, n.parent, n.pos AS up_pos, n.digest, n.subroot, c.run, c.folds,
+      substring(n.children, 1, c.pos * {size}) AS before, substring(n.children, (c.pos + 1) * {size} + 1, {whole}) AS behind
+    FROM climb c JOIN {nodes} n ON n.node = c.parent AND n.copy = pmod(xxhash64(c.run), n.copies)
+  )
 )
-SELECT digest AS root, subroot, members, siblings FROM climb WHERE parent IS NULL
+SELECT step, digest, subroot, run, folds, siblings FROM climb
 """
 
 
@@ -175,36 +199,43 @@ def climbed(manifest: Manifest, fan: int = FAN) -> DataFrame:
     what the claimed digest folds to with them, and ``verified`` whether that is the root.
     """
     spark = manifest.nodes.sparkSession
-    lone = F.size("members") == 1
+    leaves = _row(F.transform("members", lambda m: m["leaf"]))
+    # Level 0 tells a group of one leaf, which is no run.
+    lone = F.split_part("node", F.lit("/"), F.lit(2)) == "0"
 
     def folded(m: Column) -> Column:
-        at = (m["idx"] % fan).cast("int")
-        leaves = F.transform("members", lambda x: x["leaf"])
-        around = F.concat(F.array_join(F.slice(leaves, 1, at), ""), m["claimed"], F.array_join(F.slice(leaves, at + 2, fan), ""))
-        # Level 0 tells a group of one leaf, which is no run.
-        return F.when(F.split_part("node", F.lit("/"), F.lit(2)) == "0", m["claimed"]).otherwise(F.sha2(around, 256))
-
-    members = F.transform("members", lambda m: F.struct(
-        m["idx"].alias("idx"), m["id"].alias("id"), m["leaf"].alias("leaf"), m["claimed"].alias("claimed"), folded(m).alias("fold")))
+        before, behind = _beside(leaves, (m["idx"] % fan).cast("int"), fan)
+        return F.when(lone, m["claimed"]).otherwise(_hash(F.concat(before, m["claimed"], behind)))
+
     starts = manifest.runs.select(
-        "node", "parent", "pos", "digest", "subroot", F.xxhash64("node").alias("run"), members.alias("members")
+        "node", "parent", "pos", "digest", "subroot", F.col("node").alias("run"), _row(F.transform("members", folded)).alias("folds"),
+        F.unhex(F.lit("")).alias("siblings"),
     )
     # The climb has as many rows as runs times levels, so the guard against runaway recursion is lifted while it runs.
     guard = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(guard)
     spark.conf.set(guard, "-1")
     try:
-        reached = written(spark.sql(CLIMB, starts=starts, nodes=manifest.nodes, fan=fan), "climb")
+        climb = spark.sql(CLIMB, starts=starts, nodes=broadcast_checked(manifest.nodes), size=SIZE, whole=SIZE * fan)
+        reached = written(climb, "climb")
     finally:
         spark.conf.set(guard, before)
-    leaves = F.transform("members", lambda m: m["leaf"])
-    each = reached.select("root", "subroot", "siblings", leaves.alias("leaves"), F.explode("members").alias("m"))
+    # A run has a row for each level.
+    steps = F.array_sort(F.collect_list(F.struct("step", "siblings")))
+    tops = reached.groupBy("run").agg(
+        F.max_by("digest", "step").alias("root"), F.max_by("folds", "step").alias("folds"), F.max("subroot").alias("subroot"),
+        steps.alias("steps"),
+    )
+    joined = manifest.runs.select(F.col("node").alias("run"), "members").join(tops, "run")
+    above = F.array_join(F.transform("steps", lambda x: _hex(x["siblings"])), "")
+    each = joined.select("root", "subroot", "folds", above.alias("above"), leaves.alias("leaves"), F.explode("members").alias("m"))
     at = (F.col("m.idx") % fan).cast("int")
-    beside = F.concat(F.array_join(F.slice("leaves", F.lit(1), at), ""), F.array_join(F.slice("leaves", at + 2, F.lit(fan)), ""))
+    first, second = _beside(F.col("leaves"), at, fan)
+    fold = F.substring("folds", at * SIZE + 1, F.lit(SIZE))
     return each.select(
-        F.col("m.id").alias("id"), F.col("m.leaf").alias("leaf"), "subroot", "root",
-        F.concat(beside, F.col("siblings")).alias("siblings"), F.col("m.fold").alias("folded_root"),
-        (F.col("m.fold") == F.col("root")).alias("verified"),
+        F.col("m.id").alias("id"), _hex(F.col("m.leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"),
+        _hex(F.col("root")).alias("root"), F.concat(_hex(F.concat(first, second)), F.col("above")).alias("siblings"),
+        _hex(fold).alias("folded_root"), (fold == F.col("root")).alias("verified"),
     )
 
 
