@@ -26,17 +26,54 @@ TYPES = {
 }
 
 
+def _number(token: Column) -> Column:
+    """One form for a JSON number by its value, whatever its digits: 1, 1.0 and 1e0 are 1.
+
+    Digits and exponent are read as text, so nothing is rounded. Up to 38 digits of a whole number and 21 before a point, or 6 zeros behind
+    it, are written out; other numbers get an exponent.
+    """
+    shape = r"^(-?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d{1,9}))?$"
+    part = lambda i: F.regexp_extract(token, shape, i)
+    all_digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+", "")
+    digits = F.regexp_replace(all_digits, "0+$", "")
+    power = F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0)) - F.length(part(3)) + F.length(all_digits) - F.length(digits)
+    n = F.length(digits)
+    point = n + power  # digits before the decimal point
+    whole = F.concat(digits, F.repeat(F.lit("0"), F.greatest(power, F.lit(0))))
+    inside = F.concat(F.left(digits, point), F.lit("."), F.right(digits, n - point))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), digits)
+    science = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.right(digits, n - 1))).otherwise(""),
+                       F.lit("e"), (point - 1).cast("string"))
+    value = (
+        F.when((power >= 0) & (point <= 38), whole).when((power < 0) & (point > 0) & (point <= 21), inside)
+        .when((point <= 0) & (point > -6), small).otherwise(science)
+    )
+    return F.when(~token.rlike(shape), token).when(digits == "", "0").otherwise(F.concat(part(1), value))
+
+
+def canonical_numbers(json: Column) -> Column:
+    """JSON text with its numbers in one form; what stands in strings stays as it is."""
+    # Escaped backslashes and quotes step aside, so that every quote left begins or ends a string.
+    held = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002"))
+    outside = lambda p: F.array_join(
+        F.transform(F.regexp_extract_all(p, F.lit(r"-?[0-9][0-9.eE+-]*|[^0-9-]+|-"), 0), _number), "")
+    parts = F.transform(F.split(held, '"', -1), lambda p, i: F.when(i % 2 == 0, outside(p)).otherwise(p))
+    return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
+
+
 def _type_of(value: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    return F.coalesce(names[F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)], F.lit("other"))
+    told = F.schema_of_variant(value)
+    return F.when(told.rlike(r"^DECIMAL\(\d+,\s*0\)"), "integer").otherwise(F.coalesce(names[F.regexp_extract(told, "^[A-Z]+", 0)], F.lit("other")))
 
 
 def problems(arguments: Column, fields: Column) -> Column:
     """What is wrong with JSON ``arguments`` under ``fields`` (field -> struct of type and required), in order.
 
-    A number may be an integer where a number is asked for. A null value counts as missing.
+    A number may be an integer where a number is asked for, and one of integral value is an integer however it is
+    written (up to 38 digits). A null value counts as missing. Text that repeats a key within an object is not an object.
     """
-    given = F.try_variant_get(F.try_parse_json(arguments), "$", "map<string,variant>")
+    given = F.try_variant_get(F.try_parse_json(canonical_numbers(arguments)), "$", "map<string,variant>")
     kinds = F.map_filter(F.transform_values(given, lambda _, v: _type_of(v)), lambda _, t: t != "null")
     wrong = F.filter(F.map_keys(kinds), lambda k: F.map_contains_key(fields, k) & ~(
         (kinds[k] == fields[k]["type"]) | ((kinds[k] == "integer") & (fields[k]["type"] == "number"))
@@ -125,7 +162,8 @@ def link(calls: DataFrame, results: DataFrame, fields: DataFrame, together: int
 
     ``calls`` are (conv_id, position, call_id, name, arguments, depends), ``arguments`` being JSON and ``depends``
     an array of the calls whose results are needed; ``results`` are (conv_id, position, call_id, content); ``fields``
-    are (name, field, type, required). Further columns are ignored.
+    are (name, field, type, required). Further columns are ignored. Arguments that are no JSON, or that repeat a key
+    within an object, are "not an object" and do not show in ``json``.
 
     Of calls or results with one identifier the first is taken and the others are "duplicate". A call is "linked"
     or "unanswered", a result "linked" or "orphan"; null identifiers link with nothing. Events in or behind a circle
@@ -182,10 +220,10 @@ def link(calls: DataFrame, results: DataFrame, fields: DataFrame, together: int
          F.col("call_id").asc(), F.coalesce("body", F.lit("")).asc(), F.col("row").asc()], "ordinal",
     )
     shown = {
-        "arguments": F.when(F.col("kind") == "call", F.try_parse_json("body")),
+        "arguments": F.when(F.col("kind") == "call", F.try_parse_json(canonical_numbers(F.col("body")))),
         "content": F.when(F.col("kind") == "result", F.col("body")),
         "id": F.col("call_id"), "kind": F.col("kind"), "name": F.col("name"), "status": F.col("status"),
     }
-    json = F.to_json(F.struct(*[c.alias(k) for k, c in shown.items()]))
+    json = canonical_numbers(F.to_json(F.struct(*[c.alias(k) for k, c in shown.items()])))
     return ranked.select("conv_id", "position", "kind", "call_id", "name", F.col("ordinal").cast("long"), "status",
                          F.array_join("problems", ",").alias("problems"), json.alias("json"))
