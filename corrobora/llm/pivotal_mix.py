@@ -97,9 +97,13 @@ def rounded(units: DataFrame, seed: int, chunk: int) -> DataFrame:
     counts = written(
         units.groupBy("rank", "class").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "chunks"
     )
-    units = units.join(broadcast_checked(counts), ["rank", "class"]).withColumn(
-        "chunk", F.pmod(F.xxhash64(F.lit(seed), "hash"), "chunks")
-    )
+    # Rows are dealt by their draw, so that reruns agree. Rows that share a draw, as rows without an id do, are alike in all
+    # but their texts; where they are more than a chunk they are dealt by their numbers.
+    shared = units.groupBy(F.col("hash").alias("draw")).agg(F.count("*").alias("many")).where(F.col("many") > chunk)
+    units = units.join(broadcast_checked(counts), ["rank", "class"]).join(shared, F.col("hash") == F.col("draw"), "left")
+    dealt = F.xxhash64(F.lit(seed), "hash", F.when(F.col("many").isNotNull(), F.col("n")))
+    plain = F.xxhash64(F.lit(seed), "hash")
+    units = units.withColumn("chunk", F.pmod(F.when(F.col("many").isNull(), plain).otherwise(dealt), F.col("chunks"))).drop("draw", "many")
     most = counts.agg(F.max("chunks")).first()[0] or 0
     won = None
     keys = ["rank", "class", "chunk"]
