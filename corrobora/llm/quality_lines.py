@@ -101,11 +101,13 @@ def in_pieces(texts: list[str], chars: int = 2_000_000):
         yield part
 
 
-def labelled_lines(docs, labels, per_class: int = 1000, id: str = "doc_id", text: str = "text"):
+def labelled_lines(docs, labels, per_class: int = 1000, id: str = "doc_id", text: str = "text", most_lines: int = 2000):
     """A bounded sample of labelled texts as line features, for fitting: (features, firsts, label of each text).
 
     At most ``per_class`` texts of each quality are drawn, in the order of a hash of their ids, and only where
-    crc32(id) mod 4 is not 2. Features are made by Spark tasks; the driver gets a few numbers per line.
+    crc32(id) mod 4 is not 2. Texts of more than ``most_lines`` lines are no part of the sample, and of several texts of
+    an id the first in order is: the driver gets a few numbers for each of 2 * per_class * most_lines lines at most.
+    Features are made by Spark tasks.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
@@ -118,6 +120,8 @@ def labelled_lines(docs, labels, per_class: int = 1000, id: str = "doc_id", text
         some = marks.where(F.col("_quality") == q).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         drawn = some if drawn is None else drawn.union(some)
     picked = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+    short = F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) < most_lines
+    picked = picked.where(short | F.col("_text").isNull()).groupBy("_id", "_quality").agg(F.min("_text").alias("_text"))
 
     def featured(batches):
         reader = LineReader()
