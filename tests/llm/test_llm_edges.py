@@ -106,6 +106,50 @@ def test_simhash_links_across_the_highest_bit(spark):
         assert {tuple(r) for r in components(simhash.links(frame, 4, block)).collect()} == want
 
 
+def test_groups_of_similar_sets(spark, monkeypatch):
+    """Chains and crowds of near copies at the edge of 0.8, in buckets cut into blocks of any size, and copies by the hundred."""
+    import random
+
+    from corrobora.llm import shingle_groups
+
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(120)]
+        for _ in range(rnd.choice([1, 2, 6])):
+            for _ in range(rnd.choice([0, 1, 2, 3])):
+                base = list(base)
+                base[rnd.randrange(len(base))] = word()
+            texts.append(" ".join(base))
+    crowd = [word() for _ in range(200)]
+    for i in range(60):
+        one = list(crowd)
+        one[i * 3] = word()
+        texts.append(" ".join(one))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[0].upper().replace("W", "w")) for i in range(200)]
+    rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "one two"), (2004, "One  two"), (2005, "one two three"), (None, "one two")]
+    sets = [(i, frozenset(shingle_groups.shingle_set((t or "").encode(), 5).tolist())) for i, t in rows]
+    parent = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y) > 0:
+                while parent[a] != parent[parent[a]] or parent[b] != parent[parent[b]]:
+                    parent[a], parent[b] = parent[parent[a]], parent[parent[b]]
+                low, high = sorted((parent[a], parent[b]))
+                parent = [low if p == high else p for p in parent]
+    want = {}
+    for k, (i, _) in enumerate(sets):
+        want.setdefault(parent[k], []).append(i)
+    want = sorted((min(j for j in g if j is not None) for g in want.values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+    grouped = shingle_groups.grouped
+    monkeypatch.setattr(simhash, "grouped", lambda *a: grouped(*a, block=5))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -124,6 +168,31 @@ def test_line_rules(odd, empty, no_labels):
     assert line_crf.repeated_words("a b c a b c".split()) == 6 and line_crf.repeated_words("a b c".split()) == 0
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    import itertools
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(200):
+        scores = [rnd.uniform(-3, 3) for _ in range(rnd.randint(1, 8))]
+        steps = [[rnd.uniform(-2, 2) for _ in range(2)] for _ in range(2)]
+        value = lambda p: sum(s for s, x in zip(scores, p) if x) + sum(steps[a][b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        best = max(value(p) for p in itertools.product((0, 1), repeat=len(scores)))
+        assert abs(value(line_crf.viterbi(scores, steps)) - best) < 1e-9
+
+
+def test_a_sample_takes_each_id_once_and_no_endless_text(spark):
+    from corrobora.llm.quality_lines import labelled_lines
+
+    docs = spark.createDataFrame([(i, f"good line {i}.\nsecond") for i in range(40)] + [(3, "good line 3.\nsecond")] * 50 + [(5, "x\n" * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    features, firsts, quality = labelled_lines(docs, labels, per_class=30)
+    assert len(features) == 2 * len(firsts) and len(firsts) == len(quality) <= 40
+    field = line_crf.fit(docs, labels)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "\n" * 1000), (4, "x\n" * 100_000)], "doc_id long, text string")
+    assert line_crf.judge(odd, field).where("quality.kept").count() == 0
+
+
 def test_scores(odd, empty, no_labels):
     model = attention_mil.fit(odd, no_labels)
     rows = attention_mil.scored(odd, model).collect()
@@ -166,6 +235,25 @@ def test_mix_of_one_hot_source(spark):
     assert all(abs(r.taken - r.target) <= 7 for r in got)
 
 
+def test_mix_of_many_rows_without_an_id(spark, monkeypatch):
+    """Rows that share a draw are dealt over chunks: no group is much larger than a chunk."""
+    seen = []
+    reduce = pivotal_mix._reduce
+
+    def counted(units, keys, seed, name):
+        seen.append(units.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return reduce(units, keys, seed, name)
+
+    monkeypatch.setattr(pivotal_mix, "_reduce", counted)
+    docs = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("three words here").alias("text"), F.lit("s").alias("source"))
+    # One source is taken whole, so a second one gives fractions.
+    docs = docs.unionByName(spark.range(30).select("id", F.repeat(F.lit("w "), 5000).alias("text"), F.lit("t").alias("source")).withColumnRenamed("id", "doc_id"))
+    got = pivotal_mix.mix(docs, weights=(1, 3), share=0.8, chunk=256).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert max(seen) <= 2 * 256
+    assert all(abs(r.taken - r.target) <= 5000 for r in got)
+
+
 def test_token_counts(odd, empty, model):
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     want = sorted(((i, len((t or "").encode()), len(library.encode(t or ""))) for i, t, _ in TEXTS), key=repr)
@@ -331,6 +419,30 @@ def test_metric_join_of_clusters(spark, settings):
     assert got == {i: (near[i].sum() - 1, parent[i]) for i in range(len(x))}
 
 
+def test_equal_numbers_are_equal_bytes(spark):
+    """Numbers go by their value, inside any nesting, and digits inside strings stay."""
+    import json
+
+    same = [["1", "1.0", "1e0", "100e-2", "10E-1"], ["100", "1e2", "100.00"], ["0", "-0", "0.000", "0e5"], ["-1.5", "-15e-1", "-1.50"],
+            ["12345678901234567890", "1234567890123456789e1"], ["1e300", "10E299"], ["0.000001", "1e-6"]]
+    quoted = 'a 1.0 " 2.0 \\ 3e0 \\'
+    body = lambda n: '{"q":%s,"n":[%s,{"z":%s}],"i":%s}' % (json.dumps(quoted), n, n, n)
+    rows = [("c", g * 100 + i, f"{g}-{i}", "f", body(n), []) for g, ns in enumerate(same) for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "conv_id string, position long, call_id string, name string, arguments string, depends array<string>")
+    results = spark.createDataFrame([], "conv_id string, position long, call_id string, content string")
+    fields = spark.createDataFrame([("f", "i", "integer", True)], "name string, field string, type string, required boolean")
+    got = {}
+    for r in tool_calls.link(df, results, fields).collect():
+        assert json.loads(r.json)["arguments"]["q"] == quoted
+        got.setdefault(r.position // 100, set()).add((r.json.split(',"id"')[0], r.problems))
+    assert all(len(v) == 1 for v in got.values())
+    wrong = {g for g, v in got.items() if "type:i" in next(iter(v))[1]}
+    assert wrong == {3, 5, 6}  # no whole number, or one beyond 38 digits
+    broken = spark.createDataFrame([("c", 1, "a", "f", '{"i":1,"i":2}', [])], df.schema)
+    one = tool_calls.link(broken, results, fields).first()
+    assert one.problems == "not an object" and '"arguments"' not in one.json
+
+
 @pytest.mark.parametrize("together", [0, 3, 2000])
 def test_tool_calls(spark, together):
     calls = [
