@@ -25,3 +25,38 @@ DOMAIN_TIERS = [
     (10, ["vimeo.com", "youtube.com"]),
     (6, ["news.google.com", "news.yahoo.com"]),
 ]
+# Words that tell of an incident, its outcome or its handling.
+INCIDENT_TERMS = [
+    "ablaze", "accident", "brake failure", "burnt", "collided", "collision", "crash", "dead", "death", "derailed", "died", "fatal",
+    "fir", "fire", "flood", "head-on", "hit and run", "injured", "killed", "knocked down", "landslide", "overturn", "overturned", "pileup",
+    "police", "rammed", "robbery", "skidded", "stolen", "theft", "toppled", "wreck",
+]
+# Titles and roles beside a name, and words that introduce one.
+NAME_NOISE = [
+    "capt", "child", "claimant", "company", "deceased", "director", "dr", "driver", "father", "injured", "insured", "late", "limited", "ltd",
+    "madam", "mother", "mr", "mrs", "ms", "owner", "private", "prof", "pvt", "shri", "sir", "smt", "the",
+]
+NAME_CUES = [
+    "accused", "captain", "claimant", "dr", "driver", "helper", "injured", "insured", "mr", "mrs", "ms", "named", "owner", "passenger",
+    "pedestrian", "shri", "smt", "victim", "witness",
+]
+# Words before, behind and inside the name of a place.
+PLACE_CUES = ["across", "along", "around", "at", "behind", "between", "beyond", "from", "in", "near", "outside", "past", "through", "towards", "via"]
+PLACE_SUFFIXES = [
+    "avenue", "bypass", "chowk", "city", "county", "district", "ganj", "garh", "highway", "junction", "lane", "market", "nagar", "pur", "road",
+    "square", "street", "town", "village",
+]
+PLACE_MODIFIERS = [
+    "bridge", "bypass", "central", "circle", "colony", "district", "east", "flyover", "greater", "highway", "lower", "market", "middle", "nagar",
+    "new", "north", "old", "phase", "plaza", "pradesh", "rural", "sector", "south", "upper", "urban", "west",
+]
+ADMIN_WORDS = [
+    "at", "block", "county", "dist", "district", "gram", "mandal", "near", "on", "post", "ps", "road", "taluk", "taluka", "tehsil", "thana",
+    "the", "village", "ward",
+]
+# Public institutions and what makes a run of words a company.
+INSTITUTION_WORDS = ["chowki", "clinic", "court", "hospital", "infirmary", "kotwali", "outpost", "police", "school", "station", "thana", "ward"]
+ORG_MARKERS = [
+    "agency", "cargo", "carriers", "company", "contractors", "enterprises", "freight", "industries", "logistics", "motors", "movers", "roadways",
+    "shipping", "tours", "traders", "transport", "travels",
+]

@@ -161,7 +161,7 @@ def top_tokens(df: DataFrame, key: str, text: str, k: int = 8, common: list[str]
     Score: length up to 12, +4 when first written with a capital, -3 for shared
     vocabulary, -2 when used more than twice; earliest first on ties.
     """
-    vocabulary = K.INCIDENT_TERMS + defaults.VEHICLE_TYPES if common is None else common
+    vocabulary = defaults.INCIDENT_TERMS + defaults.VEHICLE_TYPES if common is None else common
     toks = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(SEARCH_TOKEN), 0)).alias("pos", "raw"))
     toks = toks.withColumn("token", F.lower("raw")).where(
         (F.length("token") >= 3) & ~F.col("token").isin(K.SEARCH_STOPWORDS) & ~F.col("token").rlike(r"^\d+$")

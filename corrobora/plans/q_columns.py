@@ -98,7 +98,7 @@ _NAME_SQL = "CASE c_custkey % 4 WHEN 0 THEN concat('Mr ', c_mktsegment, ' Rao (l
     "str6_clean_name",
     f"""SELECT c_custkey, CASE WHEN {sql_meaningful('n')} THEN array_to_string(list_slice(list_filter(string_split(trim(regexp_replace(regexp_replace(
         split_part(split_part(split_part(n, '(', 1), '/', 1), ',', 1), '[^A-Za-z .''-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '),
-        lambda p: length(p) > 1 AND lower(p) NOT IN {inlist(K.NAME_NOISE)}), 1, 4), ' ') ELSE '' END AS name FROM (SELECT c_custkey, {_NAME_SQL} AS n FROM customer)""",
+        lambda p: length(p) > 1 AND lower(p) NOT IN {inlist(defaults.NAME_NOISE)}), 1, 4), ' ') ELSE '' END AS name FROM (SELECT c_custkey, {_NAME_SQL} AS n FROM customer)""",
 )
 def _(spark, d):
     k, seg = F.col("c_custkey") % 4, F.col("c_mktsegment")
@@ -131,11 +131,11 @@ _RUN = "[A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]{2,}){0,2}"
       FROM r, unnest(range(1, len(runs) + 1)) AS u(i)),
     c AS (SELECT doc_id, pos, run, lower(run) AS lc, lower(regexp_extract(right(l, 40), '([A-Za-z/]+)[^A-Za-z0-9_]*$', 1)) AS before,
         lower(regexp_extract(left(r, 40), '^[^A-Za-z0-9_]*([A-Za-z]+)', 1)) AS after FROM e)
-    SELECT doc_id, pos, run, before, after, 1.0 + CASE WHEN before IN {inlist(K.PLACE_CUES)} THEN 3 ELSE 0 END + CASE WHEN after IN {inlist(K.PLACE_SUFFIXES)} THEN 2 ELSE 0 END
-       + CASE WHEN regexp_matches(lc, '({'|'.join(K.PLACE_SUFFIXES)})$') THEN 2 ELSE 0 END + CASE WHEN contains(run, ' ') THEN 1 ELSE 0 END AS score
-    FROM c WHERE lc NOT IN {inlist(K.SEARCH_STOPWORDS + defaults.VEHICLE_TYPES + K.INCIDENT_TERMS + K.PLACE_SUFFIXES + K.ORG_SUFFIXES)}
-      AND NOT regexp_matches(lc, '^({'|'.join(defaults.VEHICLE_MAKES)})( |$)') AND NOT regexp_matches(lc, '({'|'.join(K.ORG_MARKERS)})')
-      AND NOT regexp_matches(lc, '(^|[^a-z0-9_])({'|'.join(K.INSTITUTION_WORDS)})($|[^a-z0-9_])') AND before NOT IN {inlist(K.NAME_CUES)}""",
+    SELECT doc_id, pos, run, before, after, 1.0 + CASE WHEN before IN {inlist(defaults.PLACE_CUES)} THEN 3 ELSE 0 END + CASE WHEN after IN {inlist(defaults.PLACE_SUFFIXES)} THEN 2 ELSE 0 END
+       + CASE WHEN regexp_matches(lc, '({'|'.join(defaults.PLACE_SUFFIXES)})$') THEN 2 ELSE 0 END + CASE WHEN contains(run, ' ') THEN 1 ELSE 0 END AS score
+    FROM c WHERE lc NOT IN {inlist(K.SEARCH_STOPWORDS + defaults.VEHICLE_TYPES + defaults.INCIDENT_TERMS + defaults.PLACE_SUFFIXES + K.ORG_SUFFIXES)}
+      AND NOT regexp_matches(lc, '^({'|'.join(defaults.VEHICLE_MAKES)})( |$)') AND NOT regexp_matches(lc, '({'|'.join(defaults.ORG_MARKERS)})')
+      AND NOT regexp_matches(lc, '(^|[^a-z0-9_])({'|'.join(defaults.INSTITUTION_WORDS)})($|[^a-z0-9_])') AND before NOT IN {inlist(defaults.NAME_CUES)}""",
 )
 def _(spark, d):
     runs = load(spark, d, "documents").select("doc_id", F.inline(A.place_candidates(F.col("text"))))

@@ -93,7 +93,7 @@ TOKENS_SQL = f"""tok AS (SELECT doc_id, i AS pos, t[i] AS raw, lower(t[i]) AS to
 @query(
     "wn6_top_tokens",
     f"""WITH {TOKENS_SQL}, g AS (SELECT doc_id, token, count(*) AS n, min(pos) AS pos, arg_min(raw, pos) AS raw FROM tok GROUP BY ALL),
-    s AS (SELECT doc_id, token, pos, least(length(token), 12) + CASE WHEN regexp_matches(raw, '^\\p{{Lu}}') THEN 4 ELSE 0 END - CASE WHEN list_contains({lst(K.INCIDENT_TERMS + defaults.VEHICLE_TYPES)}, token) THEN 3 ELSE 0 END - CASE WHEN n > 2 THEN 2 ELSE 0 END AS token_score FROM g)
+    s AS (SELECT doc_id, token, pos, least(length(token), 12) + CASE WHEN regexp_matches(raw, '^\\p{{Lu}}') THEN 4 ELSE 0 END - CASE WHEN list_contains({lst(defaults.INCIDENT_TERMS + defaults.VEHICLE_TYPES)}, token) THEN 3 ELSE 0 END - CASE WHEN n > 2 THEN 2 ELSE 0 END AS token_score FROM g)
     SELECT doc_id, token, token_score, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY token_score DESC, pos) AS ordinal FROM s) WHERE ordinal <= 8""",
 )
 def _(spark, d):

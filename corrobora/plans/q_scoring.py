@@ -38,7 +38,7 @@ _TOK = "regexp_extract_all(text, '[\\p{L}\\p{N}][\\p{L}\\p{N}''-]+')"
 _OK = f"length(t[i]) >= 3 AND lower(t[i]) NOT IN {inlist(K.SEARCH_STOPWORDS)} AND NOT regexp_matches(t[i], '^\\d+$')"
 ITEM_TOP_SQL = f"""itok AS (SELECT item_id, i AS pos, t[i] AS raw, lower(t[i]) AS token FROM (SELECT item_id, {_TOK} AS t FROM benchmark), unnest(range(1, len(t) + 1)) AS u(i) WHERE {_OK}),
 ig AS (SELECT item_id, token, count(*) AS n, min(pos) AS pos, arg_min(raw, pos) AS raw FROM itok GROUP BY ALL),
-isc AS (SELECT item_id, token, pos, least(length(token), 12) + CASE WHEN regexp_matches(raw, '^\\p{{Lu}}') THEN 4 ELSE 0 END - CASE WHEN list_contains({lst(K.INCIDENT_TERMS + defaults.VEHICLE_TYPES)}, token) THEN 3 ELSE 0 END - CASE WHEN n > 2 THEN 2 ELSE 0 END AS s FROM ig),
+isc AS (SELECT item_id, token, pos, least(length(token), 12) + CASE WHEN regexp_matches(raw, '^\\p{{Lu}}') THEN 4 ELSE 0 END - CASE WHEN list_contains({lst(defaults.INCIDENT_TERMS + defaults.VEHICLE_TYPES)}, token) THEN 3 ELSE 0 END - CASE WHEN n > 2 THEN 2 ELSE 0 END AS s FROM ig),
 item_top AS (SELECT item_id AS claim_id, token AS term, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, pos) AS ordinal FROM isc) WHERE ordinal <= 8)"""
 DOC_TOK_SQL = f"""doc_tok AS (SELECT DISTINCT doc_id AS article_id, lower(t[i]) AS term FROM (SELECT doc_id, {_TOK} AS t FROM documents), unnest(range(1, len(t) + 1)) AS u(i) WHERE {_OK})"""
 HITS_SQL = f"{ITEM_TOP_SQL}, {DOC_TOK_SQL}, hit AS (SELECT claim_id, article_id, count(*) AS hits FROM item_top JOIN doc_tok USING (term) GROUP BY ALL), tot AS (SELECT claim_id, count(*) AS total FROM item_top GROUP BY 1)"
