@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from corrobora.llm.common import components, sorted_groups, written
+from corrobora.session import broadcast_checked
 
 SEED = 42
 BANDS, ROWS = 32, 8
@@ -67,23 +68,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with ``sig``: struct of the set's digest, its size, the minima as bytes, and a key for each band."""
-    kind = "struct<digest: binary, size: int, low: binary, keys: array<long>>"
+    """``docs`` with ``sig``: struct of the set's digest and a key for each band."""
+    kind = "struct<digest: binary, keys: array<long>>"
 
     @arrow_udf(kind)
     def signed(texts: pa.Array) -> pa.Array:
-        digests, sizes, lows, keys = [], [], [], []
+        digests, keys = [], []
         for x in texts.cast(pa.binary()).to_pylist():
             hashes = shingle_set(x or b"", width)
-            low = minima(hashes)
             digests.append(xxhash.xxh128_digest(hashes.tobytes()))
-            sizes.append(len(hashes))
-            lows.append(low.tobytes())
-            bands = low.reshape(BANDS, ROWS)
+            bands = minima(hashes).reshape(BANDS, ROWS)
             keys.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(bands)])
         return pa.StructArray.from_arrays(
-            [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(lows, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["digest", "size", "low", "keys"],
+            [pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["digest", "keys"],
         )
 
     return docs.withColumn("sig", signed(F.col("text").cast("string")))
@@ -104,7 +101,13 @@ def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def mixed_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """Candidates (a, b) of different components from buckets (key: key; node, component, low), compared in blocks."""
+    """Candidates (a, b) of different components from buckets (key: key; node, component, set), compared in blocks."""
+
+    @arrow_udf("binary")
+    def low_of(sets: pa.Array) -> pa.Array:
+        return pa.array([minima(np.frombuffer(x, np.uint64)).tobytes() for x in sets.to_pylist()], pa.binary())
+
+    rows = rows.select("key", "node", "component", low_of("set").alias("low"))
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = (
@@ -134,12 +137,14 @@ def grouped(marked: DataFrame, extra: DataFrame | None = None, least: float = 0.
     ``extra`` are candidates (digest_a, digest_b) from elsewhere. ``marked`` is read several times: write it first.
     """
     nodes = written(
-        marked.groupBy("sig.digest").agg(F.min("n").alias("node"), F.first("sig.low").alias("low"), F.first("sig.keys").alias("keys")),
+        marked.groupBy("sig.digest").agg(F.min("n").alias("node"), F.first("sig.keys").alias("keys")),
         "shingle_nodes",
     )
     band = nodes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
     leaders = written(band.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "shingle_buckets")
-    stars = leaders.select("key", "a").join(band, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    # Rows of buckets of two and more are found once; the others meet nobody.
+    members = written(band.join(broadcast_checked(leaders.select("key", "a")), "key"), "shingle_band_members")
+    stars = members.where("a < node").select("a", F.col("node").alias("b")).distinct()
     if extra is not None:
         name = lambda c, x: nodes.select(F.col("digest").alias(c), F.col("node").alias(x))
         more = extra.join(name("digest_a", "a"), "digest_a").join(name("digest_b", "b"), "digest_b")
@@ -151,16 +156,16 @@ def grouped(marked: DataFrame, extra: DataFrame | None = None, least: float = 0.
         return pa.array([shingle_set(x or b"", width).tobytes() for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
     # Sets are made for nodes in buckets only.
-    asked = band.join(leaders.select("key"), "key", "left_semi").select("node").unionByName(
-        stars.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    texts = marked.select(F.col("n").alias("node"), F.col("text").cast("string").alias("text")).join(asked, "node", "left_semi")
+    asked = written(members.select("node").unionByName(
+        stars.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "shingle_asked")
+    texts = marked.select(F.col("n").alias("node"), F.col("text").cast("string").alias("text")).join(broadcast_checked(asked), "node", "left_semi")
     sets = written(texts.select("node", set_of("text").alias("set")), "shingle_sets")
     links = written(verified(stars, sets, least), "shingle_links")
     parts = components(links)
-    placed = written(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "low"), "shingle_parts")
-    open_rows = band.join(leaders.select("key"), "key", "left_semi").join(placed.select("node", "component"), "node")
+    placed = written(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "shingle_parts")
+    open_rows = members.select("node", "key").join(placed, "node")
     mixed = open_rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y AND n > 2")
-    rows = open_rows.join(mixed.select("key"), "key", "left_semi").join(placed.select("node", "low"), "node")
+    rows = open_rows.join(mixed.select("key"), "key", "left_semi").join(sets, "node")
     tried = mixed_pairs(rows, block).join(stars, ["a", "b"], "left_anti")
     more = written(verified(tried, sets, least), "shingle_more_links")
     if not more.isEmpty():

@@ -24,6 +24,7 @@ from pyspark.sql.functions import arrow_udf
 
 from corrobora.llm.common import components, sorted_groups, written
 from corrobora.llm.shingle_groups import grouped, with_sets
+from corrobora.session import broadcast_checked
 
 BITS = 64
 SEED = 42
@@ -173,7 +174,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: in
     columns = docs.columns
     held = docs.select(F.struct(*columns).alias("kept_row"), F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     # The row number is stored with the row, so that it stays the same whenever it is read.
-    signed = with_sets(with_fingerprints(held, width=width), width).withColumn("n", F.monotonically_increasing_id())
+    signed = with_sets(with_fingerprints(held, width=width), width).withColumn("n", F.monotonically_increasing_id()).drop("text")
     marked = written(signed, "signed_texts")
     prints = marked.groupBy("fp").agg(F.min("sig.digest").alias("digest"))
     near = links(prints.select("fp"), radius)
@@ -182,8 +183,10 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: in
     # Texts of one fingerprint and different sets.
     same = marked.select("fp", "sig.digest").join(prints.withColumnRenamed("digest", "least"), "fp").where("digest != least")
     linked = linked.unionByName(same.select(F.col("least").alias("digest_a"), F.col("digest").alias("digest_b"))).distinct()
-    groups = grouped(marked.select("n", "text", "sig"), linked, least, width)
+    groups = grouped(marked.select("n", F.col("kept_row")[text].alias("text"), "sig"), linked, least, width)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first")
     rows = marked.select("id", "n", "sig.digest")
-    stays = rows.join(groups, "digest").groupBy("component").agg(first).select(F.col("first.n").alias("n"))
-    return marked.join(stays, "n", "left_semi").select("kept_row.*")
+    named = written(rows.join(groups, "digest").select("component", "id", "n"), "shingle_members")
+    stays = named.groupBy("component").agg(first).select(F.col("first.n").alias("n"))
+    goes = written(named.join(stays, "n", "left_anti").select("n"), "shingle_copies")
+    return marked.join(broadcast_checked(goes), "n", "left_anti").select("kept_row.*")
