@@ -74,8 +74,8 @@ def with_sets(docs: DataFrame, width: int) -> DataFrame:
     @arrow_udf(kind)
     def signed(texts: pa.Array) -> pa.Array:
         digests, keys = [], []
-        for x in texts.cast(pa.binary()).to_pylist():
-            hashes = shingle_set(x or b"", width)
+        for x in texts.cast(pa.binary()):  # one text at a time
+            hashes = shingle_set(x.as_py() or b"", width)
             digests.append(xxhash.xxh128_digest(hashes.tobytes()))
             bands = minima(hashes).reshape(BANDS, ROWS)
             keys.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(bands)])
@@ -91,8 +91,8 @@ def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     @arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
-        pairs = zip(x.to_pylist(), y.to_pylist())
-        return pa.array([jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in pairs], pa.bool_())
+        of = lambda s: np.frombuffer(s.as_py(), np.uint64)
+        return pa.array([jaccard(of(a), of(b)) >= least for a, b in zip(x, y)], pa.bool_())
 
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("_x")), sets.select(F.col("node").alias("b"), F.col("set").alias("_y"))
     both = edges.join(left, "a").join(right, "b")
@@ -105,7 +105,7 @@ def mixed_pairs(rows: DataFrame, block: int) -> DataFrame:
 
     @arrow_udf("binary")
     def low_of(sets: pa.Array) -> pa.Array:
-        return pa.array([minima(np.frombuffer(x, np.uint64)).tobytes() for x in sets.to_pylist()], pa.binary())
+        return pa.array([minima(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in sets], pa.binary())
 
     rows = rows.select("key", "node", "component", low_of("set").alias("low"))
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
@@ -153,7 +153,7 @@ def grouped(marked: DataFrame, extra: DataFrame | None = None, least: float = 0.
 
     @arrow_udf("binary")
     def set_of(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(x or b"", width).tobytes() for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+        return pa.array([shingle_set(x.as_py() or b"", width).tobytes() for x in texts.cast(pa.binary())], pa.binary())
 
     # Sets are made for nodes in buckets only.
     asked = written(members.select("node").unionByName(
