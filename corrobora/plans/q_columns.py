@@ -16,8 +16,8 @@ from corrobora.functions import urls as U
 from corrobora.operators import anchors as A
 from corrobora.plans.registry import query
 from corrobora.plans.roles import (
-    inlist, lst, sql_host, sql_meaningful, sql_phonetic, sql_shingles, sql_title_chars, sql_title_words,
-    sql_tokens, sql_trigrams,
+    inlist, lst, sql_fold, sql_host, sql_meaningful, sql_phonetic, sql_shingles, sql_spelled_words, sql_title_chars,
+    sql_title_words, sql_tokens, sql_trigrams,
 )
 from corrobora.session import spread
 from corrobora.sources.tables import load
@@ -217,12 +217,11 @@ def _(spark, d):
 
 
 def _doc_words(spark, d):
-    return load(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).where(
-        F.col("word").rlike("^[a-z]+$")
-    ).distinct()
+    return load(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
 
 
-_DOC_WORDS = "SELECT DISTINCT word FROM (SELECT string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+') AS ws FROM documents), unnest(ws) AS u(word) WHERE regexp_full_match(word, '[a-z]+')"
+_DOC_WORDS = "SELECT DISTINCT word FROM (SELECT string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+') AS ws FROM documents), unnest(ws) AS u(word) WHERE word <> ''"
+_SPELLED = f"SELECT DISTINCT word, {sql_fold('word')} AS latin FROM ({sql_spelled_words('documents')})"
 
 
 @query("str14_phonetic_key", f"SELECT word, {sql_phonetic('word')} AS key FROM ({_DOC_WORDS})")
@@ -235,7 +234,7 @@ def _all_doc_words(spark, d):
     return P.latin_words(load(spark, d, "documents").select(F.explode(T.spelled_words(F.col("text"))).alias("token")))
 
 
-@query("str14_phonetic_key_all_words")
+@query("str14_phonetic_key_all_words", f"SELECT word, {sql_phonetic('latin')} AS key FROM ({_SPELLED})")
 def _(spark, d):
     return _all_doc_words(spark, d).select(F.col("token").alias("word"), "key")
 
@@ -253,16 +252,20 @@ _SWAP = [("oo", "u"), ("u", "oo"), ("ee", "i"), ("i$", "ee"), ("au", "o"), ("v",
 _FORMS = "[word, " + ", ".join(f"left(word, 1) || regexp_replace(substr(word, 2), '{p}', '{r}', 'g')" for p, r in _SWAP) + "]"
 
 
-@query(
-    "str16_spelling_variants",
-    f"""SELECT word, array_to_string(list_slice(list_transform(list_filter(list_zip(f, range(1, len(f) + 1)), lambda x: list_position(f, x[1]) = x[2]), lambda x: x[1]), 1, 3), ',') AS forms
-        FROM (SELECT word, CASE WHEN length(word) < 4 THEN [word] ELSE list_filter({_FORMS}, lambda v: v = word OR length(v) >= 3) END AS f FROM ({_DOC_WORDS}))""",
-)
+def _sql_variants(form: str, rows: str) -> str:
+    """Up to three spellings of the column ``form`` of ``rows`` (word, ...), the form itself first."""
+    plain = f"length({form}) < 4 OR regexp_matches({form}, '[ऀ-ൿ]')"
+    forms = _FORMS.replace("word", form)
+    return f"""SELECT word, array_to_string(list_slice(list_transform(list_filter(list_zip(f, range(1, len(f) + 1)), lambda x: list_position(f, x[1]) = x[2]), lambda x: x[1]), 1, 3), ',') AS forms
+        FROM (SELECT word, CASE WHEN {form} = '' THEN [] WHEN {plain} THEN [{form}] ELSE list_filter({forms}, lambda v: v = {form} OR length(v) >= 3) END AS f FROM ({rows}))"""
+
+
+@query("str16_spelling_variants", _sql_variants("word", _DOC_WORDS))
 def _(spark, d):
     return _doc_words(spark, d).select("word", F.array_join(P.spelling_variants(F.col("word")), ",").alias("forms"))
 
 
-@query("str16_spelling_variants_all_words")
+@query("str16_spelling_variants_all_words", _sql_variants("latin", _SPELLED))
 def _(spark, d):
     forms = F.array_join(P.spelling_variants(F.col("latin")), ",").alias("forms")
     return _all_doc_words(spark, d).select(F.col("token").alias("word"), forms)

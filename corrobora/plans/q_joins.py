@@ -10,7 +10,7 @@ from corrobora.functions.text import spelled_words, tokenize, words
 from corrobora.operators import joins as J
 from corrobora.operators import ranking as R
 from corrobora.plans.registry import query
-from corrobora.plans.roles import CLAIMS_SQL, claims, sql_host, sql_phonetic, sql_tokens
+from corrobora.plans.roles import CLAIMS_SQL, claims, sql_fold, sql_host, sql_phonetic, sql_spelled_words, sql_tokens
 from corrobora.session import values_frame
 from corrobora.sources.tables import load
 
@@ -103,27 +103,34 @@ def _(spark, d):
     return J.identifier_hits(docs.select(F.col("article_id").alias("claim_id"), F.explode("keys").alias("key")), docs)
 
 
-_LONG = "regexp_full_match(w, '[a-z]{4,}')"
-
-
-@query(
-    "jn5_phonetic",
-    f"""WITH dw AS (SELECT DISTINCT doc_id AS article_id, w FROM (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM documents), unnest(ws) AS u(w) WHERE {_LONG}),
-    bw AS (SELECT DISTINCT item_id AS claim_id, w FROM (SELECT item_id, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS ws FROM benchmark), unnest(ws) AS u(w) WHERE {_LONG}),
-    k AS (SELECT w, {sql_phonetic('w')} AS key FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+def _sql_heard(docs: str, items: str, key: str) -> str:
+    """SQL of the phonetic join between word lists (doc_id, word) and (item_id, word), with the key of a word."""
+    return f"""WITH dw AS (SELECT DISTINCT doc_id AS article_id, word AS w FROM ({docs})),
+    bw AS (SELECT DISTINCT item_id AS claim_id, word AS w FROM ({items})),
+    k AS (SELECT w, {key} AS key FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
     a AS (SELECT claim_id, w AS value, key FROM bw JOIN k USING (w) WHERE length(key) >= 4),
     b AS (SELECT DISTINCT article_id, key FROM dw JOIN k USING (w) WHERE length(key) >= 4)
-    SELECT claim_id, article_id, count(DISTINCT value) AS n_values FROM a JOIN b USING (key) GROUP BY ALL""",
-)
+    SELECT claim_id, article_id, count(DISTINCT value) AS n_values FROM a JOIN b USING (key) GROUP BY ALL"""
+
+
+def _sql_words(table: str, key: str) -> str:
+    split = "string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')"
+    return f"SELECT {key}, word FROM (SELECT {key}, {split} AS ws FROM {table}), unnest(ws) AS u(word) WHERE word <> ''"
+
+
+@query("jn5_phonetic", _sql_heard(_sql_words("documents", "doc_id"), _sql_words("benchmark", "item_id"), sql_phonetic("w")))
 def _(spark, d):
-    latin = lambda c, n: F.array_distinct(F.filter(words(c), lambda w: w.rlike(f"^[a-z]{{{n},}}$")))
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.explode(latin(F.col("text"), 4)).alias("word"))
-    items = load(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.explode(latin(F.col("text"), 4)).alias("value"))
+    listed = F.explode(F.array_distinct(words(F.col("text"))))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), listed.alias("word"))
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), listed.alias("value"))
     anchors = items.withColumn("key", phonetic_key(F.col("value")))
     return J.match_phonetic(anchors, docs).groupBy("claim_id", "article_id").agg(F.countDistinct("value").alias("n_values"))
 
 
-@query("jn5_phonetic_all_words")
+@query(
+    "jn5_phonetic_all_words",
+    _sql_heard(sql_spelled_words("documents", "doc_id"), sql_spelled_words("benchmark", "item_id"), sql_phonetic(sql_fold("w"))),
+)
 def _(spark, d):
     """Words of any spelling and script; only the length of the key decides."""
     listed = lambda t, c, id, w: load(spark, d, t).select(

@@ -48,6 +48,21 @@ def sql_phonetic(x: str) -> str:
     return out
 
 
+def sql_fold(x: str) -> str:
+    """SQL for :func:`corrobora.functions.phonetics.fold_accents`, with the SQL engine's own way to take accents off."""
+    out = f"translate(lower({x}), 'øłđðħŧı', 'olddhti')"
+    for letter, pair in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")):
+        out = f"replace({out}, '{letter}', '{pair}')"
+    return f"regexp_replace(strip_accents({out}), '\\p{{M}}', '', 'g')"
+
+
+def sql_spelled_words(table: str, key: str = "") -> str:
+    """Rows (key, word) for :func:`corrobora.functions.text.spelled_words` of the column ``text`` of ``table``."""
+    key = key + ", " if key else ""
+    split = "string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+')"
+    return f"SELECT {key}word FROM (SELECT {key}{split} AS ws FROM {table}), unnest(ws) AS u(word) WHERE regexp_matches(word, '\\p{{L}}')"
+
+
 def sql_host(url: str) -> str:
     """SQL for :func:`corrobora.functions.urls.host_of`."""
     return f"regexp_replace(lower(regexp_extract({url}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '')"
