@@ -42,6 +42,8 @@ NAME_CUES = [
 ]
 # Words before, behind and inside the name of a place.
 PLACE_CUES = ["across", "along", "around", "at", "behind", "between", "beyond", "from", "in", "near", "outside", "past", "through", "towards", "via"]
+# Words that end one part of a location and begin another.
+PLACE_BREAKS = ["in front of", "near", "opposite"]
 PLACE_SUFFIXES = [
     "avenue", "bypass", "chowk", "city", "county", "district", "ganj", "garh", "highway", "junction", "lane", "market", "nagar", "pur", "road",
     "square", "street", "town", "village",

@@ -110,6 +110,11 @@ def test_names_places_orgs(spark):
     assert ev(spark, "Ujjain-Indore highway, near Khajuri Runda", text.split_location) == [
         "Ujjain-Indore highway", "Ujjain-Indore", "Ujjain", "Indore", "Khajuri Runda", "Khajuri", "Runda",
     ]
+    places = lambda v: ev(spark, v, text.split_location)
+    assert places("Ujjain – Indore") == ["Ujjain-Indore", "Ujjain", "Indore"]
+    assert places("Shop 12, in front of St. John's Church/Village Khed") == ["Shop", "St John s Church", "Church", "Khed"]
+    assert places("in Sikar Opposite NEAR Town hall; 400 001") == ["in Sikar", "Sikar", "Town hall"]
+    assert places("near, dist. 12") == places("n/a") == places("") == places(None) == []
     assert ev(spark, "the driver Anil Rao was hurt", anchors.extract_names) == ["Anil Rao"]
     assert ev(spark, "Anil Rao", anchors.solo_name) == "Anil Rao"
     assert ev(spark, "Gupta Roadways Pvt", anchors.extract_orgs) == ["Gupta Roadways"]
@@ -145,3 +150,15 @@ def test_grams(spark):
     assert ev(spark, "One two", text.shingles) == ["one two"]
     assert ev(spark, "ab!c d", text.trigrams) == ["abc", "bcd"]
     assert ev(spark, "", text.trigrams) == []
+
+
+def test_values(spark):
+    clean = lambda v: ev(spark, v, text.clean_value)
+    assert clean(" : - Ram\n  Lal |") == "Ram Lal" and clean("x") == "x" and clean("A:B") == "A:B"
+    assert {clean(v) for v in ("", " :-| ", "N/A", "Not  Available", "..", "___", "-- nil --", None)} == {None}
+    fit = lambda f, v: ev(spark, v, lambda c: text.value_fit(F.lit(f), c))
+    assert fit("driver_contact_no", "+91 98765-43210") == 1.0 and fit("driver_contact_no", "12345 67890") == 0.0
+    assert fit("driver_contact_no", "98765 4321") == 0.0 and fit("policy_information", "7" * 41) == 0.0
+    assert fit("fir_date", "on 3 March, 2021") == 1.0 and fit("fir_date", "2021-3") == 0.0
+    assert fit("driver_licence_no", "KA-01 20110012345") == 1.0 and fit("driver_licence_no", "lost") == 0.6
+    assert fit("fir_time", "9.30 am") == 1.0 and fit("some_field", "") == 1.0
