@@ -92,10 +92,11 @@ def drop_conflicts_unless_empty(df: DataFrame, by: str, conflict: str) -> DataFr
     """Drop conflicting rows, but keep all rows of a claim that has only conflicting ones.
 
     The per-claim test is an aggregate joined back: a claim's rows are never
-    gathered in one task.
+    gathered in one task. Rows without a claim are one group.
     """
-    kept = df.groupBy(by).agg(F.bool_or(~F.col(conflict)).alias("_any_ok"))
-    return df.join(kept, by).where(~F.col(conflict) | ~F.col("_any_ok")).drop("_any_ok")
+    kept = df.groupBy(F.col(by).alias("_by")).agg(F.bool_or(~F.col(conflict)).alias("_any_ok"))
+    of_claim = F.col(by).eqNullSafe(F.col("_by"))
+    return df.join(kept, of_claim).where(~F.col(conflict) | ~F.col("_any_ok")).drop("_by", "_any_ok")
 
 
 def has_sufficient_anchors(anchors: DataFrame) -> DataFrame:
