@@ -45,8 +45,8 @@ def _(spark, d):
 )
 def _(spark, d):
     """Pairs within the window whose amounts agree: no key in common."""
-    got = J.match_range(claims(spark, d).select("claim_id", "loss_date", "amount"), _editions(spark, d), 1, 2)
-    return got.where(F.abs(F.col("amount") - F.col("price")) < 50).select("claim_id", "piece", F.col("gap_days").cast("bigint").alias("gap_days"))
+    got = J.match_range(claims(spark, d).select("claim_id", "loss_date", "amount"), _editions(spark, d), 1, 2, near=("amount", "price", 50.0))
+    return got.select("claim_id", "piece", F.col("gap_days").cast("bigint").alias("gap_days"))
 
 
 @query(
