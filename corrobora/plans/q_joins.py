@@ -124,7 +124,7 @@ def _(spark, d):
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("article_id"), listed.alias("word"))
     items = load(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), listed.alias("value"))
     anchors = items.withColumn("key", phonetic_key(F.col("value")))
-    return J.match_phonetic(anchors, docs).groupBy("claim_id", "article_id").agg(F.countDistinct("value").alias("n_values"))
+    return J.count_phonetic(anchors, docs)
 
 
 @query(
@@ -138,8 +138,7 @@ def _(spark, d):
     )
     docs, items = listed("documents", "doc_id", "article_id", "word"), listed("benchmark", "item_id", "claim_id", "value")
     keyed = lambda df, w: latin_words(df, w).select(F.col("token").alias(w), "key")
-    got = J.match_phonetic(items.join(keyed(items, "value"), "value"), docs, keys=keyed(docs, "word"))
-    return got.groupBy("claim_id", "article_id").agg(F.countDistinct("value").alias("n_values"))
+    return J.count_phonetic(items.join(keyed(items, "value"), "value"), docs, keys=keyed(docs, "word"))
 
 
 _NAME7 = "SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS k FROM part"
