@@ -13,6 +13,7 @@ from corrobora.operators.joins import match_terms
 from corrobora.plans.q_scoring import ITEM_TOP_SQL, _CODES_SQL, article_keys, item_top, rendered_anchors
 from corrobora.plans.registry import query
 from corrobora.plans.roles import sql_phonetic
+from corrobora.session import stored
 from corrobora.sources.tables import load
 
 # Half of the documents have their words of plain syllables written in Devanagari, letter by letter. A written "a" is
@@ -69,7 +70,8 @@ def _(spark, d):
 def _(spark, d):
     """Articles of either script that have most of a claim's words, the first 20 of each claim."""
     top = item_top(spark, d).select("claim_id", "term")
-    spelled = SP.spelled_terms(top.select("term"), rendered_words(spark, d)).select("article_id", "term")
+    # The match reads them several times.
+    spelled = stored(SP.spelled_terms(top.select("term"), rendered_words(spark, d)).select("article_id", "term"))
     order = [F.col("hits").desc(), F.col("article_id").asc()]
     return R.top_k(match_terms(top, spelled, 2), ["claim_id"], order, 20)
 
