@@ -12,7 +12,7 @@ from corrobora.operators import similarity as SM
 from corrobora.plans.q_joins import DOC_TERMS_SQL, ITEM_TERMS_SQL, doc_terms, item_terms
 from corrobora.plans.registry import query
 from corrobora.plans.roles import CLAIMS_SQL, claims, lst, sql_tokens
-from corrobora.session import fresh_path
+from corrobora.session import fresh_path, stored
 from corrobora.sources import tables as T
 from corrobora.sources.tables import load
 
@@ -62,7 +62,8 @@ def _(spark, d):
     """All passages and documents with a cosine of a half or more; equal documents stand once, with their number."""
     left = A.term_counts(load(spark, d, "benchmark").withColumnRenamed("item_id", "claim_id"), "claim_id", "text").select("claim_id", "term", "n")
     right = A.term_counts(load(spark, d, "documents").withColumnRenamed("doc_id", "article_id"), "article_id", "text").select("article_id", "term", "n")
-    one, members = SM.vector_classes(right, "article_id")
+    # Classes, sizes and products all read the counts.
+    one, members = SM.vector_classes(stored(right), "article_id")
     sizes = members.groupBy(F.col("class_key").alias("article_id")).agg(F.count("*").alias("n_copies"))
     pairs = SM.cosine_join(left, one, "claim_id", "article_id", 0.5)
     return pairs.join(sizes, "article_id").select("claim_id", "article_id", "n_copies", F.round("cosine", 6).alias("cosine"))
