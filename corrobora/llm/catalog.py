@@ -82,7 +82,7 @@ def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    field = line_crf.fit(docs, table(spark, sf_dir, "labels"), per_class=400)
+    field = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     return line_crf.judge(docs, field).select("doc_id", "quality.*")
 
 
@@ -118,7 +118,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.spans_of(docs, pii.fit(docs, sample=3000))
+    found = pii.spans_of(docs, pii.fit(docs))
     kinds = F.transform("pii_base", lambda s: s["kind"])
     counts = [
         (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)

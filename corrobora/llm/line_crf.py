@@ -1,8 +1,8 @@
 """Quality rules by line labelling: a linear-chain conditional random field marks lines as content or boilerplate.
 
-The field has two states. It is fitted by maximum likelihood on a bounded sample of labelled texts: lines of
-good texts are content; lines of bad texts are boilerplate, save those that a line-wise logistic fit of the
-same sample holds for content. Viterbi decoding labels every line of every text, and a text is kept if lines
+The field has two states. It is fitted by maximum likelihood on all labelled texts: they are dealt into shares of a
+bounded number of lines, each share gives a field, and the field is their mean. Lines of good texts are content; lines
+of bad texts are boilerplate, save those that a line-wise logistic fit of the same share holds for content. Viterbi decoding labels every line of every text, and a text is kept if lines
 of content hold at least ``least_share`` of its words.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from corrobora.llm.quality_lines import FEATURES, SYMBOLS, LineReader, in_pieces, labelled_lines
+from corrobora.llm.common import written
+from corrobora.llm.quality_lines import FEATURES, SYMBOLS, LineReader, in_pieces, labelled_runs
 
 BLANK = " \t\n\r\x0b\x0c"
 RESULT = (
@@ -39,58 +40,61 @@ def default_field() -> Field:
     return Field(np.array([*w.values(), 3.0]), np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, heavy: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> np.ndarray:
+    w, total = np.zeros(x.shape[1]), heavy.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * len(x) * np.eye(x.shape[1])
-        w += np.linalg.solve(hess, x.T @ (y - p) - ridge * len(x) * w)
+        hess = (x * (heavy * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * total * np.eye(x.shape[1])
+        w += np.linalg.solve(hess, x.T @ (heavy * (y - p)) - ridge * total * w)
     return w
 
 
-def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def fit_field(features: np.ndarray, firsts: np.ndarray, quality: np.ndarray, rounds: int = 60) -> Field:
-    """Maximum likelihood by forward-backward sums over all sequences at once, with Adam steps."""
+def fit_field(
+    features: np.ndarray, firsts: np.ndarray, quality: np.ndarray, rounds: int = 60, weights: np.ndarray | None = None,
+) -> Field:
+    """Maximum likelihood by forward-backward sums over all sequences at once, with Adam steps; ``weights`` are of sequences."""
     if not len(quality) or quality.min() == quality.max():
         return default_field()
     lengths = np.diff([*firsts, len(features)])
     x = np.hstack([features, np.ones((len(features), 1))])
     given = np.repeat(quality, lengths)
-    alone = _logistic(x, given)
+    weights = np.ones(len(lengths)) if weights is None else weights
+    heavy = np.repeat(weights, lengths)
+    alone = _logistic(x, given, heavy)
     label = np.where((given == 0) & (x @ alone > 0), 1.0, given).astype(int)
 
-    docs, span = len(lengths), int(lengths.max())
-    inside = np.arange(span) < lengths[:, None]
-    y = np.zeros((docs, span), int)
+    # Lines stand by their place in the text and texts by falling length, so a step works on a text's lines only.
+    by_length = np.argsort(-lengths, kind="stable")
+    span, starts = int(lengths.max()), np.asarray(firsts)[by_length]
+    inside = np.arange(span)[:, None] < lengths[by_length]
+    active = inside.sum(axis=1)
+    rows = (starts + np.arange(span)[:, None])[inside]
+    x, label, heavy = x[rows], label[rows], heavy[rows]
+    y = np.zeros(inside.shape, int)
     y[inside] = label
-    both = inside[:, 1:] & inside[:, :-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
+    both = inside[1:]
+    steps_of = np.broadcast_to(weights[by_length], both.shape)[both]
+    seen = np.bincount(2 * y[:-1][both] + y[1:][both], weights=steps_of, minlength=4)
     theta = np.concatenate([alone, np.zeros(4)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    # Of two states the log odds are enough: s of the line alone, r with the lines before it, b of the lines after it.
+    s, r, b = (np.zeros(inside.shape) for _ in range(3))
     for step in range(1, rounds + 1):
-        w, t = theta[:-4], theta[-4:].reshape(2, 2)
-        s = np.zeros((docs, span, 2))
-        s[inside, 1] = x @ w
-        alpha, beta = np.zeros_like(s), np.zeros_like(s)
-        alpha[:, 0] = s[:, 0]
+        w, (t00, t01, t10, t11) = theta[:-4], theta[-4:]
+        s[inside] = x @ w
+        r[0] = s[0]
         for k in range(1, span):
-            alpha[:, k] = np.where(
-                inside[:, k, None], _logsumexp(alpha[:, k - 1, :, None] + t, 1) + s[:, k], alpha[:, k - 1]
-            )
+            before = r[k - 1, : active[k]]
+            r[k, : active[k]] = s[k, : active[k]] + np.logaddexp(t01, t11 + before) - np.logaddexp(t00, t10 + before)
         for k in range(span - 2, -1, -1):
-            ahead = _logsumexp(t + (s[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-            beta[:, k] = np.where(inside[:, k + 1, None], ahead, 0)
-        total = _logsumexp(alpha[:, -1], 1)
-        content = np.exp(alpha[..., 1] + beta[..., 1] - total[:, None])[inside]
-        pair = np.exp(
-            alpha[:, :-1, :, None] + t + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        )[both].sum(axis=0)
-        grad = np.concatenate([x.T @ (label - content), (seen - pair).ravel()]) / len(x) - 1e-3 * theta
+            ahead = s[k + 1, : active[k + 1]] + b[k + 1, : active[k + 1]]
+            b[k, : active[k + 1]] = np.logaddexp(t10, t11 + ahead) - np.logaddexp(t00, t01 + ahead)
+        content = 1 / (1 + np.exp(-np.clip((r + b)[inside], -500, 500)))
+        left, right = r[:-1][both], (s + b)[1:][both]
+        pair = np.stack([np.full(len(left), t00), t01 + right, t10 + left, t11 + left + right])
+        pair = np.exp(pair - pair.max(axis=0, initial=-np.inf))
+        pair = (pair / pair.sum(axis=0) * steps_of).sum(axis=1)
+        grad = np.concatenate([x.T @ (heavy * (label - content)), seen - pair]) / heavy.sum() - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Field(theta[:-4], theta[-4:].reshape(2, 2))
@@ -146,9 +150,37 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, id: str = "doc_id", text: str = "text") -> Field:
-    """The field of a bounded sample: at most ``per_class`` labelled texts of either quality."""
-    return fit_field(*labelled_lines(docs, labels, per_class, id, text))
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", share_lines: int = 20_000) -> Field:
+    """The field of all labelled texts, where good and bad ones weigh the same: the mean of the fields of their shares.
+
+    A share holds about ``share_lines`` lines, drawn by a hash of the ids, and is fitted in one task; the driver gets 17
+    numbers for each. Without texts of both kinds the default field stands in.
+    """
+    runs = written(labelled_runs(docs, labels, id, text), "labelled_runs")
+    of = {r.quality: r for r in runs.groupBy("quality").agg(F.sum("n").alias("lines"), F.count_if(F.col("at") == 0).alias("texts")).collect()}
+    if len(of) < 2:
+        return default_field()
+    balance = {q: sum(r.texts for r in of.values()) / (2 * r.texts) for q, r in of.items()}
+    shares = -(-sum(r.lines for r in of.values()) // share_lines)
+
+    def fitted(group: pa.Table) -> pa.Table:
+        ids, at, lines, quality = (group.column(c).to_pylist() for c in ("id", "at", "lines", "quality"))
+        order = sorted(range(len(ids)), key=lambda k: (str(ids[k]), at[k], lines[k]))
+        parts = [np.frombuffer(lines[k], np.float32).reshape(-1, len(FEATURES)) for k in order]
+        good = np.array([quality[k] for k in order], np.float64)
+        both = good.min() != good.max()
+        firsts = np.cumsum([0, *map(len, parts)])[:-1]
+        field = fit_field(np.concatenate(parts).astype(np.float64), firsts, good, weights=np.where(good == 1, balance[1], balance[0]))
+        values = np.concatenate([field.emission, field.steps.ravel()])
+        return pa.table({"both": [both], "values": pa.array([values.tolist()], pa.list_(pa.float64()))})
+
+    # A number of partitions that is asked for is not coalesced: the work is far larger than the rows.
+    dealt = runs.withColumn("share", F.pmod(F.xxhash64("id", "at"), F.lit(shares))).repartition(int(min(shares, 2000)), "share")
+    fields = [r["values"] for r in dealt.groupBy("share").applyInArrow(fitted, "both boolean, values array<double>").where("both").collect()]
+    if not fields:
+        return default_field()
+    mean = np.array(sorted(fields)).mean(axis=0)
+    return Field(mean[:-4], mean[-4:].reshape(2, 2))
 
 
 def judge(

@@ -142,6 +142,38 @@ def labelled_lines(docs, labels, per_class: int = 1000, id: str = "doc_id", text
     return features.astype(np.float64), firsts, np.array([r.quality for r in rows], np.float64)
 
 
+def labelled_runs(docs, labels, id: str = "doc_id", text: str = "text", most_lines: int = 100):
+    """Every labelled text as runs of at most ``most_lines`` lines: (id, quality, at, n, lines), ``lines`` being features.
+
+    Texts whose crc32(id) mod 4 is 2 are left out; a text of more lines stands as several runs, numbered by ``at``, so
+    none is too long to learn from. A text that stands in several rows is learnt from in each.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    marks = labels.where(
+        F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    ).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
+    picked = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(marks, "_id")
+
+    def featured(batches):
+        reader = LineReader()
+        for batch in batches:
+            ids, marked, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_quality", "_text"))
+            for k, t in enumerate(texts):
+                found = reader.read([t.as_py()])[0]
+                cuts = range(0, len(found), most_lines)
+                n = len(cuts)
+                parts = [found[a : a + most_lines] for a in cuts]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(k, 1).take(pa.array([0] * n)), marked.slice(k, 1).take(pa.array([0] * n)), pa.array(range(n), pa.int32()),
+                     pa.array([len(x) for x in parts], pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())],
+                    names=["id", "quality", "at", "n", "lines"])
+
+    kind = picked.schema["_id"].dataType.simpleString()
+    return picked.select("_id", "_quality", "_text").mapInArrow(featured, f"id {kind}, quality int, at int, n int, lines binary")
+
+
 def held_out(id):
     """True where crc32 of the id as text leaves 2 when divided by 4: such rows are never learnt from."""
     from pyspark.sql import functions as F
