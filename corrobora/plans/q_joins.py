@@ -183,8 +183,7 @@ def _(spark, d):
     name = F.when(k % 2 == 0, "edand erin").otherwise("haed")
     names = c.select(k.alias("claim_id"), name.alias("name"), F.explode(F.split(name, " ")).alias("term"))
     places = c.select(k.alias("claim_id"), F.when(k % 3 == 0, "onre").otherwise("nder").alias("term")).distinct()
-    got = J.match_names(names, doc_terms(spark, d), places)
-    return got.groupBy("claim_id", "name").agg(F.count("*").alias("n_articles"), F.sum("hits").alias("n_hits"))
+    return J.count_names(names, doc_terms(spark, d), places)
 
 
 @query(
