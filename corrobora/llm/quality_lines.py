@@ -147,6 +147,9 @@ def labelled_runs(docs, labels, id: str = "doc_id", text: str = "text", most_lin
 
     Texts whose crc32(id) mod 4 is 2 are left out; a text of more lines stands as several runs, numbered by ``at``, so
     none is too long to learn from. A text that stands in several rows is learnt from in each.
+
+    Labels are never broadcast, so what is shuffled grows in proportion to the texts whatever their number; texts are
+    not sorted for the join.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
@@ -154,7 +157,7 @@ def labelled_runs(docs, labels, id: str = "doc_id", text: str = "text", most_lin
     marks = labels.where(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     ).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
-    picked = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(marks, "_id")
+    picked = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(marks.hint("shuffle_hash"), "_id")
 
     def featured(batches):
         reader = LineReader()
