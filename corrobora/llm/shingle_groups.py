@@ -6,8 +6,8 @@ as well: texts that agree on all minima of a band meet. With 32 bands of 8 a pai
 probability 0.997, one of 0.9 with one miss in 10^8. Every candidate is verified by the exact similarity of its sets.
 
 Equal sets are one node. In a bucket of many nodes each is compared with the smallest. Where that leaves more than one
-component in a bucket, members of different components are compared in blocks, by all their minima first, so no pair that
-meets is lost, while a bucket of near copies costs one comparison a member.
+component in a bucket, members of different components are compared in blocks, by all their minima first and then by their
+sets, so no group is split, while a block gives a forest of its links and a bucket of near copies one comparison a member.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _RNG = np.random.default_rng(7)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # Minima that must agree before two members of a bucket are verified: at 0.8 of 256, 0.68 lies five deviations below.
 AGREE = 0.68
+# A block of a bucket holds about so many bytes of sets at most.
+BLOCK_BYTES = 16 * 1024 * 1024
 
 
 def shingle_set(data: bytes, width: int) -> np.ndarray:
@@ -100,37 +102,67 @@ def verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(sizes).where(alike("_x", "_y")).select("a", "b")
 
 
-def mixed_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """Candidates (a, b) of different components from buckets (key: key; node, component, set), compared in blocks."""
+def mixed_links(rows: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """Verified edges (a, b) between different components of a bucket; ``rows`` are (key, node, component).
+
+    Buckets are compared in blocks, with their ``sets`` (node, set) beside them. A link is verified where it is found and
+    joins its components at once, so a block gives at most a spanning forest of what its links connect, never its pairs.
+    """
 
     @arrow_udf("binary")
     def low_of(sets: pa.Array) -> pa.Array:
         return pa.array([minima(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in sets], pa.binary())
 
-    rows = rows.select("key", "node", "component", low_of("set").alias("low"))
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    met = broadcast_checked(written(rows.select("node").distinct(), "shingle_mixed_nodes"))
+    held = written(sets.join(met, "node", "left_semi").select("node", "set", low_of("set").alias("low")), "shingle_mixed_sets")
+    rows = rows.join(held, "node")
+    full = F.greatest(F.count("*") / block, F.sum(F.octet_length("set").cast("long")) / BLOCK_BYTES)
+    sizes = rows.groupBy("key").agg(F.ceil(full).alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = (
         rows.join(sizes, "key").withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "low")
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "low", "set")
     )
     keys = ["key", "i", "j"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, keys):
-            nodes, parts = (group.column(c).to_numpy() for c in ("node", "component"))
+            nodes, parts = group.column("node").to_numpy(), group.column("component").to_numpy().copy()
             low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint32).reshape(len(nodes), -1)
-            for i in range(len(nodes)):
-                rest = np.flatnonzero((parts[i + 1 :] != parts[i])) + i + 1
-                hit = rest[(low[rest] == low[i]).mean(axis=1) >= AGREE]
-                if len(hit):
-                    a, b = np.minimum(nodes[i], nodes[hit]), np.maximum(nodes[i], nodes[hit])
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("set")]
+            found = forest(parts, low, sets, least)
+            a, b = ([pick(nodes[x], nodes[y]) for x, y in found] for pick in (min, max))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long").distinct()
 
 
+def forest(parts: np.ndarray, low: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Places of similar sets of different components, such that they connect what all links do; ``parts`` are changed.
+
+    Members are tried in the order in which they are reached, so that a group of near copies is one component soon.
+    """
+    size = np.array([len(s) for s in sets])
+    edges, waiting, queued = [], list(range(len(sets)))[::-1], np.zeros(len(sets), bool)
+    done = np.zeros(len(sets), bool)
+    while waiting:
+        i = waiting.pop()
+        if done[i]:
+            continue
+        done[i] = True
+        rest = np.flatnonzero((parts != parts[i]) & ~done)
+        rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])]
+        for k in rest[(low[rest] == low[i]).mean(axis=1) >= AGREE]:
+            if parts[k] != parts[i] and jaccard(sets[i], sets[k]) >= least:
+                edges.append((i, int(k)))
+                parts[parts == parts[k]] = parts[i]
+                if not queued[k]:
+                    queued[k] = True
+                    waiting.append(int(k))
+    return edges
+
+
 def grouped(marked: DataFrame, extra: DataFrame | None = None, least: float = 0.8, width: int = 5, block: int = 1024) -> DataFrame:
     """(digest, component) of texts ``marked`` (n, text, sig): the least row number of all that similar sets connect.
 
@@ -165,9 +197,8 @@ def grouped(marked: DataFrame, extra: DataFrame | None = None, least: float = 0.
     placed = written(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "shingle_parts")
     open_rows = members.select("node", "key").join(placed, "node")
     mixed = open_rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y AND n > 2")
-    rows = open_rows.join(mixed.select("key"), "key", "left_semi").join(sets, "node")
-    tried = mixed_pairs(rows, block).join(stars, ["a", "b"], "left_anti")
-    more = written(verified(tried, sets, least), "shingle_more_links")
+    rows = written(open_rows.join(mixed.select("key"), "key", "left_semi"), "shingle_mixed")
+    more = written(mixed_links(rows, sets, least, block), "shingle_more_links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
     return nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
