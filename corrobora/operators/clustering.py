@@ -7,9 +7,13 @@ sequential rule, evaluated here as a fixpoint over whole tables:
 * rows alike in headline, day and stated figures have the same neighbours, so
   they collapse to one node first - the only place where large groups of copies
   occur;
-* a node is certain to lead once no undecided node better than it shares any of
-  its keys; one ``min`` per key tells that, without forming pairs;
-* only leaders are compared with undecided nodes, never all pairs of a group.
+* similar headlines are found once, over distinct headlines of a claim; nodes
+  without another node of an equal or similar headline lead at once;
+* a node stands under its headline, day and figures, and looks under those of
+  similar headlines, so one ``min`` per key tells the best node that it meets:
+  nodes are never paired;
+* a node is certain to lead once no undecided node better than it is met, and
+  joins once a leader better than it is met.
 
 Every round decides at least the best undecided node of each claim. Each round
 is cut with a reliable checkpoint, so plans stay short and lost executors cost
@@ -23,117 +27,101 @@ from pyspark.sql import functions as F
 
 from corrobora import constants as K
 from corrobora.functions.urls import is_aggregator
-from corrobora.operators.similarity import same_incident, similar, title_keys
-from corrobora.session import cut_lineage
+from corrobora.operators.similarity import similar, title_keys
+from corrobora.session import cut_lineage, spread, stored
 
 # Key parts standing for "any day", "no day", "any figure" and "no figure".
 _ANY, _NONE = -(2**31), -(2**31) + 1
+_KEY = ["t", "d", "f"]
 
 
-def _posted(grams: DataFrame) -> DataFrame:
-    """Adds ``k``: the keys a node can be found under, by gram, day and stated figure."""
+def _posted(nodes: DataFrame) -> DataFrame:
+    """(t, d, f, pos): the keys a node can be found under, by headline, day and stated figure."""
     day = F.unix_date("day")
     days = F.when(day.isNull(), F.array(F.lit(_NONE), F.lit(_ANY))).otherwise(F.array(day, F.lit(_ANY)))
-    figures = F.transform("figures", lambda f: f.cast("bigint"))
-    stated = F.when(F.size("figures") == 0, F.array(F.lit(_NONE).cast("bigint"), F.lit(_ANY).cast("bigint"))).otherwise(
-        F.concat(figures, F.array(F.lit(_ANY).cast("bigint")))
-    )
-    return _keyed(grams.where("post"), days, stated)
+    return _keyed(nodes, "tid", days, [_NONE, _ANY], _ANY).select(*_KEY, "pos")
 
 
-def _looked(grams: DataFrame) -> DataFrame:
-    """Adds ``k``: the keys under which every node that could be the same incident is posted."""
+def _looked(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(t, d, f, node, pos): the keys under which every node that is similar and could be the same incident is posted."""
     near = K.SAME_INCIDENT_DAYS
     day = F.unix_date("day")
     days = F.when(day.isNull(), F.array(F.lit(_ANY))).otherwise(
         F.concat(F.sequence(day - near, day + near), F.array(F.lit(_NONE)))
     )
-    figures = F.transform("figures", lambda f: f.cast("bigint"))
-    stated = F.when(F.size("figures") == 0, F.array(F.lit(_ANY).cast("bigint"))).otherwise(
-        F.concat(figures, F.array(F.lit(_NONE).cast("bigint")))
-    )
-    return _keyed(grams.where("NOT post"), days, stated)
+    return _keyed(nodes.join(links, "tid"), "to", days, [_ANY], _NONE).select(*_KEY, "node", "pos")
 
 
-def _keyed(grams: DataFrame, days: Column, figures: Column) -> DataFrame:
-    # A hash collision only makes two nodes look related; every pair is verified.
-    return (
-        grams.withColumn("_d", F.explode(days))
-        .withColumn("_f", F.explode(figures))
-        .withColumn("k", F.xxhash64("claim_id", "gram", "_d", "_f"))
-        .drop("_d", "_f", "gram", "post")
-    )
+def _keyed(nodes: DataFrame, title: str, days: Column, bare: list[int], beside: int) -> DataFrame:
+    """A row for each day and figure; ``bare`` marks stand for no figures, ``beside`` is added to stated ones."""
+    marks = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
+    figures = F.transform("figures", lambda f: f.cast("bigint"))
+    stated = F.when(F.coalesce(F.size("figures"), F.lit(0)) <= 0, marks(bare)).otherwise(F.concat(figures, marks([beside])))
+    return nodes.withColumn("t", F.col(title)).withColumn("d", F.explode(days)).withColumn("f", F.explode(stated))
 
 
-def _prefixed(df: DataFrame, p: str) -> DataFrame:
-    cols = ["node", "pos", "day", "figures", "title"]
-    return df.select("claim_id", *[F.col(c).alias(p + c) for c in cols])
+def _best(posts: DataFrame, looks: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, best): the best of ``posts`` that a node of ``looks`` meets, where it is ranked before the node."""
+    first = _posted(posts).groupBy(*_KEY).agg(F.min("pos").alias("best"))
+    met = _looked(looks, links).join(first, _KEY).where(F.col("best") < F.col("pos"))
+    return met.groupBy("node").agg(F.min("best").alias("best"))
 
 
-def build_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Collapse rows to nodes; returns (nodes, row to node).
+def with_nodes(rows: DataFrame) -> DataFrame:
+    """Adds ``node`` and ``tid``, which rows of a claim alike in headline, day and figures, or in headline, share.
 
-    ``rows`` is (claim_id, article_id, score, title, day, figures). A node's
-    position is its best row's (negative score, id).
+    ``rows`` is (claim_id, article_id, score, title, day, figures).
     """
-    keyed = rows.withColumn("figures", F.array_sort("figures")).withColumn(
-        "node",
-        F.sha2(F.to_json(F.struct("claim_id", F.lower("title").alias("t"), "day", "figures"), {"ignoreNullFields": "false"}), 256),
-    )
-    pos = F.struct((-F.col("score")).alias("s"), F.col("article_id").alias("a"))
-    nodes = keyed.groupBy("claim_id", "node").agg(
-        F.min(pos).alias("pos"), F.first("title").alias("title"), F.first("day").alias("day"),
-        F.first("figures").alias("figures"),
-    )
-    return nodes, keyed.select("claim_id", "article_id", "node", pos.alias("row_pos"))
+    digest = lambda *c: F.unhex(F.md5(F.to_json(F.struct(*c), {"ignoreNullFields": "false"})))
+    named = F.lower("title").alias("t")
+    return rows.where("claim_id IS NOT NULL AND article_id IS NOT NULL").withColumns({
+        "node": digest("claim_id", named, "day", F.array_sort("figures").alias("figures")), "tid": digest("claim_id", named)})
 
 
-def _candidates(leaders: DataFrame, others: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(leader, node) pairs that are similar and the same incident, the leader ranked better.
+def build_nodes(rows: DataFrame) -> DataFrame:
+    """(node, tid, claim_id, title, pos, day, figures) of the nodes of ``rows`` (from :func:`with_nodes`).
 
-    ``leaders`` and ``others`` are (claim_id, node, pos, day, figures); headlines
-    are joined on for candidates only.
+    A node's position is its best row's (negative score, id).
     """
-    post = _posted(leaders.join(keys, ["claim_id", "node"])).select(F.col("node").alias("l_node"), F.col("pos").alias("l_at"), "k")
-    look = _looked(others.join(keys, ["claim_id", "node"])).select(
-        "claim_id", F.col("node").alias("o_node"), F.col("pos").alias("o_at"), "k"
-    )
-    pairs = post.join(look, "k").where(F.col("l_at") < F.col("o_at")).select("claim_id", "l_node", "o_node").distinct()
-    return (
-        pairs.join(_prefixed(nodes, "l_"), ["claim_id", "l_node"])
-        .join(_prefixed(nodes, "o_"), ["claim_id", "o_node"])
-        .where(same_incident(F.col("l_day"), F.col("o_day"), F.col("l_figures"), F.col("o_figures")))
-        .where(similar("l_title", "o_title")[1])
+    pos = F.struct((-F.col("score")).alias("s"), F.col("article_id").alias("a"))
+    return rows.groupBy("node").agg(
+        F.first("tid").alias("tid"), F.first("claim_id").alias("claim_id"), F.first("title").alias("title"),
+        F.min(pos).alias("pos"), F.first("day").alias("day"), F.first("figures").alias("figures"),
     )
 
 
-def elect_leaders(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, leaders, keys), the first and last cut from their lineage.
+def title_links(nodes: DataFrame) -> DataFrame:
+    """(tid, to): similar headlines of a claim, both ways, and headlines of several nodes with themselves.
 
-    ``leaders`` is (claim_id, node, pos, day, figures); every other node joined one.
+    Equal hashes of keys only make candidates; each pair is verified on its headlines.
     """
-    nodes = cut_lineage(nodes)
-    keyed = title_keys(nodes.withColumn("_id", F.struct("claim_id", "node")), "_id", "title")
-    keys = cut_lineage(keyed.select("_id.claim_id", "_id.node", "gram", "post"))
-    leaders = None
-    open_nodes = nodes.select("claim_id", "node", "pos", "day", "figures")
+    titles = stored(nodes.groupBy("tid").agg(
+        F.first("claim_id").alias("claim_id"), F.min("title").alias("title"), F.count("*").alias("n")))
+    # Headlines are few bytes and much work: one written file would be one task.
+    keys = title_keys(spread(titles, "tid").withColumn("_id", F.struct("claim_id", "tid")), "_id", "title")
+    keys = keys.select("_id.tid", F.xxhash64("_id.claim_id", "gram").alias("k"), "post")
+    posts, looks = keys.where("post").select("k", F.col("tid").alias("a")), keys.where("NOT post").select("k", F.col("tid").alias("b"))
+    # Every similar pair meets both ways, so one of them is enough.
+    pairs = posts.join(looks, "k").where("a < b").select("a", "b").distinct()
+    side = lambda x: titles.select(F.col("tid").alias(x), F.col("title").alias(f"{x}_title"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where(similar("a_title", "b_title")[1])
+    both = F.inline(F.array(*[F.struct(F.col(x).alias("tid"), F.col(y).alias("to")) for x, y in ("ab", "ba")]))
+    own = titles.where("n > 1").where(similar("title", "title")[1]).select("tid", F.col("tid").alias("to"))
+    return stored(found.select(both).unionByName(own))
+
+
+def elect_leaders(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, tid, pos, day, figures) of the leaders among ``nodes``; every other node joins one."""
+    bound = nodes.select("node", "tid", "pos", "day", "figures")
+    linked = links.select("tid").distinct()
+    leaders = bound.join(linked, "tid", "left_anti")
+    open_nodes = cut_lineage(bound.join(linked, "tid", "left_semi"))
     while not open_nodes.isEmpty():
-        at = open_nodes.join(keys, ["claim_id", "node"])
-        first = _posted(at).groupBy("k").agg(F.min("pos").alias("best"))
-        beaten = (
-            _looked(at).join(first, "k")
-            .where(F.col("best") < F.col("pos"))
-            .select("claim_id", "node")
-            .distinct()
-            .withColumn("_beaten", F.lit(True))
-        )
-        judged = cut_lineage(open_nodes.join(beaten, ["claim_id", "node"], "left"))
-        new = judged.where(F.col("_beaten").isNull()).drop("_beaten")
-        rest = judged.where("_beaten").drop("_beaten")
-        merged = _candidates(new, rest, nodes, keys).select("claim_id", F.col("o_node").alias("node"))
-        open_nodes = cut_lineage(rest.join(merged, ["claim_id", "node"], "left_anti"))
-        leaders = new if leaders is None else leaders.unionByName(new)
-    return nodes, leaders, keys
+        judged = cut_lineage(open_nodes.join(_best(open_nodes, open_nodes, links), "node", "left"))
+        new, rest = judged.where("best IS NULL").drop("best"), judged.where("best IS NOT NULL").drop("best")
+        open_nodes = cut_lineage(rest.join(_best(new, rest, links), "node", "left_anti"))
+        leaders = leaders.unionByName(new)
+    return leaders
 
 
 def collapse_stories(rows: DataFrame) -> DataFrame:
@@ -142,43 +130,37 @@ def collapse_stories(rows: DataFrame) -> DataFrame:
     A row is flagged when its headline matches a leader ranked before its own
     story's leader but the incident differs; that leader is flagged too.
     """
-    nodes, members = build_nodes(rows)
-    nodes, leaders, keys = elect_leaders(nodes)
-    if leaders is None:
-        return rows.withColumn("story_id", F.col("article_id")).withColumn("distinct_incident", F.lit(False))
-    rest = nodes.join(leaders, ["claim_id", "node"], "left_anti").select("claim_id", "node", "pos", "day", "figures")
-    joined = _candidates(leaders, rest, nodes, keys).groupBy("claim_id", F.col("o_node").alias("node")).agg(
-        F.min("l_pos").alias("lead_pos")
+    keyed = with_nodes(rows)
+    nodes = stored(build_nodes(keyed))
+    links = title_links(nodes)
+    leaders = elect_leaders(nodes, links)
+    rest = nodes.join(leaders.select("node"), "node", "left_anti")
+    lead = stored(
+        leaders.select("node", "tid", "pos", F.col("pos").alias("lead_pos")).unionByName(
+            rest.select("node", "tid", "pos").join(_best(leaders, rest, links).withColumnRenamed("best", "lead_pos"), "node"))
     )
-    lead = cut_lineage(leaders.select("claim_id", "node", F.col("pos").alias("lead_pos")).unionByName(joined))
-
-    flags = headline_warnings(nodes, leaders, lead, keys)
+    flags = headline_warnings(lead, links)
     return (
-        rows.join(members, ["claim_id", "article_id"])
-        .join(lead, ["claim_id", "node"])
-        .join(flags, ["claim_id", "node"], "left")
+        keyed.join(lead.select("node", "lead_pos"), "node").join(flags, "node", "left")
         .withColumn("story_id", F.col("lead_pos.a"))
         .withColumn("distinct_incident", F.coalesce("flagged", F.lit(False)))
-        .drop("node", "row_pos", "lead_pos", "flagged")
+        .select(*rows.columns, "story_id", "distinct_incident")
     )
 
 
-def headline_warnings(nodes: DataFrame, leaders: DataFrame, lead: DataFrame, keys: DataFrame) -> DataFrame:
-    """(claim_id, node, flagged): same headline as an earlier leader, different incident."""
-    a = leaders.join(keys.where("post"), ["claim_id", "node"]).select("claim_id", F.col("node").alias("l_node"), "gram")
-    b = nodes.join(keys.where("NOT post"), ["claim_id", "node"]).select("claim_id", F.col("node").alias("o_node"), "gram")
-    pairs = a.join(b, ["claim_id", "gram"]).select("claim_id", "l_node", "o_node").distinct()
-    own = lead.select("claim_id", F.col("node").alias("o_node"), "lead_pos")
-    clash = (
-        pairs.join(_prefixed(nodes, "l_"), ["claim_id", "l_node"])
-        .join(_prefixed(nodes, "o_"), ["claim_id", "o_node"])
-        .join(own, ["claim_id", "o_node"])
-        .where((F.col("l_pos") < F.col("o_pos")) & similar("l_title", "o_title")[1])
-        .where((F.col("l_pos") < F.col("lead_pos")) | (F.col("o_pos") == F.col("lead_pos")))
-        .where(~same_incident(F.col("l_day"), F.col("o_day"), F.col("l_figures"), F.col("o_figures")))
-    )
-    both = F.explode(F.array("l_node", "o_node"))
-    return clash.select("claim_id", both.alias("node")).distinct().withColumn("flagged", F.lit(True))
+def headline_warnings(lead: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, flagged) of nodes with the headline of an earlier leader that is another incident, and of those leaders.
+
+    ``lead`` is (node, tid, pos, lead_pos). A similar leader ranked before a node's own leader is another incident, else
+    the node would have joined it; so the best leader and the last story of each headline tell, and no pairs are made.
+    """
+    ends = lead.groupBy("tid").agg(
+        F.min(F.when(F.col("pos") == F.col("lead_pos"), F.col("pos"))).alias("first"), F.max("lead_pos").alias("last"))
+    seen = links.join(ends.withColumnRenamed("tid", "to"), "to").groupBy("tid").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    after = F.col("first") < F.col("lead_pos")
+    before = (F.col("pos") == F.col("lead_pos")) & (F.col("last") > F.col("pos"))
+    clash = F.coalesce(after, F.lit(False)) | F.coalesce(before, F.lit(False))
+    return lead.join(seen, "tid").where(clash).select("node", F.lit(True).alias("flagged"))
 
 
 def choose_representative(stories: DataFrame) -> DataFrame:
