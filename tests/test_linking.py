@@ -159,3 +159,15 @@ def test_romanising_needs_no_package_on_the_workers(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert done.returncode == 0, done.stderr[-1500:]
+
+
+def test_few_needles_are_tested_in_place(spark, monkeypatch):
+    articles = spark.createDataFrame([(1, "Alpha beta gamma delta"), (2, "xalpha beta gammay"), (3, "beta"), (4, None)], "article_id long, text string")
+    needles = spark.createDataFrame([(1, "alpha beta gamma"), (1, "lpha bet"), (2, "bet"), (2, "zeta"), (3, "bet")], "claim_id long, value string")
+    rows = lambda df: sorted((r.claim_id, r.value, r.article_id) for r in df.collect())
+    few = J.match_substring(needles, articles)
+    assert "regexp_extract_all" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(J, "FEW_NEEDLES", 0)
+    many = J.match_substring(needles, articles)
+    assert "regexp_extract_all" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(few) == rows(many) and (3, "bet", 2) in rows(few)
