@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,16 @@ def header_match(label: Column, synonyms: list[tuple[str, str]] | None = None) -
     """Best field for a label as ``struct(score, field)``, null when nothing fits.
 
     The dictionary is bounded configuration, so it is folded into the expression:
-    no join and no shuffle however many labels there are.
+    no join and no shuffle however many labels there are. A label that is a synonym
+    is looked up; of the others, only those that hold a synonym are scored.
     """
     table = DEFAULT_SYNONYMS if synonyms is None else synonyms
+    if not table:
+        return F.lit(None).cast("struct<score:int,field:string>")
+    fitting = lambda score, field: F.struct(score.alias("score"), field.alias("field"))
+    # Of fields with one synonym the first stands, as an equal label scores above all else.
+    exact = {synonym: fitting(F.lit(EXACT + len(synonym)), F.lit(field)) for field, synonym in reversed(table)}
+    known = F.create_map(*[x for synonym, hit in exact.items() for x in (F.lit(synonym), hit)])
 
     def best(n: Column) -> Column:
         scored = []
@@ -51,8 +61,17 @@ def header_match(label: Column, synonyms: list[tuple[str, str]] | None = None) -
             scored.append(F.struct(score.alias("score"), F.lit(-i).alias("o"), F.lit(field).alias("field")))
         return F.array_max(F.filter(F.array(*scored), lambda s: s["score"].isNotNull()))
 
-    hit = let(label_norm(label), best)
-    return F.when(hit.isNotNull(), F.struct(hit["score"].alias("score"), hit["field"].alias("field")))
+    def fitted(n: Column) -> Column:
+        holds = reduce(or_, [F.contains(n, F.lit(synonym)) for synonym in exact])
+        inside = let(best(n), lambda hit: F.when(hit.isNotNull(), fitting(hit["score"], hit["field"])))
+        return F.coalesce(F.try_element_at(known, n), F.when(holds, inside))
+
+    return let(label_norm(label), fitted)
+
+
+def is_header(label: Column, synonyms: list[tuple[str, str]] | None = None) -> Column:
+    """True for a label that is one of the synonyms."""
+    return F.coalesce(label_norm(label).isin([synonym for _, synonym in (DEFAULT_SYNONYMS if synonyms is None else synonyms)]), F.lit(False))
 
 
 def map_headers(df: DataFrame, label: str, synonyms: list[tuple[str, str]] | None = None) -> DataFrame:
